@@ -2,12 +2,221 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from quern.functions import text as T
+from quern.plans import catalogue, detection, planner
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(rows) -> str:
+    quote = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+_EDGE_VALUES = _values([(*e, catalogue.COST[e[3]]) for e in catalogue.edges()])
+_EDGES_CTE = f"edges(name, source, target, fidelity, cost) as (values {_EDGE_VALUES})"
+_STEPS = """
+    p1 as (select source, target, cost, 1 as hops from {edges}),
+    p2 as (select p.source, e.target, min(p.cost + e.cost) as cost, 2 as hops from p1 p join {edges} e on p.target = e.source where p.source <> e.target group by all),
+    p3 as (select p.source, e.target, min(p.cost + e.cost) as cost, 3 as hops from p2 p join {edges} e on p.target = e.source where p.source <> e.target group by all),
+    p4 as (select p.source, e.target, min(p.cost + e.cost) as cost, 4 as hops from p3 p join {edges} e on p.target = e.source where p.source <> e.target group by all),
+    best as (select source, target, cost, hops from (select *, row_number() over (partition by source, target order by cost, hops) as k
+             from (select * from p1 union all select * from p2 union all select * from p3 union all select * from p4)) where k = 1)"""
+_WORST = "case when cost >= 100 then 'lossy' when cost >= 10 then 'conditional' else 'lossless' end"
+
+
+@query(f"with {_EDGES_CTE}, {_STEPS.format(edges='edges')} select source, target, hops, cost, {_WORST} as worst from best")
+def plan_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.closure(spark).select("source", "target", "hops", "cost", "worst")
+
+
+@query(f"with {_EDGES_CTE}, strict as (select * from edges where fidelity = 'lossless'), {_STEPS.format(edges='strict')} select source, target, hops, cost from best")
+def plan_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.closure(spark, strict=True).select("source", "target", "hops", "cost")
+
+
+@query(f"with {_EDGES_CTE}, {_STEPS.format(edges='edges')} select a.source, b.target, a.hops + b.hops as hops, a.cost + b.cost as cost from best a join best b on a.target = b.source where a.target = 'markdown' and a.source <> b.target")
+def plan_via(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = planner.closure(spark)
+    first = every.where("target = 'markdown'").select("source", F.col("hops").alias("h"), F.col("cost").alias("c"))
+    then = every.where("source = 'markdown'").select(F.col("target"), F.col("hops").alias("h2"), F.col("cost").alias("c2"))
+    return first.join(F.broadcast(then)).where("source != target").select("source", "target", (F.col("h") + F.col("h2")).alias("hops"), (F.col("c") + F.col("c2")).alias("cost"))
+
+
+@query(f"with {_EDGES_CTE}, {_STEPS.format(edges='edges')} select worst, hops, count(*) as pairs from (select hops, {_WORST} as worst from best) group by all")
+def worst_fidelity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.closure(spark).groupBy("worst", "hops").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"with {_EDGES_CTE} select id from (select source as id from edges union select target from edges) order by id")
+def all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = catalogue.edges_table(spark)
+    return e.select(F.col("source").alias("id")).union(e.select("target")).distinct().orderBy("id")
+
+
+_FILES = [
+    ("photo.JPG", b"\xff\xd8\xff\xe0abcd"), ("photo.png", b"\xff\xd8\xff\xe0abcd"), ("data.csv", b"a,b\n1,2\n"), ("data.csv", b"%PDF-1.7 abcd"), ("short.png", b"\x89PN"), ("noext", b"qoif0000"),
+    ("x.webp", b"RIFF\x01\x02\x03\x04WEBPVP8 "), ("x.heic", b"\0\0\0\x18ftypheic"), ("a.b.toml", b""), ("a.unknown", b"zzzz"), ("rom.bin", b"\x80\x37\x12\x40abcd"), ("y.tiff", b"BM123456"), ("z.md", b"# t"), ("w.htm", b"<p>"), ("v.ndjson", b"{}"),
+]
+_EXPECTED = ["jpeg", "jpeg", "csv", "csv", "png", "qoi", "webp", "heic", "toml", None, "z64", "bmp", "markdown", "html", "jsonl"]
+
+
+@query(f"select * from (values {_values([(k, p, e) for k, ((p, _), e) in enumerate(zip(_FILES, _EXPECTED, strict=True))])}) as t(k, path, format)")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame([(k, p, bytearray(b)) for k, (p, b) in enumerate(_FILES)], "k int, path string, content binary")
+    return detection.detect(files).select("k", "path", "format")
+
+
+_Q = """case when regexp_matches({0}, '[,"\\n\\r]') then '"' || replace({0}, '"', '""') || '"' else {0} end"""
+
+
+def _sql_quote(column: str) -> str:
+    return _Q.format(column)
+
+
+@query(f"select c_custkey, concat_ws(',', cast(c_custkey as varchar), {_sql_quote('c_name')}, cast(c_nationkey as varchar), {_sql_quote('c_mktsegment')}) as record from customer")
+def csv_quote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", T.csv_record([c.c_custkey, c.c_name, c.c_nationkey, c.c_mktsegment]).alias("record"))
+
+
+@query(f"select conv_id, turn, {_sql_quote('text')} as field from conversations")
+def csv_quote_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.csv_quote(F.col("text")).alias("field"))
+
+
+@query("""select n_nationkey, '{"n_nationkey":' || to_json(cast(n_nationkey as varchar)) || ',"n_name":' || to_json(n_name) || ',"n_regionkey":' || to_json(cast(n_regionkey as varchar)) || '}' as line from nation""")
+def rows_to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", T.json_object(["n_nationkey", "n_name", "n_regionkey"], [n.n_nationkey, n.n_name, n.n_regionkey]).alias("line"))
+
+
+@query("select doc_id, to_json(text) as literal from documents")
+def json_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.json_string(F.col("text")).alias("literal"))
+
+
+@query("""select page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped from pages""")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("""select page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as content,
+          replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(10), '&#10;'), chr(9), '&#9;') as attribute from pages""")
+def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.xml_text(F.col("html")).alias("content"), T.xml_attribute(F.col("html")).alias("attribute"))
+
+
+_NUMBERS = r"regexp_full_match(s, '-?(0|[1-9][0-9]*)(\.[0-9]*[1-9])?([eE][+-]?[0-9]+)?') and length(replace(regexp_extract(s, '^-?([0-9]+(?:\.[0-9]+)?)', 1), '.', '')) <= 15"
+
+
+@query(
+    f"""with t as (select o_orderkey as k, cast(cast(o_totalprice as decimal(18, 2)) as varchar) as s from orders union all select o_orderkey, o_orderpriority from orders union all select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') from orders)
+    select k, s, {_NUMBERS} as is_number, case when regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then date_diff('day', date '1899-12-30', cast(s as date)) else -1 end as serial from t"""
+)
+def excel_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    texts = o.select(F.col("o_orderkey").alias("k"), F.explode(F.array(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("s"))
+    return texts.select("k", "s", T.is_number_literal(F.col("s")).alias("is_number"), F.coalesce(T.iso_serial(F.col("s")).cast("long"), F.lit(-1)).alias("serial"))
+
+
+@query("select o_orderkey, date_diff('day', date '1899-12-30', cast(o_orderdate as date)) as serial, strftime(o_orderdate, '%Y-%m-%d') as back from orders")
+def serial_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = T.iso_serial(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", day.cast("long").alias("serial"), T.serial_iso(day).alias("back"))
+
+
+@query(
+    r"""with t as (select event_id as k, event_type as s from events union all select event_id, cast(user_id as varchar) from events union all select event_id, cast(event_id as varchar) || '.50' from events union all select event_id, case event_id % 8 when 0 then '~' when 1 then 'True' when 2 then '-.inf' when 3 then '0x1F' when 4 then '0o17' when 5 then '99999999999999999999' when 6 then 'yes' else '1e3' end from events)
+    select k, s, case when s in ('', '~', 'null', 'Null', 'NULL') then 'null' when s in ('true', 'True', 'TRUE', 'false', 'False', 'FALSE') then 'bool'
+      when regexp_full_match(s, '[-+]?(\.inf|\.Inf|\.INF)|\.nan|\.NaN|\.NAN') then 'float' when regexp_full_match(s, '0x[0-9a-fA-F]+|0o[0-7]+') then 'int'
+      when regexp_full_match(s, '[-+]?[0-9]+') then case when try_cast(s as bigint) is not null then 'int' else 'float' end
+      when regexp_full_match(s, '[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?') then 'float' else 'str' end as kind from t"""
+)
+def yaml_plain_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    odd = F.element_at(F.array(*[F.lit(x) for x in ("~", "True", "-.inf", "0x1F", "0o17", "99999999999999999999", "yes", "1e3")]), (k % 8 + 1).cast("int"))
+    texts = e.select(k.alias("k"), F.explode(F.array(F.col("event_type"), F.col("user_id").cast("string"), F.concat(k.cast("string"), F.lit(".50")), odd)).alias("s"))
+    return texts.select("k", "s", T.yaml_kind(F.col("s")).alias("kind"))
+
+
+_PARAGRAPH_SQL = r"""lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents),
+    marked as (select doc_id, n, regexp_replace(line, '\r$', '') as line, trim(regexp_replace(line, '\s', ' ', 'g')) = '' as blank from lines),
+    grouped as (select *, sum(case when blank then 1 else 0 end) over (partition by doc_id order by n) as g from marked),
+    paras as (select doc_id, g, string_agg(line, chr(10) order by n) as paragraph, min(n) as first from grouped where not blank group by doc_id, g)"""
+
+
+@query(f"with {_PARAGRAPH_SQL} select doc_id, cast(row_number() over (partition by doc_id order by first) - 1 as bigint) as ord, paragraph from paras")
+def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("p"))
+    return d.select("doc_id", F.posexplode("p").alias("ord", "p")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.array_join("p", "\n").alias("paragraph"))
+
+
+_HTML = "replace(replace(replace(replace(paragraph, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"with {_PARAGRAPH_SQL} select d.doc_id, coalesce(string_agg('<p>' || {_HTML} || '</p>' || chr(10), '' order by first), '') as html from documents d left join paras using (doc_id) group by d.doc_id")
+def text_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = F.transform(T.paragraphs(F.col("text")), lambda p: F.concat(F.lit("<p>"), T.html_escape(F.array_join(p, "\n")), F.lit("</p>\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(blocks, "").alias("html"))
+
+
+@query(f"with {_PARAGRAPH_SQL} select quality, toxic, count(*) as n_paragraphs, cast(sum(length(paragraph)) as bigint) as n_chars from paras join labels using (doc_id) group by quality, toxic")
+def text_paragraph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = text_paragraphs(spark, sf_dir)
+    return p.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.sum(F.length("paragraph")).alias("n_chars"))
+
+
+@query(r"""select p_partkey, regexp_replace(p_name, '[/\\:*?"<>|]', '_', 'g') as stem, '# ' || regexp_replace(p_name, '([\\`*_\[\]#<>|])', '\\\1', 'g') as heading from part""")
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.part_stem(F.col("p_name"), F.lit(0)).alias("stem"), T.markdown_heading(F.col("p_name")).alias("heading"))
+
+
+@query("""with h as (select o_orderkey, lpad(format('{:X}', o_orderkey * 2654435761 % 4294967296), 8, '0') as z64 from orders)
+    select o_orderkey, z64, z64[3:4] || z64[1:2] || z64[7:8] || z64[5:6] as v64, z64[7:8] || z64[5:6] || z64[3:4] || z64[1:2] as n64 from h""")
+def n64_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.lpad(F.hex(F.col("o_orderkey") * F.lit(2654435761) % F.lit(4294967296)), 8, "0")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", z.alias("z64"))
+    return o.select("o_orderkey", "z64", T.n64_reorder(F.col("z64"), "z64", "v64").alias("v64"), T.n64_reorder(F.col("z64"), "z64", "n64").alias("n64"))
+
+
+@query("""with p as (select l_orderkey, l_linenumber, l_partkey % 256 as r, l_suppkey % 256 as g, l_orderkey % 256 as b, cast(l_quantity as bigint) * 5 % 256 as a from lineitem)
+    select l_orderkey, l_linenumber, (19595 * r + 38470 * g + 7471 * b + 32768) >> 16 as luma, (r * a + 255 * (255 - a) + 127) // 255 as red from p""")
+def pixel_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") % 256).alias("g"), (F.col("l_orderkey") % 256).alias("b"), (F.col("l_quantity").cast("long") * 5 % 256).alias("a"))
+    return p.select("l_orderkey", "l_linenumber", T.luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"), T.over_white(F.col("r"), F.col("a")).alias("red"))
+
+
+@query("select page_id, url as back, base64(encode(url)) as encoded from pages")
+def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = F.replace(F.base64(F.col("url").cast("binary")), F.lit("\r\n"), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", F.unbase64(encoded).cast("string").alias("back"), encoded.alias("encoded"))
+
+
+@query(r"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g'), ' [\r\n]+|[\r\n]+ ', ' ', 'g'), '[\r\n]+', ' ', 'g') as folded from conversations""")
+def fold_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.fold_breaks(F.col("text")).alias("folded"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return text_paragraphs(spark, sf_dir)
