@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.convert import convert, summary
 from quern.plans import catalogue, detection, planner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,5 +219,160 @@ def fold_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.fold_breaks(F.col("text")).alias("folded"))
 
 
+def _files(frame: DataFrame, path, content) -> DataFrame:
+    return frame.select(path.cast("string").alias("path"), content.cast("binary").alias("content"))
+
+
+def _converted(frame: DataFrame, path, content, source: str, target: str, **options) -> DataFrame:
+    got = convert(_files(frame, path, content), source, target, **options)
+    return got.select("path", "part_index", F.col("content").cast("string").alias("content"), F.size("losses").alias("n_losses"), F.col("error.kind").alias("error"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return _converted(p, p.page_id, p.html, "html", "markdown")
+
+
+@query()
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return _converted(p, p.page_id, p.html, "html", "text")
+
+
+@query("select cast(page_id as varchar) as path, false as has_script, true as has_heading from pages")
+def html_skips_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_to_markdown(spark, sf_dir)
+    return got.select("path", F.contains("content", F.lit("track(")).alias("has_script"), F.col("content").rlike("(?m)^# ").alias("has_heading"))
+
+
+@query(r"""select cast(page_id as varchar) as path, trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&')) as heading from pages""")
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    got = convert(_files(p, p.page_id, p.html), "html", "markdown-json")
+    return got.select("path", F.regexp_extract(F.col("content").cast("string"), r'\["h",1,\[\["text","((?:[^"\\]|\\.)*)"\]\]\]', 1).alias("heading"))
+
+
+@query("""select cast(doc_id as varchar) as path, case when trim(text) = '' then '' else html end as content, 0 as n_losses from
+    (with """ + _PARAGRAPH_SQL + f""" select d.doc_id, any_value(d.text) as text, coalesce(string_agg('<p>' || {_HTML} || '</p>' || chr(10), '' order by first), '') as html from documents d left join paras using (doc_id) group by d.doc_id)""")
+def convert_text_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return _converted(d, d.doc_id, d.text, "text", "html").select("path", "content", "n_losses")
+
+
+@query(f"with {_PARAGRAPH_SQL} select cast(d.doc_id as varchar) as path, coalesce(string_agg(paragraph, chr(10) || chr(10) order by first) || chr(10), '') as content from documents d left join paras using (doc_id) group by d.doc_id")
+def text_markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to Markdown and back: what stands in a paragraph survives the escapes."""
+    d = table(spark, sf_dir, "documents")
+    there = convert(_files(d, d.doc_id, d.text), "text", "markdown")
+    back = convert(there.select("path", "content"), "markdown", "text")
+    return back.select("path", F.col("content").cast("string").alias("content"))
+
+
+_SEGMENT = "c_mktsegment"
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file for each market segment, its rows by key; a segment's rows fit one file."""
+    c = table(spark, sf_dir, "customer")
+    lines = c.select(_SEGMENT, "c_custkey", T.csv_record([c.c_custkey, c.c_name, c.c_nationkey]).alias("line"))
+    return lines.groupBy(F.col(_SEGMENT).alias("path")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))).alias("l")).select(
+        "path", F.concat(F.lit("custkey,name,nationkey\n"), F.array_join("l.line", "\n"), F.lit("\n")).cast("binary").alias("content")
+    )
+
+
+@query("""select c_mktsegment as path, string_agg('{"custkey":"' || c_custkey || '","name":' || to_json(c_name) || ',"nationkey":"' || c_nationkey || '"}' || chr(10), '' order by c_custkey) as content from customer group by all""")
+def csv_to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert(_segments(spark, sf_dir), "csv", "jsonl").select("path", F.col("content").cast("string").alias("content"))
+
+
+@query("""select c_mktsegment as path, 'custkey' || chr(9) || 'name' || chr(9) || 'nationkey' || chr(10) || string_agg(c_custkey || chr(9) || c_name || chr(9) || c_nationkey || chr(10), '' order by c_custkey) as content from customer group by all""")
+def csv_to_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert(_segments(spark, sf_dir), "csv", "tsv").select("path", F.col("content").cast("string").alias("content"))
+
+
+@query("""select c_mktsegment as path, '| custkey | name | nationkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' |' || chr(10), '' order by c_custkey) as content from customer group by all""")
+def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert(_segments(spark, sf_dir), "csv", "markdown").select("path", F.col("content").cast("string").alias("content"))
+
+
+def _there_and_back(name: str, *formats: str):
+    sql = "select c_mktsegment as path, 'custkey,name,nationkey' || chr(10) || string_agg(c_custkey || ',' || c_name || ',' || c_nationkey || chr(10), '' order by c_custkey) as content from customer group by all"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = _segments(spark, sf_dir)
+        for source, target in zip(formats, formats[1:], strict=False):
+            files = convert(files, source, target).select("path", "content")
+        return files.select("path", F.col("content").cast("string").alias("content"))
+
+    run.__name__ = name
+    return query(sql)(run)
+
+
+_there_and_back("xlsx_roundtrip", "csv", "xlsx", "csv")
+_there_and_back("ods_roundtrip", "csv", "ods", "xlsx", "csv")
+_there_and_back("markdown_table_roundtrip", "csv", "markdown", "csv")
+_there_and_back("json_roundtrip", "csv", "json", "jsonl", "csv")
+_there_and_back("yaml_roundtrip", "csv", "json", "yaml", "json", "csv")
+
+
+def _event_trees(name: str, *formats: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = table(spark, sf_dir, "events")
+        files = e.select(F.col("event_id").cast("string").alias("path"), F.concat(F.lit('{"e":'), F.replace("props", F.lit(" "), F.lit("")), F.lit("}")).cast("binary").alias("content"))
+        for source, target in zip(formats, formats[1:], strict=False):
+            files = convert(files, source, target).select("path", "content")
+        return files.select("path", F.col("content").cast("string").alias("content"))
+
+    run.__name__ = name
+    return query("""select cast(event_id as varchar) as path, '{"e":' || replace(props, ' ', '') || '}' || chr(10) as content from events""")(run)
+
+
+_event_trees("toml_tree_roundtrip", "json", "toml", "json")
+_event_trees("yaml_tree_roundtrip", "json", "yaml", "json")
+
+
+@query("""select cast(event_id as varchar) as path, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<e>' || chr(10) || '  <k>' || regexp_extract(props, '([0-9]+)', 1) || '</k>' || chr(10) || '</e>' || chr(10) as content from events""")
+def json_to_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return _converted(e, e.event_id, F.concat(F.lit('{"e":'), F.col("props"), F.lit("}")), "json", "xml").select("path", "content")
+
+
+@query("select count(*) filter (event_id % 5 <> 0) as converted, 0 as lossy, count(*) filter (event_id % 5 = 0) as failed from events")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    content = F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(F.concat(F.lit('{"e":'), F.col("props"), F.lit("}")))
+    return summary(convert(_files(e, e.event_id, content), "json", "yaml")).select("converted", "lossy", "failed")
+
+
+@query("select event_id, 'k' as key, regexp_extract(props, ': ([0-9]+)', 1) as value, 'int' as kind from events")
+def json_scalar_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.regexp_extract("props", ": ([^}]*)", 1)
+    return table(spark, sf_dir, "events").select("event_id", F.element_at(F.json_object_keys("props"), 1).alias("key"), value.alias("value"), T.json_number_kind(value).alias("kind"))
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 4 x 4 gray image (PGM) for each part, made of its key."""
+    p = table(spark, sf_dir, "part")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.lpad(F.hex((F.col("p_partkey") * 7 + k * 13) % 256), 2, "0")), "")
+    return p.select(F.col("p_partkey").cast("string").alias("path"), F.unhex(F.concat(F.hex(F.lit("P5\n4 4\n255\n").cast("binary")), body)).alias("content"))
+
+
+def _image_chain(name: str, *formats: str):
+    sql = """select cast(p_partkey as varchar) as path, (select string_agg(lpad(format('{:X}', (p_partkey * 7 + k * 13) % 256), 2, '0'), '' order by k) from range(16) t(k)) as pixels from part"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = _pixels(spark, sf_dir)
+        for source, target in zip(formats, formats[1:], strict=False):
+            files = convert(files, source, target).select("path", "content")
+        return files.select("path", F.hex(F.substring("content", 12, 16)).alias("pixels"))
+
+    run.__name__ = name
+    return query(sql)(run)
+
+
+_image_chain("image_chain_lossless", "pgm", "png", "tiff", "tga", "bmp", "qoi", "pam", "pgm")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_paragraphs(spark, sf_dir)
