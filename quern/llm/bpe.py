@@ -17,7 +17,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import batch_rows, id_text, in_batches, slices
 
-#: Pieces of text kept per worker process in each of two generations, and the bytes of the longest that is kept.
-MOST_PIECES = 250_000
+#: Pieces of text remembered by a worker process, and the bytes of the longest; beyond it the memory starts afresh.
+MOST_PIECES = 450_000
 LONGEST_KEPT = 48
 _FOREVER = 1 << 60
 
@@ -243,8 +242,7 @@ class Bpe:
         self.label = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self.to_byte = np.zeros(max(map(ord, self.spell)) + 1, np.uint8)
         self.to_byte[[ord(c) for c in self.spell]] = list(self.spell.values())
-        self.young: dict[bytes, tuple[bytes, str]] = {}
-        self.old: dict[bytes, tuple[bytes, str]] = {}
+        self.seen: dict[bytes, tuple[bytes, str]] = {}
 
     def _words(self, text: str) -> list[tuple[str, tuple[int, int]]]:
         norm = self.split.normalizer.normalize_str(text) if self.split.normalizer else text
@@ -268,11 +266,6 @@ class Bpe:
     def decode(self, ids) -> str:
         return " ".join([self.label[i] for i in ids])
 
-    def _keep(self, piece: bytes, ids: bytes, label: str) -> None:
-        if len(self.young) >= MOST_PIECES:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids, label
-
     def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
         """Little-endian ids and labels of pieces of text without ASCII white space.
 
@@ -299,9 +292,6 @@ class Bpe:
             for (b, _), z in zip(plain, cuts, strict=True):
                 got[b] = raw[4 * a : 4 * z], " ".join(labels[a:z])
                 a = z
-        for b, (ids, label) in got.items():
-            if len(b) <= LONGEST_KEPT:
-                self._keep(b, ids, label)
         return got
 
     @staticmethod
@@ -313,20 +303,18 @@ class Bpe:
     def pieces(self, texts: list[str | None]) -> Iterator[list[tuple[bytes, str]]]:
         """For each text its pieces' ids and labels; pieces not seen before are encoded together."""
         cut = [self._cut(t) if t else [] for t in texts]
-        here: dict[bytes, tuple[bytes, str] | None] = dict.fromkeys(chain.from_iterable(cut))
-        young, old, missing = self.young, self.old, []
-        for b in here:
-            if (v := young.get(b)) is None:
-                if (v := old.get(b)) is None:
-                    missing.append(b)
-                    continue
-                self._keep(b, *v)
-                young, old = self.young, self.old
-            here[b] = v
-        for k in range(0, len(missing), 50_000):
-            here |= self.learn(missing[k : k + 50_000])
+        pieces = set().union(*cut)
+        new = pieces.difference(self.seen)
+        if len(self.seen) + len(new) > MOST_PIECES:
+            self.seen, new = {}, pieces
+        seen, todo = self.seen, list(new)
+        for k in range(0, len(todo), 50_000):
+            seen.update(self.learn(todo[k : k + 50_000]))
         for c in cut:
-            yield list(map(here.__getitem__, c))
+            yield list(map(seen.__getitem__, c))
+        for b in new:
+            if len(b) > LONGEST_KEPT:
+                del seen[b]
 
 
 def byte_letters() -> dict[str, int]:
