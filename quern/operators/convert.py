@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans import planner
-from quern.plans.catalogue import ONE_PART
-from quern.sources import events, images, rows, trees, workbooks
+from quern.plans.catalogue import ONE_PART, listed_edges
+from quern.sources import events, images, office, pdf, rows, trees, workbooks
 from quern.sources.rows import Malformed, Report, Unsupported
 
 Part = tuple[str, bytes]
@@ -140,26 +140,39 @@ for _s in _TREE_READERS:
         if _s != _t:
             CONVERTERS[_s, _t] = one(partial(_tree, _s, _t))
 
-_DOCUMENT_READERS = {"text": events.read_text, "markdown": events.read_markdown, "html": events.read_html, "markdown-json": events.from_json}
-_DOCUMENT_WRITERS = {"text": events.write_text, "markdown": events.write_markdown, "html": events.write_html, "markdown-json": events.to_json}
+_TEXT_READERS = {"text": events.read_text, "markdown": events.read_markdown, "html": events.read_html, "markdown-json": events.from_json}
+_TEXT_WRITERS = {"text": events.write_text, "markdown": events.write_markdown, "html": events.write_html, "markdown-json": events.to_json}
+_DOCUMENTS = ("text", "markdown", "html", "markdown-json", *office.READERS, "pdf")
 
 
 def _document(source: str, target: str, content: bytes, options: dict, report: Report) -> bytes:
-    if target == "text" and source != "text":
-        report.loss("formatting is dropped")
-    return _DOCUMENT_WRITERS[target](_DOCUMENT_READERS[source](rows.decode(content))).encode()
+    if source == "pdf" and target == "text":
+        return pdf.read_text(content, report, options.get("page")).encode()
+    if source in _TEXT_READERS:
+        blocks = _TEXT_READERS[source](rows.decode(content))
+    else:
+        blocks = pdf.read_blocks(content, report, options.get("page")) if source == "pdf" else office.READERS[source](content, report)
+    if target in _TEXT_WRITERS:
+        if target == "text" and source != "text":
+            report.loss("formatting is dropped")
+        return _TEXT_WRITERS[target](blocks).encode()
+    return pdf.write_text(blocks, report) if target == "pdf" else office.WRITERS[target](blocks, report)
 
 
-for _s, _t in (("text", "markdown"), ("text", "html"), ("markdown", "html"), ("markdown", "text"), ("markdown", "markdown-json"), ("markdown-json", "markdown"), ("html", "markdown"), ("html", "text")):
-    CONVERTERS[_s, _t] = one(partial(_document, _s, _t))
+for _, _s, _t, _ in listed_edges():
+    if _s in _DOCUMENTS and _t in _DOCUMENTS:
+        CONVERTERS[_s, _t] = one(partial(_document, _s, _t))
+
+_IMAGE_READERS = images.READERS | {"pdf": pdf.read_image}
+_IMAGE_WRITERS = images.WRITERS | {"pdf": pdf.write_image}
 
 
 def _raster(source: str, target: str, content: bytes, options: dict, report: Report) -> bytes:
-    return images.WRITERS[target](images.READERS[source](content, report), report)
+    return _IMAGE_WRITERS[target](_IMAGE_READERS[source](content, report), report)
 
 
-for _s in images.READERS:
-    for _t in images.WRITERS:
+for _s in _IMAGE_READERS:
+    for _t in _IMAGE_WRITERS:
         if _s != _t:
             CONVERTERS[_s, _t] = one(partial(_raster, _s, _t))
 

@@ -764,7 +764,7 @@ def write_markdown(blocks: list[tuple]) -> str:
         out = ""
         for k, b in enumerate(bs):
             if k:
-                out += "\n\n<!-- -->\n\n" if b[0] == "list" and bs[k - 1][0] == "list" else "\n\n"
+                out += "\n\n<!-- -->\n\n" if b[0] == "list" == bs[k - 1][0] and (b[1] is None) == (bs[k - 1][1] is None) else "\n\n"
             out += one(b)
         return out
 

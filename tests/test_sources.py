@@ -3,7 +3,7 @@ import pytest
 
 from quern.operators.convert import CONVERTERS, convert, convert_bytes, summary
 from quern.plans.catalogue import edges
-from quern.sources import events, images, rows, trees, workbooks
+from quern.sources import events, images, office, pdf, rows, trees, workbooks
 from quern.sources.rows import Malformed, Report, Unsupported
 
 
@@ -158,6 +158,37 @@ def test_workbooks():
         convert_bytes(book, [("xlsx", "csv")], {"sheet": "C"}, Report())
 
 
+@pytest.mark.parametrize("kind", sorted(office.READERS))
+def test_office(kind):
+    blocks = events.read_markdown(MARKDOWN)
+    got = office.READERS[kind](office.WRITERS[kind](blocks, Report()), Report())
+    text = events.write_text(got)
+    for part in ("Title em c", "para one", "- a", "1. x", "q", "1  2|3", "x = 1", "l (http://a.b)" if kind != "rtf" else "l"):
+        assert part in text
+    assert got[0][:2] == ("h", 1) and ("strong", [("text", "bold "), ("em", [("text", "x")])]) in got[1][1]
+    with pytest.raises(Malformed):
+        office.READERS[kind](b"nothing of the kind", Report())
+
+
+def test_pdf():
+    blocks = events.read_markdown("# Title\n\nOne two (three) \\\\ é\n\n" + "word " * 400 + "\n\n- item\n")
+    made = pdf.write_text(blocks, Report())
+    text = pdf.read_text(made, Report())
+    assert text.startswith("Title\nOne two (three) \\ é\nword word") and text.rstrip().endswith("• item") and text.count("word") == 400
+    again = pdf.read_blocks(made, Report())
+    assert again[0] == ("h", 1, [("text", "Title")]) and again[1] == ("p", [("text", "One two (three) \\ é")])
+    with pytest.raises(Malformed):
+        pdf.read_text(b"no", Report())
+    with pytest.raises(Unsupported):
+        pdf.read_text(made, Report(), "9")
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_pdf_images(channels):
+    image = np.random.default_rng(1).integers(0, 256, (9, 11, channels), dtype=np.uint8)
+    assert (pdf.read_image(pdf.write_image(image, Report()), Report()) == image).all()
+
+
 def test_converters_are_edges():
     assert set(CONVERTERS) <= {(a, b) for _, a, b, _ in edges()}
 
@@ -170,4 +201,4 @@ def test_convert(spark):
     assert summary(convert(files, "csv", "yaml")).first().asDict() == {"converted": 2, "lossy": 1, "failed": 2}
     parts = convert(spark.createDataFrame([("t.md", bytearray(b"# A\n\n|x|\n|-|\n|1|\n\n# B\n\n|z|\n|-|\n|3|\n"))], "path string, content binary"), "markdown", "csv").orderBy("part_index").collect()
     assert [(p.part_name, p.content) for p in parts] == [("A", b"x\n1\n"), ("B", b"z\n3\n")]
-    assert convert(files.limit(1), "csv", "docx").first().error.kind == "unsupported"
+    assert convert(files.limit(1), "csv", "numbers").first().error.kind == "unsupported"
