@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.plans import planner
 from quern.plans.catalogue import ONE_PART, listed_edges
-from quern.sources import events, images, office, pdf, rows, trees, workbooks
+from quern.sources import events, images, jpeg, office, pdf, rows, trees, workbooks
 from quern.sources.rows import Malformed, Report, Unsupported
 
 Part = tuple[str, bytes]
@@ -163,12 +163,17 @@ for _, _s, _t, _ in listed_edges():
     if _s in _DOCUMENTS and _t in _DOCUMENTS:
         CONVERTERS[_s, _t] = one(partial(_document, _s, _t))
 
-_IMAGE_READERS = images.READERS | {"pdf": pdf.read_image}
-_IMAGE_WRITERS = images.WRITERS | {"pdf": pdf.write_image}
+_IMAGE_READERS = images.READERS | {"jpeg": jpeg.read, "pdf": pdf.read_image}
+_IMAGE_WRITERS = images.WRITERS | {"jpeg": jpeg.write, "pdf": pdf.write_image}
 
 
 def _raster(source: str, target: str, content: bytes, options: dict, report: Report) -> bytes:
-    return _IMAGE_WRITERS[target](_IMAGE_READERS[source](content, report), report)
+    if source == "jpeg" and target == "pdf":
+        return pdf.write_jpeg(content, report)
+    image = pdf.read_image(content, report, options.get("page")) if source == "pdf" else _IMAGE_READERS[source](content, report)
+    if target == "jpeg":
+        return jpeg.write(image, report, int(options.get("quality", 85)))
+    return _IMAGE_WRITERS[target](image, report)
 
 
 for _s in _IMAGE_READERS:

@@ -464,5 +464,58 @@ def read_tiff(b: bytes, report: Report) -> np.ndarray:
     return 255 - x if kind == 0 else x
 
 
-READERS = {"bmp": read_bmp, "qoi": read_qoi, "png": read_png, "pbm": read_netpbm, "pgm": read_netpbm, "ppm": read_netpbm, "pam": read_netpbm, "tga": read_tga, "tiff": read_tiff}
-WRITERS = {"bmp": write_bmp, "qoi": write_qoi, "png": write_png, "pbm": writer_netpbm("pbm"), "pgm": writer_netpbm("pgm"), "ppm": writer_netpbm("ppm"), "pam": writer_netpbm("pam"), "tga": write_tga, "tiff": write_tiff}
+def read_ico(b: bytes, report: Report) -> np.ndarray:
+    """The largest picture of an icon or cursor, the deepest of equal ones."""
+    if len(b) < 6 or b[:2] != b"\0\0" or b[2:4] not in (b"\1\0", b"\2\0"):
+        raise Malformed("no icon header")
+    count = struct.unpack_from("<H", b, 4)[0]
+    if not count or len(b) < 6 + 16 * count:
+        raise Malformed("the icon holds no picture")
+    entries = []
+    for k in range(count):
+        w, h, _, _, _, bits, size, at = struct.unpack_from("<BBBBHHII", b, 6 + 16 * k)
+        part = b[at : at + size]
+        depth = 32 if part[:4] == b"\x89PNG" else struct.unpack_from("<H", part, 14)[0] if len(part) >= 16 else 0
+        entries.append(((w or 256) * (h or 256), depth, -k, part))
+    if count > 1:
+        report.loss(f"{count - 1} smaller pictures are dropped")
+    part = max(entries)[3]
+    if part[:4] == b"\x89PNG":
+        return read_png(part, report)
+    if len(part) < 40:
+        raise Malformed("the icon is cut short")
+    size, width, double, _, bits, packing = struct.unpack_from("<IiiHHI", part)
+    height = double // 2
+    if packing or bits not in (1, 4, 8, 24, 32):
+        raise Unsupported("a compressed picture in an icon")
+    _guard(width, height, 4)
+    colours = (struct.unpack_from("<I", part, 32)[0] or 1 << bits) if bits <= 8 else 0
+    offset, stride = size + 4 * colours, (width * bits + 31) // 32 * 4
+    head = struct.pack("<IHHI", 14 + len(part), 0, 0, 14 + offset)
+    x = read_bmp(b"BM" + head + part[:8] + struct.pack("<i", height) + part[12:], report)
+    if bits == 32:
+        raw = np.frombuffer(part, np.uint8, height * stride, offset).reshape(height, width, 4)[::-1]
+        if raw[..., 3].any():
+            return np.dstack([x[..., :3], raw[..., 3]])
+    line = (width + 31) // 32 * 4
+    masked = part[offset + height * stride : offset + height * stride + height * line]
+    if len(masked) < height * line:
+        return x
+    mask = np.unpackbits(np.frombuffer(masked, np.uint8).reshape(height, line), axis=1)[::-1, :width]
+    return np.dstack([x[..., :3], np.where(mask == 1, 0, 255).astype(np.uint8)]) if mask.any() else x
+
+
+def write_ico(image: np.ndarray, report: Report) -> bytes:
+    """One picture, as a PNG of at most 256 x 256."""
+    h, w, _ = image.shape
+    if max(h, w) > 256:
+        report.loss("the picture is scaled down to 256")
+        scale = 256 / max(h, w)
+        image = downscale(image, max(1, round(w * scale)), max(1, round(h * scale)))
+        h, w, _ = image.shape
+    body = write_png(image, report)
+    return struct.pack("<HHHBBBBHHII", 0, 1, 1, w % 256, h % 256, 0, 0, 1, 8 * image.shape[2], len(body), 22) + body
+
+
+READERS = {"bmp": read_bmp, "qoi": read_qoi, "png": read_png, "pbm": read_netpbm, "pgm": read_netpbm, "ppm": read_netpbm, "pam": read_netpbm, "tga": read_tga, "tiff": read_tiff, "ico": read_ico, "cur": read_ico}
+WRITERS = {"bmp": write_bmp, "qoi": write_qoi, "png": write_png, "pbm": writer_netpbm("pbm"), "pgm": writer_netpbm("pgm"), "ppm": writer_netpbm("ppm"), "pam": writer_netpbm("pam"), "tga": write_tga, "tiff": write_tiff, "ico": write_ico}

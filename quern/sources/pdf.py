@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 
-from quern.sources import events
+from quern.sources import events, jpeg
 from quern.sources.rows import Malformed, Report, Unsupported
 
 _WIDTH, _HEIGHT, _MARGIN = 595, 842, 64
@@ -130,13 +130,18 @@ class Pdf:
             x, seen = self.objects.get(int(x)), seen + 1
         return x
 
-    def stream(self, number: int) -> bytes:
+    def raw(self, number: int) -> bytes:
+        """A stream's bytes as they stand in the file."""
         info, at = self.objects.get(number), self.streams.get(number)
         if at is None:
             return b""
         length = self.get(info.get("Length"))
         end = at + int(length) if isinstance(length, float) and self.content[at + int(length) : at + int(length) + 12].lstrip().startswith(b"endstream") else self.content.find(b"endstream", at)
-        data, filters = self.content[at:end], self.get(info.get("Filter")) or []
+        return self.content[at:end]
+
+    def stream(self, number: int) -> bytes:
+        info = self.objects.get(number) or {}
+        data, filters = self.raw(number), self.get(info.get("Filter")) or []
         for f in filters if isinstance(filters, list) else [filters]:
             if f != "FlateDecode":
                 raise Unsupported(f"streams packed by {f}")
@@ -298,6 +303,8 @@ def read_image(content: bytes, report: Report, page: str | None = None) -> np.nd
         for ref in (pdf.get((pdf.get(p.get("Resources")) or {}).get("XObject")) or {}).values():
             info = pdf.get(ref)
             if isinstance(info, dict) and info.get("Subtype") == "Image" and isinstance(ref, _Ref):
+                if pdf.get(info.get("Filter")) == "DCTDecode":
+                    return jpeg.read(pdf.raw(int(ref)), report)
                 n = {"DeviceGray": 1, "DeviceRGB": 3}.get(pdf.get(info.get("ColorSpace")))
                 w, h = int(pdf.get(info["Width"])), int(pdf.get(info["Height"]))
                 if n is None or pdf.get(info.get("BitsPerComponent")) != 8:
@@ -341,6 +348,16 @@ def write_image(image: np.ndarray, report: Report) -> bytes:
     return _file(objects)
 
 
+def write_jpeg(content: bytes, report: Report) -> bytes:
+    """One page that holds the JPEG file as it is."""
+    m = re.compile(rb"\xff[\xc0-\xc2]..\x08(..)(..)(.)", re.S).search(content)
+    if content[:2] != b"\xff\xd8" or not m or m[3][0] not in (1, 3):
+        raise Unsupported("a JPEG that a PDF can't hold as it is")
+    h, w, space = int.from_bytes(m[1], "big"), int.from_bytes(m[2], "big"), b"/DeviceGray" if m[3] == b"\1" else b"/DeviceRGB"
+    picture = b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /BitsPerComponent 8 /ColorSpace %s /Filter /DCTDecode /Length %d >>\nstream\n" % (w, h, space, len(content))
+    return _file([b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /XObject << /I 5 0 R >> >> /Contents 4 0 R >>" % (w, h), _stream(b"q %d 0 0 %d 0 0 cm /I Do Q" % (w, h)), picture + content + b"\nendstream"])
+
+
 #: Advance widths of Helvetica's letters, in thousandths of the size, from the blank to the tilde.
 _WIDTHS = "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 1015 667 667 722 722 667 611 778 722 278 500 667 556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584"
 

@@ -3,7 +3,7 @@ import pytest
 
 from quern.operators.convert import CONVERTERS, convert, convert_bytes, summary
 from quern.plans.catalogue import edges
-from quern.sources import events, images, office, pdf, rows, trees, workbooks
+from quern.sources import events, images, jpeg, office, pdf, rows, trees, workbooks
 from quern.sources.rows import Malformed, Report, Unsupported
 
 
@@ -78,7 +78,7 @@ def test_images(kind, channels):
     if kind in want:
         assert (got == want[kind]).all()
     else:
-        assert (got == (image if kind in ("png", "tiff", "pam") or kind == "tga" and channels == 1 else images.colour(image))).all()
+        assert (got == (image if kind in ("png", "tiff", "pam", "ico") or kind == "tga" and channels == 1 else images.colour(image))).all()
 
 
 def test_image_refusals():
@@ -88,6 +88,20 @@ def test_image_refusals():
     assert images.downscale(np.full((4, 4, 3), 7, np.uint8), 2, 2).tolist() == [[[7] * 3] * 2] * 2
 
 
+def test_icons():
+    rgb = np.random.default_rng(2).integers(0, 256, (5, 3, 3), dtype=np.uint8)
+    bmp = images.write_bmp(rgb, Report())
+    mask = np.zeros((5, 4), np.uint8)
+    mask[0, 0] = 0x80  # the bottom left pixel is clear
+    part = bmp[14:22] + (10).to_bytes(4, "little") + bmp[26:] + mask.tobytes()
+    small = images.write_png(rgb[:2, :2], Report())
+    head = b"\0\0\2\0\2\0" + bytes([3, 5, 0, 0, 1, 0, 24, 0]) + len(part).to_bytes(4, "little") + (38).to_bytes(4, "little") + bytes([2, 2, 0, 0, 1, 0, 24, 0]) + len(small).to_bytes(4, "little") + (38 + len(part)).to_bytes(4, "little")
+    got = images.read_ico(head + part + small, Report())
+    assert (got[..., :3] == rgb).all() and got[4, 0, 3] == 0 and got[..., 3].sum() == 14 * 255
+    big = images.read_ico(images.write_ico(np.full((600, 300, 3), 9, np.uint8), Report()), Report())
+    assert big.shape == (256, 128, 3) and (big == 9).all()
+
+
 MARKDOWN = """# Title *em* `c`
 
 para one
@@ -189,6 +203,23 @@ def test_pdf_images(channels):
     assert (pdf.read_image(pdf.write_image(image, Report()), Report()) == image).all()
 
 
+@pytest.mark.parametrize("channels", [1, 3])
+def test_jpeg(channels):
+    y, x = np.mgrid[0:37, 0:45]
+    image = np.stack([(x * 5 + y) % 256, (y * 6) % 256, (x * 2 + y * 3) % 256][:channels], 2).astype(np.uint8)
+    errors = []
+    for quality in (30, 85, 100):
+        made = jpeg.write(image, Report(), quality)
+        got = jpeg.read(made, Report())
+        assert got.shape == image.shape
+        errors.append(np.abs(got.astype(int) - image).mean())
+    assert errors[0] > errors[1] > errors[2] and errors[2] < 1.2
+    page = convert_bytes(made, [("jpeg", "pdf")], {}, Report())[0][1]
+    assert made in page and (pdf.read_image(page, Report()) == got).all()
+    with pytest.raises(Malformed):
+        jpeg.read(made[: len(made) // 4], Report())
+
+
 def test_converters_are_edges():
     assert set(CONVERTERS) <= {(a, b) for _, a, b, _ in edges()}
 
