@@ -294,5 +294,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "
     found = scan(docs, benchmark, size, False, id_col, text_col, item_col).withColumn("n_hit", n_hit()).where("n_hit > 0")
     hits = found.groupBy("doc_id").agg(F.max(contaminated()).alias("__bad"), F.first("spans").alias("__spans")).withColumnRenamed("doc_id", "__hit_id")
     joined = docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id")), "left").where(F.col("__bad").isNull() | ~F.col("__bad"))
-    cut_out = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.coalesce("__spans", F.array().cast("array<array<int>>"))))
+    # Python gets the texts that change only
+    cut_out = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(without(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.coalesce("__spans", F.array().cast("array<array<int>>"))))
     return joined.withColumn(text_col, cut_out).drop("__hit_id", "__bad", "__spans")

@@ -276,7 +276,8 @@ def dedup_texts(docs: DataFrame, size: int = 50, index: WindowIndex | None = Non
     spans = removed_windows(docs, size, index, id_col, text_col).select(F.col("doc_id").alias("__span_id"), F.transform("spans", lambda x: F.array(x["first"], x["n"])).alias("__spans"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
     joined = docs.join(spans, key == F.col("__span_id"), "left")
-    changed = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.coalesce("__spans", F.array().cast("array<array<int>>"))))
+    # Python gets the texts that change only
+    changed = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(kept(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.coalesce("__spans", F.array().cast("array<array<int>>"))))
     out = joined.withColumn(text_col, changed)
     if drop_emptied:
         out = out.where(F.col("__spans").isNull() | (F.col(text_col) != ""))
