@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -40,17 +41,44 @@ class Report:
         self.warnings.append(text)
 
 
+_DECLARED = re.compile(rb"""(?:charset\s*=\s*["']?|encoding\s*=\s*["'])(shift_jis|euc-jp|iso-2022-jp|utf-8)""", re.I)
+
+
+def japanese(content: bytes) -> str | None:
+    """Text in the Japanese charset that it declares in its first kilobyte, or else reads best as; null if in none."""
+    declared = _DECLARED.search(content[:1024])
+    if declared and declared[1].lower() != b"utf-8":
+        names = [{b"shift_jis": "cp932", b"euc-jp": "euc_jp", b"iso-2022-jp": "iso2022_jp"}[declared[1].lower()]]
+    else:
+        names = ["iso2022_jp"] if b"\x1b$" in content else ["euc_jp", "cp932"]
+    best, most = None, 0
+    for name in names:
+        try:
+            text = content.decode(name)
+        except UnicodeDecodeError:
+            continue
+        # full-width kana and common ideographs speak for a charset, half-width kana against it
+        score = sum("\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in text) - 2 * sum("\uff61" <= c <= "\uff9f" for c in text)
+        if score > most:
+            best, most = text, score
+    return best
+
+
 def decode(content: bytes) -> str:
-    """UTF-8 with or without a mark, or UTF-16 with one; NUL becomes U+FFFD."""
+    """UTF-8 with or without a mark, UTF-16 with one, or a Japanese charset; NUL becomes U+FFFD."""
     for mark, codec in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if content.startswith(mark):
             content = content[len(mark) :]
             break
     else:
         codec = "utf-8"
+        if b"\x1b$" in content and (text := japanese(content)) is not None:
+            return text
     try:
-        return content.decode(codec).replace("\0", "�")
+        return content.decode(codec).replace("\0", "\ufffd")
     except UnicodeDecodeError as e:
+        if codec == "utf-8" and (text := japanese(content)) is not None:
+            return text.replace("\0", "\ufffd")
         raise Malformed("the text is not valid " + codec.upper(), content[: e.start].count(b"\n") + 1) from None
 
 

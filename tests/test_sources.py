@@ -16,6 +16,16 @@ def test_delimited():
     assert rows.delimiter_of("a;b\n1;2\n") == ";"
 
 
+def test_charsets():
+    text = "日本語のテキスト、かなと漢字。\n"
+    for codec in ("utf-8", "utf-8-sig", "utf-16", "shift_jis", "euc_jp", "iso2022_jp"):
+        assert rows.decode(text.encode(codec)) == text
+    assert rows.decode(b"a\0b") == "a\ufffdb"
+    with pytest.raises(Malformed) as e:
+        rows.decode(b"ok\ncaf\xe9 au lait\n")
+    assert e.value.line == 2
+
+
 def test_ragged():
     report = Report()
     got = list(rows.objects_of(rows.parse_delimited("a,b\n1\n1,2,3\n"), report))
