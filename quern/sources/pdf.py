@@ -335,19 +335,29 @@ def _stream(data: bytes, extra: bytes = b"") -> bytes:
     return b"<< /Length %d /Filter /FlateDecode%s >>\nstream\n" % (len(packed), extra) + packed + b"\nendstream"
 
 
-def write_image(image: np.ndarray, report: Report) -> bytes:
-    """One page of the picture's size."""
-    h, w, n = image.shape
-    colours = image if n in (1, 3) else image[..., :-1]
-    space = b"/DeviceGray" if colours.shape[2] == 1 else b"/DeviceRGB"
-    head = b" /Type /XObject /Subtype /Image /Width %d /Height %d /BitsPerComponent 8 /ColorSpace " % (w, h)
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /XObject << /I 5 0 R >> >> /Contents 4 0 R >>" % (w, h), _stream(b"q %d 0 0 %d 0 0 cm /I Do Q" % (w, h))]
-    objects.append(_stream(np.ascontiguousarray(colours).tobytes(), head + space + (b" /SMask 6 0 R" if n in (2, 4) else b"")))
-    if n in (2, 4):
-        objects.append(_stream(np.ascontiguousarray(image[..., -1]).tobytes(), head + b"/DeviceGray"))
+def write_images(images: list[np.ndarray]) -> bytes:
+    """A page of its picture's size for each picture."""
+    objects, kids = [b"<< /Type /Catalog /Pages 2 0 R >>", b""], []
+    for image in images:
+        h, w, n = image.shape
+        colours = image if n in (1, 3) else image[..., :-1]
+        space = b"/DeviceGray" if colours.shape[2] == 1 else b"/DeviceRGB"
+        head = b" /Type /XObject /Subtype /Image /Width %d /Height %d /BitsPerComponent 8 /ColorSpace " % (w, h)
+        first = len(objects) + 1
+        kids.append(first)
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /XObject << /I %d 0 R >> >> /Contents %d 0 R >>" % (w, h, first + 2, first + 1))
+        objects.append(_stream(b"q %d 0 0 %d 0 0 cm /I Do Q" % (w, h)))
+        objects.append(_stream(np.ascontiguousarray(colours).tobytes(), head + space + (b" /SMask %d 0 R" % (first + 3) if n in (2, 4) else b"")))
+        if n in (2, 4):
+            objects.append(_stream(np.ascontiguousarray(image[..., -1]).tobytes(), head + b"/DeviceGray"))
+    objects[1] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % k for k in kids), len(kids))
     return _file(objects)
 
 
+def write_image(image: np.ndarray, report: Report) -> bytes:
+    return write_images([image])
+
+
 def write_jpeg(content: bytes, report: Report) -> bytes:
     """One page that holds the JPEG file as it is."""
     m = re.compile(rb"\xff[\xc0-\xc2]..\x08(..)(..)(.)", re.S).search(content)
