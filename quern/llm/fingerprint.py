@@ -13,6 +13,7 @@ Equal texts have equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -165,11 +166,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     least = docs.agg(F.min("doc_id")).first()[0]
     firsts = sorted({b for b in bounds if b != least} | ({least} if least is not None else set()))
     last = len(firsts) - 1
-    # a range's number by binary search in Python would leave the JVM; the array has at most `parts` entries
-    edges = F.array(*[F.lit(b).cast("long") for b in firsts]) if firsts else F.array().cast("array<long>")
-    number = F.greatest(F.lit(0), F.expr("aggregate(edges, -1, (n, b) -> n + int(b <= doc_id))"))
-    placed = docs.withColumn("edges", edges).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(number))
-    first = F.expr("array_contains(edges, doc_id)")
+    # edges in rows of about the root of their number: a row counts the rows that begin at or before its id, then the edges
+    # of the last of these
+    width = max(1, math.isqrt(len(firsts)))
+    chunks = [firsts[k : k + width] for k in range(0, len(firsts), width)]
+    edges = F.array(*[F.array(*[F.lit(b).cast("long") for b in c]) for c in chunks]) if chunks else F.array().cast("array<array<long>>")
+    placed = docs.withColumn("edges", edges).withColumn("c", F.expr("aggregate(edges, 0, (n, e) -> n + int(e[0] <= doc_id))"))
+    placed = placed.withColumn("row", F.expr("try_element_at(edges, if(c > 0, c, null))")).withColumn("r", F.expr("aggregate(row, 0, (n, b) -> n + int(b <= doc_id))"))
+    placed = placed.withColumn("part", F.coalesce(F.expr(f"(c - 1) * {width} + r - 1"), F.lit(0)))
+    first = F.coalesce(F.expr("row[r - 1] = doc_id"), F.lit(False))
     before = F.when(F.col("part") == 0, last).otherwise(F.col("part") - 1)
     copies = F.when(first, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(before.alias("part"), F.lit(True).alias("ahead")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))))
     rows = placed.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.part", "c.ahead", "doc_id", "text")
