@@ -146,7 +146,8 @@ class _Blocks:
                     if end is not None and end.search(raw[-1]):
                         break
                 out.append(("html", "".join(s + "\n" for s in raw)))
-            elif not paragraph and k + 1 < len(lines) and "|" in line + lines[k + 1] and _DELIMITERS.match(lines[k + 1]) and len(_cells(line)) == len(_cells(lines[k + 1])):
+            elif k + 1 < len(lines) and "|" in line + lines[k + 1] and _DELIMITERS.match(lines[k + 1]) and len(_cells(line)) == len(_cells(lines[k + 1])):
+                close()
                 aligns = [{(True, True): "center", (True, False): "left", (False, True): "right"}.get((c.startswith(":"), c.endswith(":")), "") for c in _cells(lines[k + 1])]
                 head, rows, k = _cells(line), [], k + 2
                 while k < len(lines) and lines[k].strip() and not self._starts(lines[k]):
@@ -228,7 +229,7 @@ def _unescape(s: str) -> str:
 _TOKEN = re.compile(
     r"""(?P<escape>\\[!-/:-@\[-`{-~])|(?P<hard>(?:\ {2,}|\\)\n\ *)|(?P<soft>\ ?\n\ *)|(?P<ticks>`+)|(?P<auto><(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+)>)
     |(?P<tag><(?:[A-Za-z][\w-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?|/[A-Za-z][\w-]*\s*|!--[\s\S]*?--|\?[\s\S]*?\?|![A-Za-z][^>]*)>)
-    |(?P<entity>&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)|(?P<run>\*+|_+|~{1,2}(?!~))|(?P<open>!?\[)|(?P<close>\])|(?P<url>(?<![\w/])(?:https?://|www\.)[^\s<]*[^\s<?!.,:*_~'")\]])""",
+    |(?P<entity>&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)|(?P<run>\*+|_+|~+)|(?P<open>!?\[)|(?P<close>\])|(?P<url>(?<![\w/])(?:https?://|ftp://|www\.)[^\s<]+)|(?P<mail>(?<![\w.+-])(?:mailto:|xmpp:)?[\w.+-]+@[\w-]+(?:\.[\w-]+)+)""",
     re.X,
 )
 _TARGET = re.compile(r"""\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)""")
@@ -266,7 +267,14 @@ def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
         elif kind == "auto":
             nodes.append(("link", s[1:-1] if ":" in s.split("@")[0] else "mailto:" + s[1:-1], "", [("text", s[1:-1])]))
         elif kind == "url":
-            nodes.append(("link", ("http://" if s.startswith("www.") else "") + s, "", [("text", s)]))
+            link = _bare(s)
+            at = m.start() + len(link or s[:3])
+            put(s[:3]) if not link else nodes.append(("link", ("http://" if link.startswith("www.") else "") + link, "", [("text", link)]))
+        elif kind == "mail":
+            if s[-1] in "-_":
+                put(s)
+            else:
+                nodes.append(("link", s if s.startswith(("mailto:", "xmpp:")) else "mailto:" + s, "", [("text", s)]))
         elif kind == "tag":
             nodes.append(("html", s))
         elif kind == "entity":
@@ -307,6 +315,21 @@ def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
     return _emphasis(nodes)
 
 
+def _bare(s: str) -> str | None:
+    """The part of a bare address that is a link: no trailing marks, brackets in pairs, a host without underscores at its end."""
+    while s:
+        if s[-1] in "?!.,:*_~'\"":
+            s = s[:-1]
+        elif s[-1] == ")" and s.count(")") > s.count("("):
+            s = s[:-1]
+        elif s[-1] == ";" and (m := re.search(r"&[A-Za-z0-9]+;$", s)):
+            s = s[: m.start()]
+        else:
+            break
+    host = re.match(r"(?:https?://|ftp://)?([^/?#\s]*)", s)[1].split(".")
+    return s if (len(host) > 1 or "://" in s) and host[-1] and not any("_" in x for x in host[-2:]) else None
+
+
 def _punctuation(c: str) -> bool:
     import unicodedata
 
@@ -327,7 +350,7 @@ def _emphasis(nodes: list) -> list[tuple]:
                 if closer[0] != "~" and (closer[2] or opener[3]) and (opener[4] + closer[4]) % 3 == 0 and not (opener[4] % 3 == 0 and closer[4] % 3 == 0):
                     continue
                 if closer[0] == "~":
-                    if opener[1] != closer[1]:
+                    if opener[1] != closer[1] or closer[1] > 2:
                         continue
                     use, kind = closer[1], "del"
                 else:
@@ -642,6 +665,9 @@ def _plain(inlines: list[tuple]) -> str:
     return "".join(n[1] if n[0] in ("text", "code") else " " if n[0] == "soft" else "\n" if n[0] == "br" else _plain(n[-1]) if isinstance(n[-1], list) else "" for n in inlines)
 
 
+_FILTERED = re.compile(r"<(?=/?(?:title|textarea|style|xmp|iframe|noembed|noframes|script|plaintext)[\s/>])", re.I)
+
+
 def _html_inline(inlines: list[tuple]) -> str:
     out = []
     for n in inlines:
@@ -656,7 +682,7 @@ def _html_inline(inlines: list[tuple]) -> str:
             title = f' title="{escape(n[2])}"' if n[2] else ""
             out.append(f'<a href="{address(n[1])}"{title}>{_html_inline(n[3])}</a>' if kind == "link" else f'<img src="{address(n[1])}" alt="{escape(_plain(n[3]))}"{title} />')
         else:
-            out.append({"br": "<br />\n", "soft": "\n"}.get(kind) or n[1])
+            out.append({"br": "<br />\n", "soft": "\n"}.get(kind) or _FILTERED.sub("&lt;", n[1]))
     return "".join(out)
 
 
@@ -676,7 +702,7 @@ def write_html(blocks: list[tuple], tight: bool = False) -> str:
         elif kind == "hr":
             out.append("<hr />\n")
         elif kind == "html":
-            out.append(b[1])
+            out.append(_FILTERED.sub("&lt;", b[1]))
         elif kind == "list":
             name = "ul" if b[1] is None else "ol"
             out.append(f"<{name}" + (f' start="{b[1]}"' if b[1] not in (None, 1) else "") + ">\n")

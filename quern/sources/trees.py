@@ -48,13 +48,19 @@ def parse_toml(text: str, report: Report) -> dict:
             s = v.isoformat()
             return s[:-6] + "Z" if s.endswith("+00:00") else s
         if isinstance(v, float) and not math.isfinite(v):
-            report.loss(f"{path}: a number that JSON lacks becomes text")
-            return "nan" if v != v else "inf" if v > 0 else "-inf"
+            return _special(v, path, report)
+        if isinstance(v, int) and not isinstance(v, bool) and not -(1 << 63) <= v < 1 << 63:
+            raise Malformed(f"{path}: the integer is too large")
         return v
 
     return walk(value, "")
 
 
+def _special(v: float, path: str, report: Report) -> str:
+    report.loss(f"{path}: a number that JSON lacks becomes text")
+    return "nan" if v != v else "inf" if v > 0 else "-inf"
+
+
 _BARE = re.compile(r"[A-Za-z0-9_-]+\Z")
 
 
@@ -80,8 +86,8 @@ def dump_toml(value, report: Report) -> str:
             return float_text(v)
         if isinstance(v, list):
             if any(x is None for x in v):
-                raise Unsupported(f"{path}: TOML has no null for an array")
-            return "[" + ", ".join(scalar(x, path) for x in v) + "]"
+                report.loss(f"{path}: nulls in an array are dropped")
+            return "[" + ", ".join(scalar(x, path) for x in v if x is not None) + "]"
         return "{ " + ", ".join(f"{key(k)} = {scalar(x, path)}" for k, x in v.items() if x is not None) + " }" if v else "{}"
 
     out: list[str] = []
@@ -128,22 +134,45 @@ def resolve_plain(s: str):
     return s
 
 
+_TAGS = {"int": int, "float": float, "bool": bool, "null": type(None)}
+
+
 def parse_yaml(text: str, report: Report):
     """One document's value; several become an array. Aliases are copied, merge keys merged."""
     import yaml
 
+    class Loader(yaml.SafeLoader):
+        def compose_node(self, parent, index):
+            event = self.peek_event()
+            node = super().compose_node(parent, index)
+            if getattr(event, "tag", None) is not None and not isinstance(event, yaml.AliasEvent):
+                tags[id(node)] = event.tag
+                kept.append(node)
+            return node
+
+    tags: dict[int, str] = {}
+    kept: list = []
+
     def value(node, path: str, open_: tuple):
         if id(node) in open_:
             raise Malformed(f"{path}: an alias holds itself", node.start_mark.line + 1)
         inside = (*open_, id(node))
         if isinstance(node, yaml.ScalarNode):
-            if node.style is None and node.tag not in ("!", "tag:yaml.org,2002:str") or node.style is None and node.tag != "!":
+            tag = tags.get(id(node))
+            if tag is None and node.style is None:
+                v = resolve_plain(node.value)
+            elif tag in (None, "!", "tag:yaml.org,2002:str", "tag:yaml.org,2002:binary"):
+                return node.value
+            else:
                 v = resolve_plain(node.value)
-                if isinstance(v, float) and not math.isfinite(v):
-                    report.loss(f"{path}: a number that JSON lacks becomes text")
+                kind = tag.rpartition(":")[2]
+                if kind == "float" and isinstance(v, int) and not isinstance(v, bool):
+                    v = float(v)
+                if kind in _TAGS and not (isinstance(v, _TAGS[kind]) and isinstance(v, bool) == (kind == "bool")):
+                    raise Malformed(f"{path}: {node.value!r} is no {kind}", node.start_mark.line + 1)
+                if kind not in _TAGS:
                     return node.value
-                return v
-            return node.value
+            return _special(v, path, report) if isinstance(v, float) and not math.isfinite(v) else v
         if isinstance(node, yaml.SequenceNode):
             return [value(n, path, inside) for n in node.value]
         own, merged = {}, []
@@ -171,7 +200,7 @@ def parse_yaml(text: str, report: Report):
         return out
 
     try:
-        documents = [value(n, "", ()) for n in yaml.compose_all(text, yaml.SafeLoader) if n is not None]
+        documents = [value(n, "", ()) for n in yaml.compose_all(text, Loader) if n is not None]
     except yaml.YAMLError as e:
         mark = getattr(e, "problem_mark", None)
         raise Malformed(str(getattr(e, "problem", e)), mark and mark.line + 1, mark and mark.column + 1) from None
@@ -181,8 +210,17 @@ def parse_yaml(text: str, report: Report):
     return documents[0] if documents else None
 
 
+#: Words that other YAML readers take for booleans.
+_WORDS = {"yes", "no", "on", "off"}
+
+
 def _plain(s: str) -> bool:
-    return bool(re.fullmatch(r"[A-Za-z0-9_./][^\x00-\x1f\x7f\n:#,\[\]{}&*!|>'\"%@`]*", s)) and resolve_plain(s) == s and s == s.strip() and not s.startswith(("---", "..."))
+    return s.lower() not in _WORDS and bool(re.fullmatch(r"[A-Za-z0-9_./][^\x00-\x1f\x7f\n:#,\[\]{}&*!|>'\"%@`]*", s)) and resolve_plain(s) == s and s == s.strip() and not s.startswith(("---", "..."))
+
+
+def _lines(s: str) -> bool:
+    """Whether a string goes into a literal block: several lines, the first not indented, nothing to escape."""
+    return "\n" in s and s.strip("\n") != "" and s[0] not in " \n\t" and not re.search(r"[^\n\t -~\u00a0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]|[ \t]\n", s)
 
 
 def dump_yaml(value) -> str:
@@ -198,17 +236,26 @@ def dump_yaml(value) -> str:
             return str(v)
         return v if _plain(v) else _quoted(v)
 
+    def lines(s: str, depth: int) -> str:
+        chomp = "" if s.endswith("\n") and not s.endswith("\n\n") else "+" if s.endswith("\n") else "-"
+        return f"|{chomp}\n" + "".join("  " * depth + x + "\n" if x else "\n" for x in s.removesuffix("\n").split("\n"))
+
     def block(v, depth: int) -> str:
         pad = "  " * depth
         if isinstance(v, dict) and v:
             out = ""
             for k, x in v.items():
+                if isinstance(x, str) and _lines(x):
+                    out += pad + scalar(str(k)) + ": " + lines(x, depth + 1)
+                    continue
                 out += pad + scalar(str(k)) + ":" + (f" {scalar(x)}\n" if not isinstance(x, dict | list) else " " + ("{}" if isinstance(x, dict) else "[]") + "\n" if not x else "\n" + block(x, depth + 1))
             return out
         if isinstance(v, list) and v:
             out = ""
             for x in v:
-                if isinstance(x, dict | list) and x:
+                if isinstance(x, str) and _lines(x):
+                    out += pad + "- " + lines(x, depth + 1)
+                elif isinstance(x, dict | list) and x:
                     out += pad + "- " + block(x, depth + 1)[2 * depth + 2 :]
                 else:
                     out += pad + "- " + ("{}" if x == {} else "[]" if x == [] else scalar(x)) + "\n"
@@ -227,22 +274,20 @@ def parse_xml(text: str, report: Report) -> dict:
     stack: list[tuple[str, dict, list[str]]] = [("", root, [])]
 
     def start(name, attributes):
+        stack[-1][2].append("\0")  # what stands before and after an element are texts of their own
         members = {f"@{attributes[k]}": attributes[k + 1] for k in range(0, len(attributes), 2)}
         stack.append((name, members, []))
 
     def end(name):
         _, members, texts = stack.pop()
-        text = "".join(texts)
-        children = any(not k.startswith("@") for k in members)
-        if children:
-            text = text.strip()
-            if text:
-                report.loss(f"{name}: the order of text and elements is lost")
+        text = " ".join(filter(None, (t.strip(" \t\r\n") for t in "".join(texts).split("\0"))))
+        if text and any(not k.startswith("@") for k in members):
+            report.loss(f"{name}: the order of text and elements is lost")
         if not members:
-            value = text if text.strip() else None
+            value = text or None
         else:
             value = members
-            if text.strip():
+            if text:
                 value["#text"] = text
         parent = stack[-1][1]
         if name in parent:
@@ -300,7 +345,7 @@ def dump_xml(value, report: Report) -> str:
             else:
                 inner += element(k, x, depth + 1)
         if inner:
-            return f"{pad}<{name}{attributes}>{body}\n{inner}{pad}</{name}>\n"
+            return f"{pad}<{name}{attributes}>\n" + (f"{pad}  {body}\n" if body else "") + f"{inner}{pad}</{name}>\n"
         return f"{pad}<{name}{attributes}>{body}</{name}>\n" if body else f"{pad}<{name}{attributes}/>\n"
 
     if isinstance(value, dict) and len(value) == 1 and not next(iter(value)).startswith(("@", "#")) and not isinstance(next(iter(value.values())), list):

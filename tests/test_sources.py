@@ -56,6 +56,11 @@ def test_yaml():
     with pytest.raises(Malformed):
         trees.parse_yaml("a: 1\na: 2\n", Report())
     assert trees.parse_yaml("--- 1\n--- 2\n", report) == [1, 2]
+    assert trees.parse_yaml("a: !!str 42\nb: !!int '7'\nc: !!float 1\nd: .inf\n", report) == {"a": "42", "b": 7, "c": 1.0, "d": "inf"}
+    with pytest.raises(Malformed):
+        trees.parse_yaml("a: !!int foo\n", report)
+    odd = {"w": "yes", "m": "one\n two\n", "k": ["x\ny", "z\n\n", " lead\nin", "trail \nx"]}
+    assert trees.dump_yaml(odd).startswith('w: "yes"\nm: |\n  one\n   two\nk:\n  - |-\n    x\n    y\n') and trees.parse_yaml(trees.dump_yaml(odd), report) == odd
 
 
 def test_toml():
@@ -64,8 +69,11 @@ def test_toml():
     assert value == {"a": 1, "d": "2024-01-01T00:00:00Z", "t": {"u": [1, 2], "v": [{"w": True}]}}
     assert len(report.losses) == 1
     assert trees.parse_toml(trees.dump_toml(value, report), report) == value
+    assert trees.dump_toml({"a": [1, None]}, report) == "a = [1]\n"
     with pytest.raises(Unsupported):
         trees.dump_toml([1], report)
+    with pytest.raises(Malformed):
+        trees.parse_toml("a = 99999999999999999999\n", report)
 
 
 def test_xml():
@@ -73,6 +81,7 @@ def test_xml():
     value = trees.parse_xml("<c a='1'><b>x</b><b/><d>t &amp; u</d></c>", report)
     assert value == {"c": {"@a": "1", "b": ["x", None], "d": "t & u"}}
     assert trees.parse_xml(trees.dump_xml(value, report), report) == value
+    assert trees.parse_xml("<m> text <b>x</b>\n tail <c/></m>", report) == {"m": {"b": "x", "c": None, "#text": "text tail"}}
     for bad in ("<a>", "<a/><b/>", "<a x='1' x='2'/>", "<a>&nope;</a>"):
         with pytest.raises(Malformed):
             trees.parse_xml(bad, report)
@@ -159,6 +168,25 @@ def test_inlines(markdown, html):
     assert events.write_html(events.read_markdown(markdown)) == f"<p>{html}</p>\n"
 
 
+@pytest.mark.parametrize(
+    "markdown, html",
+    [
+        ("www.a.com/s?q=(b)))", '<a href="http://www.a.com/s?q=(b)">www.a.com/s?q=(b)</a>))'),
+        ("(see ftp://a.b.)", '(see <a href="ftp://a.b">ftp://a.b</a>.)'),
+        ("x.y-z@a.b. c@d.e-", '<a href="mailto:x.y-z@a.b">x.y-z@a.b</a>. c@d.e-'),
+        ("www.a._b.c", "www.a._b.c"),
+        ("<xmp> <em>", "&lt;xmp> <em>"),
+        ("~~~~x~~~~ ~y~", "~~~~x~~~~ <del>y</del>"),
+    ],
+)
+def test_extensions(markdown, html):
+    assert events.write_html(events.read_markdown("z " + markdown)) == f"<p>z {html}</p>\n"
+
+
+def test_table_after_paragraph():
+    assert [b[0] for b in events.read_markdown("1\n2\n| a | b |\n| --- | --- |\nd | e\n")] == ["p", "table"]
+
+
 def test_html():
     page = "<html><head><title>x</title></head><body><nav><ul><li><a href='/x'>X</a></li><li>y</ul></nav><h1>T  t</h1><p>Shn. <p>In <i>a</i> b.<table><tr><td colspan=2>1<td>2<tr><td>3</table><script>var t='</p>';track(1)</script>&copy; end"
     text = events.write_markdown(events.read_html(page))
