@@ -156,6 +156,9 @@ def _document(source: str, target: str, content: bytes, options: dict, report: R
         if target == "text" and source != "text":
             report.loss("formatting is dropped")
         return _TEXT_WRITERS[target](blocks).encode()
+    if any(b[0] == "note" for b in blocks):
+        report.loss("notes become paragraphs at the end")
+        blocks = events.flat_notes(blocks)
     return pdf.write_text(blocks, report) if target == "pdf" else office.WRITERS[target](blocks, report)
 
 

@@ -1,8 +1,8 @@
 """Documents as nested blocks: text, Markdown and HTML to blocks, and blocks to Markdown, HTML, text and JSON.
 
 Blocks: ("p", inlines), ("h", level, inlines), ("code", info, text), ("quote", blocks), ("list", start or None, tight,
-[(task, blocks)]), ("table", aligns, head, rows) with cells of inlines, ("hr",), ("html", text). Inlines: ("text", s),
-("code", s), ("em" | "strong" | "del", inlines), ("link" | "img", address, title, inlines), ("br",), ("soft",), ("html", s).
+[(task, blocks)]), ("table", aligns, head, rows) with cells of inlines, ("hr",), ("html", text), and at the document's end ("note", label, blocks). Inlines: ("text", s),
+("code", s), ("em" | "strong" | "del", inlines), ("link" | "img", address, title, inlines), ("br",), ("soft",), ("html", s), ("ref", label).
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$
 _FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})[ \t]*(.*?)[ \t]*$")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?:( {1,4}(?! )| (?= {4}))|[ \t]*$)")
 _REFERENCE = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:[ \t]*\n?[ \t]+(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)")
+_NOTE = re.compile(r" {0,3}\[\^([^\]\[\s]+)\]:[ \t]*")
+_IS_NOTE = "\0note"
 _HTML_BLOCK = re.compile(r" {0,3}<(?:(?:script|pre|style|textarea)(?:[\s>]|$)|!--|\?|![A-Za-z]|!\[CDATA\[|/?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?:\s|/?>|$))", re.I)
 _HTML_ENDS = [(re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)), (re.compile(r" {0,3}<!--"), re.compile("-->")), (re.compile(r" {0,3}<\?"), re.compile(r"\?>")), (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")), (re.compile(r" {0,3}<![A-Za-z]"), re.compile(">"))]
 _LONE_TAG = re.compile(r" {0,3}(?:<[A-Za-z][\w-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[A-Za-z][\w-]*\s*>)[ \t]*$")
@@ -61,6 +63,7 @@ def _cells(line: str) -> list[str]:
 class _Blocks:
     def __init__(self) -> None:
         self.references: dict[str, tuple[str, str]] = {}
+        self.notes: dict[str, tuple[str, list[tuple]]] = {}
 
     def parse(self, lines: list[str]) -> list[tuple]:
         out: list[tuple] = []
@@ -93,6 +96,16 @@ class _Blocks:
                 while code and not code[-1].strip():
                     code.pop()
                 out.append(("code", "", "\n".join(code) + "\n"))
+            elif m := _NOTE.match(line):
+                close()
+                inner, k = [line[m.end() :]], k + 1
+                while k < len(lines) and (not lines[k].strip() or _indent(lines[k]) >= 4 or inner[-1].strip() and not self._starts(lines[k]) and not _NOTE.match(lines[k])):
+                    inner.append(lines[k][min(4, _indent(lines[k])) :])
+                    k += 1
+                if _label(m[1]) not in self.notes:
+                    self.references["^" + _label(m[1])] = ("", _IS_NOTE)
+                    self.notes[_label(m[1])] = (m[1], [])
+                    self.notes[_label(m[1])] = (m[1], self.parse(inner))
             elif (m := _FENCE.match(line)) and not (m[2][0] == "`" and "`" in m[3]):
                 close()
                 code, k = [], k + 1
@@ -294,6 +307,9 @@ def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
                 put("]")
                 continue
             mark, inside = nodes[start][0], text[nodes[start][1] : m.start()]
+            if references.get(_label(inside), ("", ""))[1] == _IS_NOTE:
+                nodes[start:] = [("text", mark[:-1])] * (mark == "![") + [("ref", _label(inside[1:]))]
+                continue
             target, end = None, at
             if t := _TARGET.match(text, at):
                 target, end = (_unescape(t[1] if t[1] is not None else t[2]), _unescape(t[3][1:-1]) if t[3] else ""), t.end()
@@ -401,7 +417,25 @@ def read_markdown(text: str) -> list[tuple]:
             return ("table", block[1], line(block[2]), [line(r) for r in block[3]])
         return block
 
-    return [finish(b) for b in blocks]
+    out, order, k = [finish(b) for b in blocks], [], 0
+    _refs(out, order)
+    notes = []
+    while k < len(order):  # notes refer to notes
+        label, inner = parser.notes[order[k]]
+        notes.append(("note", order[k], [finish(b) for b in inner]))
+        _refs(notes[-1][2], order)
+        k += 1
+    return out + notes
+
+
+def _refs(v, order: list[str]) -> None:
+    """Labels of notes in the order of their first references."""
+    if isinstance(v, tuple) and v and v[0] == "ref":
+        if v[1] not in order:
+            order.append(v[1])
+    elif isinstance(v, tuple | list):
+        for x in v:
+            _refs(x, order)
 
 
 # HTML
@@ -668,37 +702,64 @@ def _plain(inlines: list[tuple]) -> str:
 _FILTERED = re.compile(r"<(?=/?(?:title|textarea|style|xmp|iframe|noembed|noframes|script|plaintext)[\s/>])", re.I)
 
 
-def _html_inline(inlines: list[tuple]) -> str:
+class _Notes:
+    """Numbers of notes and their references so far."""
+
+    def __init__(self, blocks: list[tuple]):
+        self.number = {b[1]: k for k, b in enumerate((b for b in blocks if b[0] == "note"), 1)}
+        self.count = dict.fromkeys(self.number, 0)
+
+    def ref(self, label: str) -> str:
+        self.count[label] += 1
+        to, again = address(label), f"-{self.count[label]}" if self.count[label] > 1 else ""
+        return f'<sup class="footnote-ref"><a href="#fn-{to}" id="fnref-{to}{again}" data-footnote-ref>{self.number[label]}</a></sup>'
+
+    def back(self, label: str) -> str:
+        out, to = [], address(label)
+        for k in range(1, self.count[label] + 1):
+            again, mark = (f"-{k}", f'<sup class="footnote-ref">{k}</sup>') if k > 1 else ("", "")
+            index = f"{self.number[label]}{again}"
+            out.append(f'<a href="#fnref-{to}{again}" class="footnote-backref" data-footnote-backref data-footnote-backref-idx="{index}" aria-label="Back to reference {index}">↩{mark}</a>')
+        return " ".join(out)
+
+
+def _html_inline(inlines: list[tuple], notes: _Notes | None = None) -> str:
     out = []
     for n in inlines:
         kind = n[0]
-        if kind == "text":
+        if kind == "ref":
+            out.append(notes.ref(n[1]) if notes and n[1] in notes.number else escape(f"[^{n[1]}]"))
+        elif kind == "text":
             out.append(escape(n[1]))
         elif kind == "code":
             out.append(f"<code>{escape(n[1])}</code>")
         elif kind in ("em", "strong", "del"):
-            out.append(f"<{kind}>{_html_inline(n[1])}</{kind}>")
+            out.append(f"<{kind}>{_html_inline(n[1], notes)}</{kind}>")
         elif kind in ("link", "img"):
             title = f' title="{escape(n[2])}"' if n[2] else ""
-            out.append(f'<a href="{address(n[1])}"{title}>{_html_inline(n[3])}</a>' if kind == "link" else f'<img src="{address(n[1])}" alt="{escape(_plain(n[3]))}"{title} />')
+            out.append(f'<a href="{address(n[1])}"{title}>{_html_inline(n[3], notes)}</a>' if kind == "link" else f'<img src="{address(n[1])}" alt="{escape(_plain(n[3]))}"{title} />')
         else:
             out.append({"br": "<br />\n", "soft": "\n"}.get(kind) or _FILTERED.sub("&lt;", n[1]))
     return "".join(out)
 
 
-def write_html(blocks: list[tuple], tight: bool = False) -> str:
+def write_html(blocks: list[tuple], tight: bool = False, notes: _Notes | None = None) -> str:
     out = []
+    notes = notes or _Notes(blocks)
+    texts = [b for b in blocks if b[0] == "note"]
     for b in blocks:
         kind = b[0]
+        if kind == "note":
+            continue
         if kind == "p":
-            out.append(_html_inline(b[1]) + ("\n" if len(blocks) > 1 and tight else "") if tight else f"<p>{_html_inline(b[1])}</p>\n")
+            out.append(_html_inline(b[1], notes) + ("\n" if len(blocks) > 1 and tight else "") if tight else f"<p>{_html_inline(b[1], notes)}</p>\n")
         elif kind == "h":
-            out.append(f"<h{b[1]}>{_html_inline(b[2])}</h{b[1]}>\n")
+            out.append(f"<h{b[1]}>{_html_inline(b[2], notes)}</h{b[1]}>\n")
         elif kind == "code":
             language = f' class="language-{escape(b[1].split()[0])}"' if b[1] else ""
             out.append(f"<pre><code{language}>{escape(b[2])}</code></pre>\n")
         elif kind == "quote":
-            out.append(f"<blockquote>\n{write_html(b[1])}</blockquote>\n")
+            out.append(f"<blockquote>\n{write_html(b[1], False, notes)}</blockquote>\n")
         elif kind == "hr":
             out.append("<hr />\n")
         elif kind == "html":
@@ -708,15 +769,23 @@ def write_html(blocks: list[tuple], tight: bool = False) -> str:
             out.append(f"<{name}" + (f' start="{b[1]}"' if b[1] not in (None, 1) else "") + ">\n")
             for task, inner in b[3]:
                 box = "" if task is None else f'<input type="checkbox"{" checked=" + chr(34) * 2 if task else ""} disabled="" /> '
-                body = write_html(inner, b[2])
+                body = write_html(inner, b[2], notes)
                 out.append(f"<li>{box}" + ("\n" if body and (not b[2] or inner[0][0] != "p") else "") + body + "</li>\n")
             out.append(f"</{name}>\n")
         elif kind == "table":
-            cell = lambda tag, c, a: f"<{tag}" + (f' align="{a}"' if a else "") + f">{_html_inline(c)}</{tag}>\n"
+            cell = lambda tag, c, a: f"<{tag}" + (f' align="{a}"' if a else "") + f">{_html_inline(c, notes)}</{tag}>\n"
             out.append("<table>\n<thead>\n<tr>\n" + "".join(cell("th", c, a) for c, a in zip(b[2], b[1], strict=False)) + "</tr>\n</thead>\n")
             if b[3]:
                 out.append("<tbody>\n" + "".join("<tr>\n" + "".join(cell("td", c, a) for c, a in zip(r, b[1], strict=False)) + "</tr>\n" for r in b[3]) + "</tbody>\n")
             out.append("</table>\n")
+    if texts:
+        items = []
+        for _, label, inner in texts:
+            body = write_html(inner, False, notes)
+            back = notes.back(label)
+            body = f"{body.removesuffix('</p>' + chr(10))} {back}</p>\n" if inner and inner[-1][0] == "p" else f"{body}{back}\n"
+            items.append(f'<li id="fn-{address(label)}">\n{body}</li>\n')
+        out.append('<section class="footnotes" data-footnotes>\n<ol>\n' + "".join(items) + "</ol>\n</section>\n")
     return "".join(out)
 
 
@@ -741,6 +810,8 @@ def _md_inline(inlines: list[tuple], cell: bool = False) -> str:
             to = f"<{n[1]}>" if re.search(r"[\s()]", n[1]) or not n[1] else n[1]
             title = ' "' + n[2].replace("\\", "\\\\").replace('"', '\\"') + '"' if n[2] else ""
             out.append(("!" if kind == "img" else "") + f"[{_md_inline(n[3], cell)}]({to}{title})")
+        elif kind == "ref":
+            out.append(f"[^{n[1]}]")
         elif kind == "br":
             out.append(" " if cell else "\\\n")
         elif kind == "soft":
@@ -771,6 +842,8 @@ def write_markdown(blocks: list[tuple]) -> str:
             return f"{fence}{b[1]}\n{b[2]}{fence}"
         if kind == "quote":
             return "\n".join(("> " + s).rstrip() for s in many(b[1]).split("\n"))
+        if kind == "note":
+            return f"[^{b[1]}]: " + "\n".join(("    " + x if k and x else x) for k, x in enumerate(many(b[2]).split("\n")))
         if kind == "hr":
             return "---"
         if kind == "html":
@@ -798,34 +871,40 @@ def write_markdown(blocks: list[tuple]) -> str:
     return text + "\n" if text else ""
 
 
-def _text_inline(inlines: list[tuple]) -> str:
+def _text_inline(inlines: list[tuple], numbers: dict[str, int] | None = None) -> str:
     out = []
     for n in inlines:
+        if n[0] == "ref":
+            out.append(f"[{(numbers or {}).get(n[1], n[1])}]")
         if n[0] in ("text", "code"):
             out.append(n[1])
         elif n[0] in ("em", "strong", "del"):
-            out.append(_text_inline(n[1]))
+            out.append(_text_inline(n[1], numbers))
         elif n[0] == "link":
-            inner = _text_inline(n[3])
+            inner = _text_inline(n[3], numbers)
             out.append(inner if not n[1] or n[1] in (inner, "mailto:" + inner, "http://" + inner) or n[1].startswith("#") else f"{inner} ({n[1]})" if inner else n[1])
         elif n[0] == "img":
-            out.append(_text_inline(n[3]))
+            out.append(_text_inline(n[3], numbers))
         elif n[0] in ("br", "soft"):
             out.append("\n")
     return "".join(out)
 
 
 def write_text(blocks: list[tuple]) -> str:
+    numbers = {b[1]: k for k, b in enumerate((b for b in blocks if b[0] == "note"), 1)}
+
     def one(b: tuple) -> str:
         kind = b[0]
         if kind == "p":
-            return _text_inline(b[1])
+            return _text_inline(b[1], numbers)
         if kind == "h":
-            return _text_inline(b[2])
+            return _text_inline(b[2], numbers)
         if kind == "code":
             return b[2].rstrip("\n")
         if kind == "quote":
             return "\n".join(("  " + s).rstrip() for s in many(b[1]).split("\n"))
+        if kind == "note":
+            return f"[{numbers[b[1]]}] " + "\n".join(("    " + x if k and x else x) for k, x in enumerate(many(b[2]).split("\n")))
         if kind == "hr":
             return "* * *"
         if kind == "html":
@@ -837,7 +916,7 @@ def write_text(blocks: list[tuple]) -> str:
                 body = ("" if task is None else "[x] " if task else "[ ] ") + ("\n" if b[2] else "\n\n").join(filter(None, map(one, inner)))
                 items.append((mark + ("\n" + " " * len(mark)).join(body.split("\n"))).rstrip())
             return re.sub(r"(?m)^[ ]+$", "", ("\n" if b[2] else "\n\n").join(items))
-        rows = [[_text_inline(c).replace("\n", " ") for c in r] for r in [b[2], *b[3]]]
+        rows = [[_text_inline(c, numbers).replace("\n", " ") for c in r] for r in [b[2], *b[3]]]
         widths = [max(len(r[k]) for r in rows) for k in range(len(b[2]))]
         lines = ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows]
         return "\n".join([lines[0], "  ".join("-" * max(1, w) for w in widths), *lines[1:]])
@@ -849,6 +928,25 @@ def write_text(blocks: list[tuple]) -> str:
     return text + "\n" if text else ""
 
 
+def flat_notes(blocks: list[tuple]) -> list[tuple]:
+    """References to notes as [n], and the notes as paragraphs that begin so at the document's end."""
+    numbers = {b[1]: k for k, b in enumerate((b for b in blocks if b[0] == "note"), 1)}
+
+    def flat(v):
+        if isinstance(v, tuple) and v and v[0] == "ref":
+            return ("text", f"[{numbers.get(v[1], v[1])}]")
+        if isinstance(v, tuple | list):
+            return type(v)(flat(x) for x in v)
+        return v
+
+    out = [flat(b) for b in blocks if b[0] != "note"]
+    for b in blocks:
+        if b[0] == "note":
+            inner, mark = flat(b[2]), ("text", f"[{numbers[b[1]]}] ")
+            out += [("p", [mark, *inner[0][1]]), *inner[1:]] if inner and inner[0][0] == "p" else [("p", [mark]), *inner]
+    return out
+
+
 def to_json(blocks: list[tuple]) -> str:
     """Blocks as JSON arrays; a list's items as [task, blocks]."""
     return json.dumps(blocks, ensure_ascii=False, separators=(",", ":")) + "\n"
@@ -862,6 +960,8 @@ def from_json(text: str) -> list[tuple]:
         kind = b[0]
         if kind in ("p", "h"):
             return (*b[:-1], inlines(b[-1]))
+        if kind == "note":
+            return ("note", b[1], [block(x) for x in b[2]])
         if kind == "quote":
             return ("quote", [block(x) for x in b[1]])
         if kind == "list":

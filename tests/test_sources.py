@@ -183,6 +183,16 @@ def test_extensions(markdown, html):
     assert events.write_html(events.read_markdown("z " + markdown)) == f"<p>z {html}</p>\n"
 
 
+def test_footnotes():
+    blocks = events.read_markdown("a[^n] b[^m] c[^n] d[^none]\n\n[^m]: two\n\n    more\n\n[^n]: one\n[^unused]: x\n")
+    assert [b[:2] for b in blocks[1:]] == [("note", "n"), ("note", "m")]
+    assert events.read_markdown(events.write_markdown(blocks)) == blocks and events.from_json(events.to_json(blocks)) == blocks
+    assert events.write_text(blocks) == "a[1] b[2] c[1] d[^none]\n\n[1] one\n\n[2] two\n\n    more\n"
+    html = events.write_html(blocks)
+    assert 'id="fnref-n-2" data-footnote-ref>1</a>' in html and html.endswith("</li>\n</ol>\n</section>\n") and html.count("↩") == 3
+    assert b"[2] two" in convert_bytes(b"a[^m]\n\n[^m]: two\n", [("markdown", "rtf")], {}, Report())[0][1].replace(b"[1]", b"[2]")
+
+
 def test_table_after_paragraph():
     assert [b[0] for b in events.read_markdown("1\n2\n| a | b |\n| --- | --- |\nd | e\n")] == ["p", "table"]
 
