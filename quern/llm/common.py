@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,61 @@ def in_batches(rows: Iterable[tuple], schema: pa.Schema, most_rows: int = 5000,
         yield arrow(schema, held)
 
 
+def pieces(texts: pa.Array) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """Texts cut at ASCII white space: the different pieces, each piece's number among them, and where each text's end.
+
+    A-Z are lower-cased except in texts with a <, which may spell a special token. A null has no pieces, an empty text one
+    empty piece, as has white space at either end.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    lowered = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(lowered)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices, np.diff(lists.offsets.to_numpy()).cumsum()
+
+
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def halves(piece: bytes) -> tuple[bytes, bytes] | None:
+    """A piece of letters and then ASCII signs alone as these two, which every splitter by letters parts."""
+    head = piece.rstrip(_SIGNS)
+    if head and len(head) < len(piece) and (head.isalpha() or not head.isascii() and head.decode("utf-8", "replace").isalpha()):
+        return head, piece[len(head) :]
+    return None
+
+
+class Memory:
+    """What a function gives for pieces of text, remembered up to a number of them; beyond it the memory starts afresh."""
+
+    def __init__(self, learn, most: int, longest: int = 48):
+        self.learn, self.most, self.longest, self.seen = learn, most, longest, {}
+
+    def of(self, different: list[bytes], joined) -> list:
+        """For each piece what learn gives, or what joined makes of its halves'."""
+        parts = [halves(b) for b in different]
+        asked = dict.fromkeys(x for b, p in zip(different, parts, strict=True) for x in (p or (b,)))
+        new = [b for b in asked if b not in self.seen]
+        if len(self.seen) + len(new) > self.most:
+            self.seen, new = {}, list(asked)
+        seen = self.seen
+        for k in range(0, len(new), 50_000):
+            seen.update(self.learn(new[k : k + 50_000]))
+        out = [seen[b] if p is None else joined(seen[p[0]], seen[p[1]]) for b, p in zip(different, parts, strict=True)]
+        for b in new:
+            if len(b) > self.longest:
+                del seen[b]
+        return out
+
+
+def spread(values: list[bytes], numbers: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The values of all numbers, one after the other, and where each ends."""
+    taken = pa.array(values, pa.binary()).take(numbers)
+    buffers, n = taken.buffers(), len(taken)
+    offsets = np.frombuffer(buffers[1], np.int32, n + 1, 4 * taken.offset)
+    return memoryview(buffers[2] or b""), offsets
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values; wraps on purpose."""
     x = x.copy()

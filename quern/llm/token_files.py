@@ -13,21 +13,22 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, id_bounds, id_text, in_batches, shuffle_partitions, slices
+from quern.llm.common import Memory, arrow, id_bounds, id_text, in_batches, pieces, shuffle_partitions, slices, spread
 
 #: Ids a word and bits an id, by selector; 60 bits of a word carry ids.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 EVERY = 4096
 BLOCK_IDS = 1 << 18
-MOST_PIECES = 300_000
+#: Pieces of text remembered by a worker process; beyond it the memory starts afresh.
+MOST_PIECES = 700_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +98,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, -1))
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.memory = Memory(self._learn, MOST_PIECES)
 
     def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """The pieces are encoded together, a special token between them."""
@@ -114,33 +114,16 @@ class Encoder:
                 got[pieces[k]] = raw[4 * x + 4 : 4 * y]
         for k in set(range(len(texts))).difference(plain):
             got[pieces[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
-        for b, ids in got.items():
-            if len(b) <= 48:
-                self._keep(b, ids)
         return got
 
-    def _keep(self, piece: bytes, ids: bytes) -> None:
-        if len(self.young) >= MOST_PIECES:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
-
-    def encode(self, texts: list[str | None]):
+    def encode(self, texts: pa.Array) -> Iterator[memoryview]:
         """Little-endian 32-bit ids of each text; a null counts as empty."""
-        cut = []
-        for t in texts:
-            b = (t or "").encode("utf-8", "surrogatepass")
-            cut.append((b if b"<" in b else b.lower()).split())
-        here, missing = dict.fromkeys(chain.from_iterable(cut)), []
-        for b in here:
-            if (v := self.young.get(b)) is None:
-                if (v := self.old.get(b)) is None:
-                    missing.append(b)
-                    continue
-                self._keep(b, v)
-            here[b] = v
-        here |= self._learn(missing)
-        for c in cut:
-            yield b"".join(map(here.__getitem__, c))
+        different, numbers, ends = pieces(texts)
+        ids, offsets = spread(self.memory.of(different, bytes.__add__), numbers)
+        at = 0
+        for z in offsets[ends].tolist():
+            yield ids[at:z]
+            at = z
 
 
 @lru_cache(2)
@@ -175,8 +158,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
         def rows():
             for batch in slices(batches):
-                for i, ids in zip(batch.column(0).to_pylist(), e.encode(batch.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(ids + tail, "<u4")
+                for i, ids in zip(batch.column(0).to_pylist(), e.encode(batch.column(1)), strict=True):
+                    ids = np.frombuffer(bytes(ids) + tail, "<u4")
                     # 16 bits an id wherever they do, for the shuffle
                     small = not len(ids) or ids.max() < 1 << 16
                     yield 0 if i is None else int(np.searchsorted(bounds, i, "right")), i, len(ids), (ids.astype("<u2") if small else ids).tobytes()
