@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batch_rows, id_text, in_batches, slices
+from quern.llm.common import Memory, batch_rows, id_text, in_batches, pieces, slices, spread
 
-#: Pieces of text remembered by a worker process, and the bytes of the longest; beyond it the memory starts afresh.
+#: Pieces of text remembered by a worker process.
 MOST_PIECES = 450_000
-LONGEST_KEPT = 48
 _FOREVER = 1 << 60
 
 
@@ -240,9 +239,10 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.label = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
+        self.blanked = {i: (t + " ").encode() for i, t in self.label.items()}
         self.to_byte = np.zeros(max(map(ord, self.spell)) + 1, np.uint8)
         self.to_byte[[ord(c) for c in self.spell]] = list(self.spell.values())
-        self.seen: dict[bytes, tuple[bytes, str]] = {}
+        self.memory = Memory(self.learn, MOST_PIECES)
 
     def _words(self, text: str) -> list[tuple[str, tuple[int, int]]]:
         norm = self.split.normalizer.normalize_str(text) if self.split.normalizer else text
@@ -266,8 +266,8 @@ class Bpe:
     def decode(self, ids) -> str:
         return " ".join([self.label[i] for i in ids])
 
-    def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """Little-endian ids and labels of pieces of text without ASCII white space.
+    def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Little-endian ids, and labels with a blank after each, of pieces of text without ASCII white space.
 
         No normalisation, split or special token of the file reaches across white space, so that a text's tokens are
         those of its pieces, one after the other.
@@ -279,7 +279,7 @@ class Bpe:
                 plain.append((b, text))
             else:
                 ids = self.encode(text)
-                got[b] = np.array(ids, "<u4").tobytes(), self.decode(ids)
+                got[b] = np.array(ids, "<u4").tobytes(), (self.decode(ids) + " ").encode() if ids else b""
         if plain:
             words = self._words(" ".join([t for _, t in plain]))
             ids, ends = self._ids([w for w, _ in words])
@@ -288,33 +288,22 @@ class Bpe:
             last = np.flatnonzero(np.append(spans[1:, 0] > spans[:-1, 1], True))
             if len(last) != len(plain):
                 raise ValueError("the splitter dropped or split a piece")
-            cuts, raw, labels, a = ends[last].tolist(), ids.tobytes(), [self.label[i] for i in ids.tolist()], 0
+            cuts, raw, labels, a = ends[last].tolist(), ids.tobytes(), list(map(self.blanked.__getitem__, ids.tolist())), 0
             for (b, _), z in zip(plain, cuts, strict=True):
-                got[b] = raw[4 * a : 4 * z], " ".join(labels[a:z])
+                got[b] = raw[4 * a : 4 * z], b"".join(labels[a:z])
                 a = z
         return got
 
-    @staticmethod
-    def _cut(text: str) -> list[bytes]:
-        """A text's pieces, with A-Z lower-cased as the normaliser would, unless that could spell a special token."""
-        b = text.encode("utf-8", "surrogatepass")
-        return (b if b"<" in b else b.lower()).split()
-
-    def pieces(self, texts: list[str | None]) -> Iterator[list[tuple[bytes, str]]]:
-        """For each text its pieces' ids and labels; pieces not seen before are encoded together."""
-        cut = [self._cut(t) if t else [] for t in texts]
-        pieces = set().union(*cut)
-        new = pieces.difference(self.seen)
-        if len(self.seen) + len(new) > MOST_PIECES:
-            self.seen, new = {}, pieces
-        seen, todo = self.seen, list(new)
-        for k in range(0, len(todo), 50_000):
-            seen.update(self.learn(todo[k : k + 50_000]))
-        for c in cut:
-            yield list(map(seen.__getitem__, c))
-        for b in new:
-            if len(b) > LONGEST_KEPT:
-                del seen[b]
+    def texts(self, texts: pa.Array) -> Iterator[tuple[memoryview, memoryview]]:
+        """Each text's little-endian ids and its decoded text in UTF-8; a null counts as empty."""
+        different, numbers, ends = pieces(texts)
+        got = self.memory.of(different, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        ids, id_ends = spread([v[0] for v in got], numbers)
+        labels, label_ends = spread([v[1] for v in got], numbers)
+        at = label_at = 0
+        for z, label_z in zip(id_ends[ends].tolist(), label_ends[ends].tolist(), strict=True):
+            yield ids[at:z], labels[label_at : max(label_at, label_z - 1)]  # but for the blank after the last label
+            at, label_at = z, label_z
 
 
 def byte_letters() -> dict[str, int]:
@@ -342,10 +331,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         def rows():
             for batch in slices(batches):
-                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for doc_id, got in zip(doc_ids, bpe.pieces(texts), strict=True):
-                    ids = b"".join([c[0] for c in got])
-                    row = doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join([c[1] for c in got if c[1]]).encode()).hexdigest()
+                for doc_id, (ids, label) in zip(batch.column(0).to_pylist(), bpe.texts(batch.column(1)), strict=True):
+                    row = doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(label).hexdigest()
                     yield (*row, np.frombuffer(ids, "<u4").astype("i4")) if with_ids else row
 
         yield from in_batches(rows(), schema, weight=(lambda r: 4 * r[1]) if with_ids else None)

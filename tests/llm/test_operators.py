@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,8 +63,9 @@ def test_bpe(docs, empty):
 def test_bpe_automaton_on_random_words():
     b, t, rng = bpe.load(PATH), Tokenizer.from_file(PATH), random.Random(3)
     words = ["".join(rng.choice("aeithnosrl'1!.é☃") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
-    for w, pieces in zip(words, b.pieces(words), strict=True):
-        assert np.frombuffer(b"".join(p[0] for p in pieces), "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
+    for w, (ids, label) in zip(words, b.texts(pa.array(words)), strict=True):
+        want = t.encode(w, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and bytes(label).decode() == t.decode(want, skip_special_tokens=False)
 
 
 def brute_fingerprint(text):
