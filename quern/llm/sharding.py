@@ -44,7 +44,8 @@ def _plan(atoms: DataFrame, shards: int) -> DataFrame:
         (F.lit(shards) - F.col("own.n")).alias("k"),
         F.col("own.rest").alias("rest"),
     )
-    row = row.withColumn("most", F.expr("coalesce(array_max(transform(small, x -> x.bytes)), 0L)"))
+    # written in between: an expression that a lambda function names would be worked out again for every element
+    row = cut(row.withColumn("most", F.expr("coalesce(array_max(transform(small, x -> x.bytes)), 0L)")))
     row = row.withColumn(
         "capacity",
         F.expr(
@@ -58,7 +59,7 @@ def _plan(atoms: DataFrame, shards: int) -> DataFrame:
                       named_struct('lo', (acc.lo + acc.hi) div 2 + 1, 'hi', acc.hi)))).lo"""
         ),
     )
-    row = row.withColumn(
+    row = cut(row).withColumn(
         "firsts",
         F.expr(
             """aggregate(small, named_struct('load', 0L, 'firsts', cast(array() as array<int>)),
@@ -67,7 +68,7 @@ def _plan(atoms: DataFrame, shards: int) -> DataFrame:
                               named_struct('load', x.bytes, 'firsts', array_append(s.firsts, x.atom)))).firsts"""
         ),
     )
-    return row.select(
+    return cut(row).select(
         F.explode(
             F.expr(
                 """concat(transform(large, (x, i) -> named_struct('atom', x.atom, 'shard', i)),
