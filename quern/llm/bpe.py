@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memory, batch_rows, id_text, in_batches, pieces, slices, spread
+from quern.llm.common import Memory, batch_rows, id_text, in_batches, pieces, settle, slices, spread, tidy
 
 #: Pieces of text remembered by a worker process.
-MOST_PIECES = 450_000
+MOST_PIECES = 200_000
 _FOREVER = 1 << 60
 
 
@@ -315,6 +315,7 @@ def byte_letters() -> dict[str, int]:
 
 @lru_cache(2)
 def load(path: str) -> Bpe:
+    settle("bpe", load.cache_clear)
     return Bpe(path)
 
 
@@ -338,7 +339,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         yield from in_batches(rows(), schema, weight=(lambda r: 4 * r[1]) if with_ids else None)
 
     sql = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return id_text(docs, id_col, text_col).mapInArrow(run, sql)
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, "bpe"), sql)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -349,4 +350,4 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         for batch in batches:
             yield from in_batches(((i, bpe.decode(ids or [])) for i, ids in batch_rows(batch)), pa.schema([("doc_id", pa.int64()), ("decoded", pa.string())]))
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, decoded string")
+    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run, "bpe"), "doc_id long, decoded string")

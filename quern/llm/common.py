@@ -6,8 +6,10 @@ they are called, never clash with those an operator adds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker process remembers for an operator, by the operator's name: what gives it back.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def settle(name: str = "", release: Callable[[], None] | None = None) -> None:
+    """Gives back what the worker process remembers for operators of other names, and frees what the allocators keep."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    if release:
+        _held[name] = release
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run, name: str = ""):
+    """run for mapInArrow, with memory settled before and after a task."""
+
+    def tidied(batches):
+        settle(name)
+        try:
+            yield from run(batches)
+        finally:
+            settle(name)
+
+    return tidied
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share. One of our own is set only where the session names none, as in local tests."""
     context = spark.sparkContext
@@ -130,8 +160,8 @@ class Memory:
         if len(self.seen) + len(new) > self.most:
             self.seen, new = {}, list(asked)
         seen = self.seen
-        for k in range(0, len(new), 50_000):
-            seen.update(self.learn(new[k : k + 50_000]))
+        for k in range(0, len(new), 16_000):
+            seen.update(self.learn(new[k : k + 16_000]))
         out = [seen[b] if p is None else joined(seen[p[0]], seen[p[1]]) for b, p in zip(different, parts, strict=True)]
         for b in new:
             if len(b) > self.longest:

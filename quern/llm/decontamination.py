@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_text, in_batches, slices, text_bytes
+from quern.llm.common import id_text, in_batches, slices, text_bytes, tidy
 
 #: What separates words: ASCII apart from digits and letters.
 NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -247,7 +247,7 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", most_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text (on request), n_words, merged removal spans [first, end) in words, and the items found."""
     docs = id_text(docs, id_col, text_col)
-    parts = [docs.mapInArrow(_scan(items, size, with_text), HITS_SQL) for items in blocks(benchmark, item_col, text_col, most_bytes)]
+    parts = [docs.mapInArrow(tidy(_scan(items, size, with_text)), HITS_SQL) for items in blocks(benchmark, item_col, text_col, most_bytes)]
     if len(parts) == 1:
         return parts[0]
     every = parts[0]

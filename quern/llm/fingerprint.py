@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_bounds, id_text, in_batches, shuffle_partitions
+from quern.llm.common import id_bounds, id_text, in_batches, shuffle_partitions, tidy
 
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911_382_323, 972_663_749)
@@ -186,4 +186,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Documents are in the order of (doc_id, text), nulls first; after the last comes the first of the least non-null doc_id.
     """
-    return with_next(docs, id_col, text_col).mapInArrow(_walk, ROW_SQL)
+    return with_next(docs, id_col, text_col).mapInArrow(tidy(_walk), ROW_SQL)

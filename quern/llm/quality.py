@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_text
+from quern.llm.common import id_text, settle
 from quern.llm.labels import held_out, sample
 
 FEATURES = ["log_words", "mean_word", "upper", "symbols", "bangs", "pipes", "digits", "stops", "commas", "distinct", "repeats", "marked", "capital_words", "line_words"]
@@ -141,6 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, unseen=None, most: int = MOST_ROWS
 
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
+        settle()
         return texts.map(features)
 
     got = sorted((r[0], r[1], r[2]) for r in rows.select("doc_id", "label", of("text")).collect())
@@ -152,6 +153,7 @@ def scorer(model: Gam):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        settle()
         return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
 
     return score

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, id_text, in_batches
+from quern.llm.common import cut, id_text, in_batches, tidy
 from quern.llm.components import components
 
 WORD_BYTES = bytes([0x20, *range(9, 14)])
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
         for batch in batches:
             yield from in_batches(((i, signed(fingerprint(t, words))) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)), schema)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _byte(position: int):
@@ -166,13 +166,13 @@ def links(fps: DataFrame, bits: int = 4, long: int = LONG) -> DataFrame:
     edges = None
     if lengths.limit(1).count():
         short = lists.join(lengths, "key", "left_anti")
-        meet = lists.join(lengths.select("key"), "key", "left_semi").select("key", "fp").mapInArrow(_midpoints(bits), "key long, mid long, fp long")
+        meet = lists.join(lengths.select("key"), "key", "left_semi").select("key", "fp").mapInArrow(tidy(_midpoints(bits)), "key long, mid long, fp long")
         # an even number of flips meets in the middle; for odd bounds the ends are checked
         least = meet.groupBy("key", "mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
         edges = meet.join(least, ["key", "mid"]).where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
         if bits % 2:
             raise ValueError("long lists need an even bound")
-    near = short.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_short_lists(bits), "u long, v long").distinct()
+    near = short.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(tidy(_short_lists(bits)), "u long, v long").distinct()
     return near if edges is None else near.unionByName(edges).distinct()
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, id_text, in_batches, mix64, shuffle_partitions, slices, text_bytes
+from quern.llm.common import arrow, id_text, in_batches, mix64, shuffle_partitions, slices, text_bytes, tidy
 
 LEAST_ID = -(1 << 63)
 BUCKET_BYTES = 16 << 20
@@ -195,7 +195,7 @@ class WindowIndex:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Appends a sorted run with a batch's windows."""
-        self._write(_known(docs, id_col, text_col).mapInArrow(_deal(self.size, self.buckets), RUN_SQL))
+        self._write(_known(docs, id_col, text_col).mapInArrow(tidy(_deal(self.size, self.buckets)), RUN_SQL))
 
     def compact(self) -> None:
         """Merges all runs into one; the old files may be deleted afterwards."""
@@ -207,7 +207,7 @@ class WindowIndex:
         from uuid import uuid4
 
         to = f"{self.path}/run-{uuid4().hex}"
-        _by_bucket(runs, self.buckets).mapInArrow(_sorted_runs, RUN_SQL).write.parquet(to)
+        _by_bucket(runs, self.buckets).mapInArrow(tidy(_sorted_runs), RUN_SQL).write.parquet(to)
         self.runs = [*self.runs, to]
 
 
@@ -221,10 +221,10 @@ def removed_windows(docs: DataFrame, size: int = 50, index: WindowIndex | None =
     if index is not None and index.size != size:
         raise ValueError("the index has windows of another size")
     buckets = index.buckets if index else max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // BUCKET_BYTES))
-    runs = docs.mapInArrow(_deal(size, buckets), RUN_SQL)
+    runs = docs.mapInArrow(tidy(_deal(size, buckets)), RUN_SQL)
     if index is not None and (history := index.history()) is not None:
         runs = runs.unionByName(history)
-    spans = _by_bucket(runs, buckets).mapInArrow(_repeats, "doc_id long, first int, n int")
+    spans = _by_bucket(runs, buckets).mapInArrow(tidy(_repeats), "doc_id long, first int, n int")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
@@ -257,7 +257,7 @@ def dedup(docs: DataFrame, size: int = 50, index: WindowIndex | None = None, id_
         yield from in_batches(rows(), schema, weight=(lambda r: len(r[-1])) if with_text else None)
 
     joined = _known(docs, id_col, text_col).join(removed_windows(docs, size, index, id_col, text_col), "doc_id", "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return joined.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def dedup_texts(docs: DataFrame, size: int = 50, index: WindowIndex | None = None, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memory, arrow, id_bounds, id_text, in_batches, pieces, shuffle_partitions, slices, spread
+from quern.llm.common import Memory, arrow, id_bounds, id_text, in_batches, pieces, settle, shuffle_partitions, slices, spread, tidy
 
 #: Ids a word and bits an id, by selector; 60 bits of a word carry ids.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -128,6 +128,7 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
+    settle("token_files", encoder.cache_clear)
     e = Encoder(path)
     normal = e.tokenizer.normalizer
     if normal is None or normal.normalize_str("Ab  C") != "ab c":
@@ -187,9 +188,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
         if held:
             yield block()
 
-    rows = id_text(docs, id_col, text_col).mapInArrow(tokens, "part int, doc_id long, n long, ids binary")
+    rows = id_text(docs, id_col, text_col).mapInArrow(tidy(tokens, "token_files"), "part int, doc_id long, n long, ids binary")
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    rows.mapInArrow(blocks, BLOCK_SQL).write.mode("overwrite").option("compression", "none").parquet(path)
+    rows.mapInArrow(tidy(blocks, "token_files"), BLOCK_SQL).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -219,7 +220,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         offset.append((part, total))
         total += ids
     shift = spark.createDataFrame(offset, "part int, shift long")
-    return blocks.join(F.broadcast(shift), "part").select("shift", "before", "n_ids", "doc_ids", "counts", "words", "escapes").mapInArrow(run, TOKENS_SQL)
+    return blocks.join(F.broadcast(shift), "part").select("shift", "before", "n_ids", "doc_ids", "counts", "words", "escapes").mapInArrow(tidy(run, "token_files"), TOKENS_SQL)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -232,7 +233,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 parts = np.split(ids, np.cumsum(np.frombuffer(counts, "<i8"))[:-1])
                 yield from in_batches(zip([None if i == -1 << 63 else i for i in np.frombuffer(doc_ids, "<i8").tolist()], parts, strict=True), pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    return spark.read.schema(BLOCK_SQL).parquet(path).select("n_ids", "doc_ids", "counts", "words", "escapes").mapInArrow(run, "doc_id long, ids array<long>")
+    return spark.read.schema(BLOCK_SQL).parquet(path).select("n_ids", "doc_ids", "counts", "words", "escapes").mapInArrow(tidy(run, "token_files"), "doc_id long, ids array<long>")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

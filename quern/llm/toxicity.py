@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_text
+from quern.llm.common import id_text, settle
 from quern.llm.labels import held_out, sample
 
 #: Labelled rows of each class that training may see, and signs kept.
@@ -184,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, unseen=None, most: int = MOST_ROWS
 
     @F.pandas_udf("array<string>")
     def plain(texts: pd.Series) -> pd.Series:
+        settle()
         return texts.map(lambda t: [w for w in units(t) if w.isalpha() and not _RUN.search(w)])
 
     words = rows.select("doc_id", "label", F.explode(plain("text")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(50_000)
@@ -191,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, unseen=None, most: int = MOST_ROWS
 
     @F.pandas_udf("array<string>")
     def of(texts: pd.Series) -> pd.Series:
+        settle()
         return texts.map(lambda t: sorted({s for u in units(t) for s in signs(restored(u, letters))}))
 
     half = F.xxhash64(F.lit("curve"), "doc_id") % 3 == 0
@@ -202,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, unseen=None, most: int = MOST_ROWS
 
     @F.pandas_udf("array<double>")
     def evidence(texts: pd.Series) -> pd.Series:
+        settle()
         return texts.map(lambda t: list(model.evidence(t)))
 
     got = sorted((r[0], r[1], *r[2]) for r in rows.where(half).select("doc_id", "label", evidence("text")).collect())
@@ -220,6 +223,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: st
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        settle()
         return texts.map(model.score)
 
     scored = id_text(docs, id_col, text_col).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score("text").alias("score"))
