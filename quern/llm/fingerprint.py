@@ -2,11 +2,12 @@
 
 Over a text's code points, prefix arrays hold the polynomial hash of every prefix modulo two primes. The hash of any span
 is a difference of two entries, so that any two spans are compared in one step and the longest common extension of two
-places is found by binary search. The fingerprint of a text is its length, the hash of the whole span and a bottom sketch:
-the SKETCH least hashes of its spans of SPAN code points. Its likeness to another is 1 for equal texts, else the Dice
-coefficient of their sets of spans, as estimated from the sketches' common least values.
+places is found by binary search. The fingerprint of a text is its length, the hash of the whole span and a bottom sketch
+for each of three widths: the SKETCH least hashes of its spans of 24, 6 and 2 code points. Its likeness to another is 1 for
+equal texts, else the Dice coefficient of their sets of spans, as estimated from the sketches' common least values. The
+shorter of the two texts chooses the width for both: 24 from 96 code points on, 6 from 16 on, else 2.
 
-Null texts count as empty; the empty text is like itself only. A text shorter than a span has itself as its one span.
+Null texts count as empty; the empty text is like itself only. A text shorter than a span has no span of that width.
 Equal texts have equal fingerprints.
 """
 
@@ -26,7 +27,8 @@ from quern.llm.common import id_bounds, id_text, in_batches, shuffle_partitions,
 
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911_382_323, 972_663_749)
-SPAN = 24
+#: Widths of spans, and the length from which the shorter of two texts is compared by them.
+SPANS = ((24, 96), (6, 16), (2, 0))
 SKETCH = 48
 
 
@@ -101,18 +103,30 @@ def _least(values: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str) -> str:
-    """Hex: length (16 digits), whole hash (8 + 8), then the sketch, 8 digits a value."""
+    """Hex: length (16 digits), whole hash (8 + 8), then for each width how many values, and these, 8 digits each."""
     p = Prefixes(text)
     head = f"{p.n:016x}{int(p.sums[0][-1]):08x}{int(p.sums[1][-1]):08x}"
     if not p.n:
         return head
-    return head + _least(p.spans(min(SPAN, p.n))).astype(">u4").tobytes().hex()
+    kept = [_least(p.spans(w)) if p.n >= w else np.zeros(0, np.uint32) for w, _ in SPANS]
+    return head + "".join(f"{len(k):08x}{k.astype('>u4').tobytes().hex()}" for k in kept)
+
+
+def _sketch(mark: str, which: int) -> np.ndarray:
+    values = np.frombuffer(bytes.fromhex(mark[32:]), ">u4")
+    for _ in range(which):
+        values = values[1 + int(values[0]) :]
+    return values[1 : 1 + int(values[0])].astype(np.uint32)
 
 
 def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f[32:]), ">u4") for f in (a, b))
+    shorter = min(int(a[:16], 16), int(b[:16], 16))
+    if not shorter:
+        return 0.0
+    which = next(k for k, (_, least) in enumerate(SPANS) if shorter >= least)
+    x, y = _sketch(a, which), _sketch(b, which)
     if not len(x) or not len(y):
         return 0.0
     both = np.union1d(x, y)[:SKETCH]
