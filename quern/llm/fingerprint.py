@@ -3,8 +3,9 @@
 Over a text's code points, prefix arrays hold the polynomial hash of every prefix modulo two primes. The hash of any span
 is a difference of two entries, so that any two spans are compared in one step and the longest common extension of two
 places is found by binary search. The fingerprint of a text is its length, the hash of the whole span and a bottom sketch
-for each of three widths: the SKETCH least hashes of its spans of 24, 6 and 2 code points. Its likeness to another is 1 for
-equal texts, else the Dice coefficient of their sets of spans, as estimated from the sketches' common least values. The
+for each of three widths: of the hashes of its spans of 24, 6 and 2 code points the SKETCH least, and all below BELOW, so
+that it grows with the text by an eighth of its spans. Its likeness to another is 1 for equal texts, else the Dice
+coefficient of their sets of spans, as estimated from the values below which both sketches have all. The
 shorter of the two texts chooses the width for both: 24 from 96 code points on, 6 from 16 on, else 2.
 
 Null texts count as empty; the empty text is like itself only. A text shorter than a span has no span of that width.
@@ -30,6 +31,7 @@ BASES = (911_382_323, 972_663_749)
 #: Widths of spans, and the length from which the shorter of two texts is compared by them.
 SPANS = ((24, 96), (6, 16), (2, 0))
 SKETCH = 48
+BELOW = 1 << 29
 
 
 @lru_cache(2)
@@ -90,16 +92,20 @@ _TOP = 1 << 40
 
 
 def _least(values: np.ndarray) -> np.ndarray:
-    """The SKETCH least distinct values after spreading, ascending."""
+    """The distinct values after spreading that are below BELOW, the SKETCH least at any rate, ascending."""
     x = values.astype(np.uint32)
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
     x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
     x ^= x >> np.uint32(16)
-    if len(x) > 64 * SKETCH:
-        few = np.unique(x[x < np.uint32((1 << 32) * 4 * SKETCH // len(x))])
-        if len(few) >= SKETCH:
-            return few[:SKETCH]
-    return np.unique(x)[:SKETCH]
+    few = np.unique(x[x < np.uint32(BELOW)])
+    return few if len(few) >= SKETCH else np.unique(x)[:SKETCH]
+
+
+def _complete(sketch: np.ndarray) -> int:
+    """The sketch has all values of its text below this."""
+    if len(sketch) < SKETCH:
+        return 1 << 32
+    return max(BELOW, int(sketch[-1]) + 1)
 
 
 def fingerprint(text: str) -> str:
@@ -129,7 +135,11 @@ def likeness(a: str, b: str) -> float:
     x, y = _sketch(a, which), _sketch(b, which)
     if not len(x) or not len(y):
         return 0.0
-    both = np.union1d(x, y)[:SKETCH]
+    below = min(_complete(x), _complete(y))
+    both = np.union1d(x, y)
+    both = both[both < below]
+    if not len(both):
+        return 0.0
     jaccard = np.isin(both, x).astype(int) @ np.isin(both, y).astype(int) / len(both)
     return float(2 * jaccard / (1 + jaccard))
 

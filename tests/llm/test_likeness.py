@@ -15,3 +15,13 @@ def test_three_quarters_kept_are_seen_at_every_length():
         text, following = say(rng, n), say(rng, 400).upper()
         near = fingerprint.likeness(fingerprint.fingerprint(text), fingerprint.fingerprint(fingerprint.edited(text, following)))
         assert near > 0.35, n
+
+
+def test_passages_shared_by_long_texts_are_seen():
+    rng = random.Random(4)
+    for _ in range(30):
+        passage = say(rng, 300)
+        a, b = (say(rng, 4000) + passage + say(rng, 4000) for _ in range(2))
+        x, y = ({t[k : k + 24] for k in range(len(t) - 23)} for t in (a, b))
+        near = fingerprint.likeness(fingerprint.fingerprint(a), fingerprint.fingerprint(b))
+        assert 0 < near and abs(near - 2 * len(x & y) / (len(x) + len(y))) < 0.03
