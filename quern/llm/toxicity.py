@@ -31,7 +31,9 @@ PREFIXES = (3, 4, 5)
 #: What letters a sign stands for in disguise.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
 GAPS = set(".-_*~'`^:,")
-_EDGE = re.compile(r"^[^\w@$]+|[^\w]+$")
+_SIGNS = "".join(c for c in LEET if not c.isalnum())
+_EDGE = re.compile(rf"^[^\w{re.escape(_SIGNS)}]+|[^\w{re.escape(_SIGNS)}]+$")
+_PLAIN_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _ODD = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
 
@@ -54,8 +56,9 @@ class Letters:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters what it may stand for, and the cost of that."""
+    """For each run of equal characters what it may stand for, and the cost of that. Signs at either end may be none."""
     out, k = [], 0
+    first, last = len(token) - len(token.lstrip(_SIGNS)), len(token.rstrip(_SIGNS))
     while k < len(token):
         c, n = token[k], 1
         while k + n < len(token) and token[k + n] == c:
@@ -68,6 +71,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             ways += [(letter, 0.5)] + [(letter * 2, 0.7)] * (n > 1)
         if c in GAPS or c == " ":
             ways.append(("", 0.3))
+        elif c in _SIGNS and (k <= first or k > last):
+            ways.append(("", 1.0))
         if not ways:
             ways = [("", 4.0)]
         out.append(ways)
@@ -76,9 +81,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, letters: Letters) -> str:
     """The letters of the best path."""
-    paths: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+    # texts as (text before, last letters), put together in the end
+    paths: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
     for ways in lattice(token):
-        new: dict[str, tuple[float, str]] = {}
+        new: dict[str, tuple[float, tuple]] = {}
         for (a, b), (cost, text) in paths.items():
             for way, extra in ways:
                 x, y, total = a, b, cost + extra
@@ -87,17 +93,28 @@ def decode(token: str, letters: Letters) -> str:
                     x, y = y, c
                 state = x + y
                 if state not in new or total < new[state][0]:
-                    new[state] = total, text + way
+                    new[state] = total, (text, way) if way else text
         paths = new
-    return min((cost + letters.cost(s[0], s[1], " "), text) for s, (cost, text) in paths.items())[1]
+
+    def spelled(text: tuple) -> str:
+        out = []
+        while text:
+            text, way = text
+            out.append(way)
+        return "".join(reversed(out))
+
+    return min((cost + letters.cost(s[0], s[1], " "), spelled(text)) for s, (cost, text) in paths.items())[1]
 
 
 def disguised(core: str) -> bool:
     return not core.isalpha() and bool(_ODD.search(core)) or bool(_RUN.search(core))
 
 
-def units(text: str | None) -> set[str]:
-    """A text's words, lower-cased, with those of single letters in a row (i d i o t) as one, blanks kept."""
+def units(text: str | None, longest: int = 16) -> set[str]:
+    """A text's words, lower-cased, with those of single letters in a row (i d i o t) as one, blanks kept.
+
+    Of a row its stretches of up to longest letters, and all of it.
+    """
     words = text.lower().split() if text else []
     out = set(words)
     single = bytes([len(w) == 1 for w in words])
@@ -107,8 +124,9 @@ def units(text: str | None) -> set[str]:
         while z < len(single) and single[z]:
             z += 1
         for a in range(k, z - 2):  # whatever stretch of them spells a word
-            for b in range(a + 3, min(z, a + 16) + 1):
+            for b in range(a + 3, min(z, a + longest) + 1):
                 out.add(" ".join(words[a:b]))
+        out.add(" ".join(words[k:z]))
         k = single.find(b"\x01\x01\x01", z)
     return out
 
@@ -117,9 +135,15 @@ def restored(unit: str, letters: Letters) -> str:
     if unit.isalpha() and not _RUN.search(unit):
         return unit
     if " " in unit:
-        return decode(unit, letters) if len(unit) < 64 else ""
+        return decode(unit, letters)
     core = _EDGE.sub("", unit)
-    return decode(core, letters) if 2 < len(core) <= 40 and disguised(core) else core
+    return decode(core, letters) if len(core) > 2 and disguised(core) else _PLAIN_EDGE.sub("", core)
+
+
+def readings(unit: str, letters: Letters) -> set[str]:
+    """The restored word, and the word without its edge signs if it is plain then: +idiot may be one or the other."""
+    core = _PLAIN_EDGE.sub("", unit)
+    return {restored(unit, letters), core} if core.isalpha() and not _RUN.search(core) else {restored(unit, letters)}
 
 
 def signs(word: str) -> list[str]:
@@ -133,16 +157,18 @@ class Model:
     def __init__(self, letters: Letters, weights: dict[str, float], curve=(-3.0, 0.5, 0.5)):
         self.letters, self.weights, self.curve = letters, weights, curve
         self.seen: dict[str, tuple[str, float] | None] = {}
+        # no longer stretch can spell a sign
+        self.longest = max([16, *map(len, weights)])
 
     def of(self, unit: str) -> tuple[str, float] | None:
         """A unit's strongest sign."""
-        word = restored(unit, self.letters)
-        return max(((s, self.weights[s]) for s in signs(word) if s in self.weights), key=lambda x: (x[1], x[0]), default=None)
+        found = (s for word in readings(unit, self.letters) for s in signs(word))
+        return max(((s, self.weights[s]) for s in found if s in self.weights), key=lambda x: (x[1], x[0]), default=None)
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Sum of the three strongest different signs' log odds, and the log of how many there are."""
         found, seen = {}, self.seen
-        for u in units(text):
+        for u in units(text, self.longest):
             try:
                 got = seen[u]
             except KeyError:
@@ -193,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, unseen=None, most: int = MOST_ROWS
     @F.pandas_udf("array<string>")
     def of(texts: pd.Series) -> pd.Series:
         settle()
-        return texts.map(lambda t: sorted({s for u in units(t) for s in signs(restored(u, letters))}))
+        return texts.map(lambda t: sorted({s for u in units(t) for w in readings(u, letters) for s in signs(w)}))
 
     half = F.xxhash64(F.lit("curve"), "doc_id") % 3 == 0
     counts = rows.where(~half).select("label", F.explode(of("text")).alias("s")).groupBy("s").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
