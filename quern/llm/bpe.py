@@ -16,18 +16,19 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import Memory, batch_rows, id_text, in_batches, pieces, settle, slices, spread, tidy
 
-#: Pieces of text remembered by a worker process.
-MOST_PIECES = 200_000
+#: Bytes of text pieces and their tokens that a worker process remembers.
+MOST_BYTES = 40 << 20
 _FOREVER = 1 << 60
+_SPACE = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
 
 
 class Table:
@@ -233,20 +234,34 @@ class Bpe:
         self.spell = byte_letters()
         self.automaton = Automaton(model["vocab"], merges, self.spell, model.get("end_of_word_suffix") or "")
         # texts go through the library's own normaliser and splitter only; the merges are the automaton's
-        self.split = Tokenizer.from_file(path)
+        whole = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         if "Lowercase" not in json.dumps(spec["normalizer"]):
             raise ValueError("only files whose normaliser lower-cases are supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.label = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
-        self.blanked = {i: (t + " ").encode() for i, t in self.label.items()}
+        labels = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
+        # every arc's label and a blank, one after the other, and where each begins
+        parts = [f"{labels[i]} ".encode() if i in labels else b"" for i in range(max(labels) + 1)]
+        self.labels, self.label_at = b"".join(parts), np.cumsum([0, *map(len, parts)]).astype(np.int32)
         self.to_byte = np.zeros(max(map(ord, self.spell)) + 1, np.uint8)
         self.to_byte[[ord(c) for c in self.spell]] = list(self.spell.values())
-        self.memory = Memory(self.learn, MOST_PIECES)
+        self.memory = Memory(self.learn, lambda v: len(v[0]) + len(v[1]), MOST_BYTES)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memory"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.memory = Memory(self.learn, lambda v: len(v[0]) + len(v[1]), MOST_BYTES)
 
     def _words(self, text: str) -> list[tuple[str, tuple[int, int]]]:
-        norm = self.split.normalizer.normalize_str(text) if self.split.normalizer else text
-        return self.split.pre_tokenizer.pre_tokenize_str(norm) if norm else []
+        norm = self.normalizer.normalize_str(text) if self.normalizer else text
+        return self.splitter.pre_tokenize_str(norm) if norm else []
+
+    def _blanked(self, ids: list[int]) -> list[bytes]:
+        at, labels = self.label_at, self.labels
+        return [labels[at[i] : at[i + 1]] for i in ids]
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of byte-level words and, for each word, where they end."""
@@ -264,7 +279,7 @@ class Bpe:
         return out
 
     def decode(self, ids) -> str:
-        return " ".join([self.label[i] for i in ids])
+        return b"".join(self._blanked(ids))[:-1].decode()
 
     def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         """Little-endian ids, and labels with a blank after each, of pieces of text without ASCII white space.
@@ -275,25 +290,29 @@ class Bpe:
         got, plain = {}, []
         for b in pieces:
             text = b.decode("utf-8", "surrogatepass")
-            if len(text.split()) == 1 and len(b) < 1000 and not (self.marks and self.marks.search(text)):
+            # white space of any kind inside, or what a splitter may take for it, has such a piece split by itself
+            if text and len(b) < 1000 and not _SPACE.search(text) and not (self.marks and self.marks.search(text)):
                 plain.append((b, text))
             else:
-                ids = self.encode(text)
-                got[b] = np.array(ids, "<u4").tobytes(), (self.decode(ids) + " ").encode() if ids else b""
+                got[b] = self._alone(text)
         if plain:
             words = self._words(" ".join([t for _, t in plain]))
-            ids, ends = self._ids([w for w, _ in words])
             # a gap between two words is the blank between two pieces
-            spans = np.array([s for _, s in words])
-            last = np.flatnonzero(np.append(spans[1:, 0] > spans[:-1, 1], True))
-            if len(last) != len(plain):
-                raise ValueError("the splitter dropped or split a piece")
-            cuts, raw, labels, a = ends[last].tolist(), ids.tobytes(), list(map(self.blanked.__getitem__, ids.tolist())), 0
+            spans = np.array([s for _, s in words], np.int64).reshape(-1, 2)
+            last = np.flatnonzero(np.append(spans[1:, 0] > spans[:-1, 1], True)) if len(spans) else spans
+            if len(last) != len(plain):  # the splitter dropped or parted a piece
+                return got | {b: self._alone(t) for b, t in plain}
+            ids, ends = self._ids([w for w, _ in words])
+            cuts, raw, labels, a = ends[last].tolist(), ids.tobytes(), self._blanked(ids.tolist()), 0
             for (b, _), z in zip(plain, cuts, strict=True):
                 got[b] = raw[4 * a : 4 * z], b"".join(labels[a:z])
                 a = z
         return got
 
+    def _alone(self, text: str) -> tuple[bytes, bytes]:
+        ids = self.encode(text)
+        return np.array(ids, "<u4").tobytes(), b"".join(self._blanked(ids))
+
     def texts(self, texts: pa.Array) -> Iterator[tuple[memoryview, memoryview]]:
         """Each text's little-endian ids and its decoded text in UTF-8; a null counts as empty."""
         different, numbers, ends = pieces(texts)
@@ -315,20 +334,44 @@ def byte_letters() -> dict[str, int]:
 
 @lru_cache(2)
 def load(path: str) -> Bpe:
-    settle("bpe", load.cache_clear)
+    """The compiled file, in the driver."""
     return Bpe(path)
 
 
+_kept: dict[int, Bpe] = {}
+_broadcast: dict[tuple[str, str], tuple] = {}
+
+
+def _received(number: int, sent) -> Bpe:
+    """What a worker process keeps of a broadcast."""
+    if number not in _kept:
+        _kept.clear()
+        _kept[number] = sent.value
+        settle("bpe", _kept.clear)
+    return _kept[number]
+
+
+def _sent(spark: SparkSession, path: str):
+    """A function that gives a task the automaton: compiled once in the driver, sent as arrays of a fixed size."""
+    context = spark.sparkContext
+    key = context.applicationId, path
+    if key not in _broadcast:
+        _broadcast.clear()
+        sent = context.broadcast(load(path))
+        _broadcast[key] = sent._jbroadcast.id(), sent
+    return partial(_received, *_broadcast[key])
+
+
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 IDS = pa.schema([*list(TOKENS), ("ids", pa.list_(pa.int32()))])
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded text and, on request, the ids; no shuffle."""
-    schema = IDS if with_ids else TOKENS
+    schema, get = IDS if with_ids else TOKENS, _sent(docs.sparkSession, path)
 
     def run(batches):
-        bpe = load(path)
+        bpe = get()
 
         def rows():
             for batch in slices(batches):
@@ -344,9 +387,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and the decoded text of id arrays, by the labels of the arcs; a null array gives an empty text."""
+    get = _sent(tokens.sparkSession, path)
 
     def run(batches):
-        bpe = load(path)
+        bpe = get()
         for batch in batches:
             yield from in_batches(((i, bpe.decode(ids or [])) for i, ids in batch_rows(batch)), pa.schema([("doc_id", pa.int64()), ("decoded", pa.string())]))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import unicodedata
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -51,13 +53,38 @@ def tidy(run, name: str = ""):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share. One of our own is set only where the session names none, as in local tests."""
+    """The folder all executors share. One of our own is set only where the session names none and runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_files(spark: SparkSession, path: str) -> None:
+    """Deletes a path in whatever file system it is, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, kept in the folder all executors share."""
     checkpoint_dir(df.sparkSession)
@@ -138,43 +165,62 @@ def pieces(texts: pa.Array) -> tuple[list[bytes], pa.Array, np.ndarray]:
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+def _ends_in_letter(head: bytes) -> bool:
+    """Whether letters still end in a letter, of any version of Unicode, once they are composed and lower-cased."""
+    text = head.decode("utf-8", "replace")
+    if not text.isalpha():
+        return False
+    last = unicodedata.normalize("NFC", text).lower()[-1]
+    return last.isalpha() and unicodedata.ucd_3_2_0.category(last)[0] == "L"
+
+
 def halves(piece: bytes) -> tuple[bytes, bytes] | None:
     """A piece of letters and then ASCII signs alone as these two, which every splitter by letters parts."""
     head = piece.rstrip(_SIGNS)
-    if head and len(head) < len(piece) and (head.isalpha() or not head.isascii() and head.decode("utf-8", "replace").isalpha()):
+    if head and len(head) < len(piece) and (head.isalpha() or not head.isascii() and _ends_in_letter(head)):
         return head, piece[len(head) :]
     return None
 
 
 class Memory:
-    """What a function gives for pieces of text, remembered up to a number of them; beyond it the memory starts afresh."""
+    """What a function gives for pieces of text, remembered up to a number of bytes; beyond it the memory starts afresh."""
+
+    #: Bytes that an entry takes in Python besides its texts.
+    ENTRY = 250
 
-    def __init__(self, learn, most: int, longest: int = 48):
-        self.learn, self.most, self.longest, self.seen = learn, most, longest, {}
+    def __init__(self, learn, weight, most_bytes: int, longest: int = 48):
+        """weight: bytes of what learn gives for a piece; pieces over longest bytes are not remembered."""
+        self.learn, self.weight, self.most_bytes, self.longest, self.seen, self.size = learn, weight, most_bytes, longest, {}, 0
 
     def of(self, different: list[bytes], joined) -> list:
         """For each piece what learn gives, or what joined makes of its halves'."""
         parts = [halves(b) for b in different]
         asked = dict.fromkeys(x for b, p in zip(different, parts, strict=True) for x in (p or (b,)))
-        new = [b for b in asked if b not in self.seen]
-        if len(self.seen) + len(new) > self.most:
-            self.seen, new = {}, list(asked)
+        if self.size > self.most_bytes:
+            self.seen, self.size = {}, 0
         seen = self.seen
+        new = [b for b in asked if b not in seen]
         for k in range(0, len(new), 16_000):
             seen.update(self.learn(new[k : k + 16_000]))
         out = [seen[b] if p is None else joined(seen[p[0]], seen[p[1]]) for b, p in zip(different, parts, strict=True)]
         for b in new:
             if len(b) > self.longest:
                 del seen[b]
+            else:
+                self.size += self.ENTRY + len(b) + self.weight(seen[b])
         return out
 
 
 def spread(values: list[bytes], numbers: pa.Array) -> tuple[memoryview, np.ndarray]:
     """The values of all numbers, one after the other, and where each ends."""
-    taken = pa.array(values, pa.binary()).take(numbers)
-    buffers, n = taken.buffers(), len(taken)
-    offsets = np.frombuffer(buffers[1], np.int32, n + 1, 4 * taken.offset)
-    return memoryview(buffers[2] or b""), offsets
+    return spread_out(pa.array(values, pa.binary()).take(numbers))
+
+
+def spread_out(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of binary values, and where in them each begins and the last one ends."""
+    buffers, n = values.buffers(), len(values)
+    kind = np.dtype(np.int64 if pa.types.is_large_binary(values.type) else np.int32)
+    return memoryview(buffers[2] or b""), np.frombuffer(buffers[1], kind, n + 1, kind.itemsize * values.offset)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

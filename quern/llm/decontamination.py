@@ -10,8 +10,9 @@ merged into removal spans.
 The benchmark is read in blocks of BLOCK_BYTES of text, each searched in all documents, so that what a task holds of it
 has a fixed bound; one block, the usual case, takes no shuffle. Windows are given in item words: an item of fewer than
 `size` words, but not none, is one window. Null and empty texts have no words: such documents come back with zeros, such
-items match nothing. Equal items each count. Rows that share a doc_id are rows of their own with one block and share their
-hits with more.
+items match nothing. Equal items each count; an item without an id marks words, but isn't listed. Item ids may be of any
+type and are compared as text. Rows that share a doc_id are rows of their own, as are those without one. Empty tables give
+an empty result or no hits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_text, in_batches, slices, text_bytes, tidy
+from quern.llm.common import fresh, id_text, in_batches, slices, text_bytes, tidy
 
 #: What separates words: ASCII apart from digits and letters.
 NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -54,7 +55,7 @@ class Wavelet:
         self.last = values
 
     def rank(self, value: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """How often value stands in front of place before; both are arrays."""
+        """How often value, which has no more than bits bits, stands in front of place before; both are arrays."""
         low = np.zeros(len(before), np.int64)
         high = before.astype(np.int64)
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
@@ -83,7 +84,8 @@ class FmIndex:
         suffix = self._suffixes(text)
         bwt = text[suffix - 1]
         self.tree = Wavelet(bwt, max(1, int(text.max()).bit_length()))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))])
+        # first[c]: suffixes that begin with a lesser letter than c, for letters up to the greatest and one more
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.sampled = np.where(suffix % SAMPLE == 0, suffix, -1)
 
     @staticmethod
@@ -104,7 +106,7 @@ class FmIndex:
         """Rows [low, high) of each phrase; phrases: one a row, aligned at their ends."""
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         live = np.arange(len(phrases))
-        top = len(self.first) - 1
+        top = len(self.first) - 1  # letters from here on do not occur
         for k in range(1, phrases.shape[1] + 1):
             c = phrases[live, -k] + 1
             done = lengths[live] < k
@@ -138,20 +140,31 @@ class Phrases:
     """The windows of some items as numbers."""
 
     def __init__(self, items: list[tuple], size: int):
-        self.size, self.word, rows, owners = size, {}, {}, []
-        for item, text in items:
-            words = [self.word.setdefault(w, len(self.word) + 1) for w in split(text)]
-            for k in range(max(1, len(words) - size + 1)) if words else ():
-                n = rows.setdefault(tuple(words[k : k + size]), len(rows))
-                owners.append((n, item))
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.shortest = int(self.lengths.min()) if rows else 0
-        self.table = np.zeros((len(rows), size), np.int64)
-        for k, r in enumerate(rows):
-            self.table[k, size - len(r) :] = r
-        self.items: dict[int, list] = {}
-        for n, item in dict.fromkeys(owners):
-            self.items.setdefault(n, []).append(item)
+        self.size, self.word, texts = size, {}, []
+        for _, text in items:
+            texts.append(np.array([self.word.setdefault(w, len(self.word) + 1) for w in split(text)], np.int32))
+        # a window a row, aligned at its end, zeros before it
+        lengths = np.array([len(t) for t in texts], np.int64)
+        many = np.where(lengths > 0, np.maximum(1, lengths - size + 1), 0)
+        table = np.zeros((int(many.sum()), size), np.int32)
+        at = 0
+        for words, n in zip(texts, many.tolist(), strict=True):
+            if len(words) >= size:
+                table[at : at + n] = np.lib.stride_tricks.sliding_window_view(words, size)
+            elif n:
+                table[at, size - len(words) :] = words
+            at += n
+        owner = np.repeat(np.arange(len(items)), many)
+        self.table, number = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, owner)
+        self.lengths = (self.table > 0).sum(1)
+        self.shortest = int(self.lengths.min()) if len(self.table) else 0
+        # the ids of the items that have a window, window by window
+        pairs = np.unique(np.column_stack([number.ravel(), owner]), axis=0)
+        self.owner_ends, self.owners, self.names = np.searchsorted(pairs[:, 0], np.arange(len(self.table)), "right"), pairs[:, 1], [i for i, _ in items]
+
+    def items(self, window: int) -> list:
+        a = self.owner_ends[window - 1] if window else 0
+        return [self.names[k] for k in self.owners[a : self.owner_ends[window]].tolist()]
 
     def hits(self, numbers: np.ndarray, ends: np.ndarray):
         """Occurrences in documents laid end to end: window, place of its first word. ends: where each document ends."""
@@ -181,8 +194,8 @@ class Phrases:
         return window, place[index.locate(rows)]
 
 
-HITS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.int64()))])
-HITS_SQL = "doc_id long, text string, n_words long, spans array<array<int>>, items array<long>"
+HITS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
+HITS_SQL = "doc_id long, key long, n_words long, spans array<array<int>>, items array<string>"
 
 
 def _merge(spans) -> list[list[int]]:
@@ -196,7 +209,7 @@ def _merge(spans) -> list[list[int]]:
     return out
 
 
-def _scan(items: list[tuple], size: int, with_text: bool):
+def _scan(items: list[tuple], size: int, hit_only: bool):
     def run(batches):
         phrases = Phrases(items, size)
         number = phrases.word.get
@@ -211,16 +224,18 @@ def _scan(items: list[tuple], size: int, with_text: bool):
                 spans, got = found.setdefault(d, ([], set()))
                 a = p - int(begin[d])
                 spans.append((a, a + int(phrases.lengths[w])))
-                got.update(phrases.items[w])
-            for k, (i, text) in enumerate(held):
+                got.add(w)
+            for k, (i, key) in enumerate(held):
                 spans, got = found.get(k, ((), ()))
-                yield i, text if with_text else None, int(ends[k] - begin[k]), _merge(spans), sorted(got)
+                if spans or not hit_only:
+                    names = {name for w in got for name in phrases.items(w) if name is not None}
+                    yield i, key, int(ends[k] - begin[k]), _merge(spans), sorted(names)
 
         def rows():
             held, numbers, ends = [], [], []
             for batch in slices(batches):
-                for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held.append((i, text if with_text else None))
+                for i, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held.append((i, key))
                     numbers.extend([number(w, 0) for w in split(text)])
                     ends.append(len(numbers))
                     if len(numbers) >= SHARD_WORDS:
@@ -229,36 +244,51 @@ def _scan(items: list[tuple], size: int, with_text: bool):
             if held:
                 yield from finish(held, numbers, ends)
 
-        yield from in_batches(rows(), HITS, weight=lambda r: len(r[1] or ""))
+        yield from in_batches(rows(), HITS)
 
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+
+
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most_bytes: int = BLOCK_BYTES):
-    """The benchmark in lists of (item, text) of bounded bytes, one at a time."""
-    items = id_text(benchmark, item_col, text_col).where("text is not null")
+    """The benchmark in lists of (item, text) of bounded bytes, one at a time; items' ids as text."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = text_bytes(items)
     n = max(1, -(-total // most_bytes))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield [(r[0], r[1]) for r in part.toLocalIterator()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", most_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text (on request), n_words, merged removal spans [first, end) in words, and the items found."""
-    docs = id_text(docs, id_col, text_col)
-    parts = [docs.mapInArrow(tidy(_scan(items, size, with_text)), HITS_SQL) for items in blocks(benchmark, item_col, text_col, most_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+#: Merged spans of sorted ones, as an expression.
+_JOINED = """aggregate(spans, cast(array() as array<array<int>>), (acc, x) ->
+    if(size(acc) > 0 and x[0] <= acc[size(acc) - 1][1],
+       concat(slice(acc, 1, size(acc) - 1), array(array(acc[size(acc) - 1][0], greatest(x[1], acc[size(acc) - 1][1])))),
+       concat(acc, array(x))))"""
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    """The hits of all blocks in each different document: by doc_id and text."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("doc_id", "n_words").agg(F.min("text").alias("text"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = """aggregate(spans, cast(array() as array<array<int>>), (acc, x) ->
-        if(size(acc) > 0 and x[0] <= acc[size(acc) - 1][1],
-           concat(slice(acc, 1, size(acc) - 1), array(array(acc[size(acc) - 1][0], greatest(x[1], acc[size(acc) - 1][1])))),
-           concat(acc, array(x))))"""
-    return merged.select("doc_id", "text", "n_words", F.expr(joined).alias("spans"), "items")
+    merged = every.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return merged.select("doc_id", "key", "n_words", F.expr(_JOINED).alias("spans"), "items")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Of each row doc_id, n_words, merged removal spans [first, end) in words, and the ids of the items found, as text."""
+    docs = _keyed(docs, id_col, text_col)
+    lists = list(blocks(benchmark, item_col, text_col, most_bytes))
+    if len(lists) == 1:
+        return docs.mapInArrow(tidy(_scan(lists[0], size, False)), HITS_SQL).drop("key")
+    every = docs.mapInArrow(tidy(_scan([], size, False)), HITS_SQL).select("doc_id", "key", "n_words")
+    found = _united([docs.mapInArrow(tidy(_scan(items, size, True)), HITS_SQL) for items in lists]).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "spans", "items")
+    joined = every.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
@@ -280,20 +310,20 @@ def remove(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """docs with their columns: contaminated documents are dropped, smaller hits cut out of the others' texts."""
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with their columns: contaminated rows are dropped, smaller hits cut out of the others' texts."""
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([remove(t, [list(x) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    found = scan(docs, benchmark, size, False, id_col, text_col, item_col).withColumn("n_hit", n_hit()).where("n_hit > 0")
-    hits = found.groupBy("doc_id").agg(F.max(contaminated()).alias("__bad"), F.first("spans").alias("__spans")).withColumnRenamed("doc_id", "__hit_id")
-    joined = docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id")), "left").where(F.col("__bad").isNull() | ~F.col("__bad"))
+    rows = _keyed(docs, id_col, text_col)
+    # hits belong to a text under an id, so that rows which share an id each get their own
+    hit_id, hit_key, bad, cuts = fresh(docs, "hit_id", "hit_key", "bad", "spans")
+    found = _united([rows.mapInArrow(tidy(_scan(items, size, True)), HITS_SQL) for items in blocks(benchmark, item_col, text_col, most_bytes)]).withColumn("n_hit", n_hit())
+    hits = found.select(F.col("doc_id").alias(hit_id), F.col("key").alias(hit_key), contaminated().alias(bad), F.col("spans").alias(cuts))
+    text = F.col(text_col).cast("string")
+    joined = docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col(hit_id)) & (F.xxhash64(text) == F.col(hit_key)), "left").where(F.col(bad).isNull() | ~F.col(bad))
     # Python gets the texts that change only
-    cut_out = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(without(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.coalesce("__spans", F.array().cast("array<array<int>>"))))
-    return joined.withColumn(text_col, cut_out).drop("__hit_id", "__bad", "__spans")
+    cut_out = F.when(F.col(cuts).isNull(), text).otherwise(without(F.when(F.col(cuts).isNotNull(), text), F.coalesce(cuts, F.array().cast("array<array<int>>"))))
+    return joined.withColumn(text_col, cut_out).select(*docs.columns)

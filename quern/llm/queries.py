@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontamination, fingerprint, quality, sharding, simhash, substring_dedup, token_files, toxicity, url_filter
-from quern.llm.common import table
+from quern.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -35,7 +35,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return found.select(
         "doc_id", "n_words", decontamination.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256")
     ).withColumn("contaminated", decontamination.contaminated())
@@ -54,7 +54,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_files.scratch(spark, "token-files")
+    path = scratch(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID)
     return token_files.read(spark, path)
 

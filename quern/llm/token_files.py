@@ -27,8 +27,8 @@ from quern.llm.common import Memory, arrow, id_bounds, id_text, in_batches, piec
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 EVERY = 4096
 BLOCK_IDS = 1 << 18
-#: Pieces of text remembered by a worker process; beyond it the memory starts afresh.
-MOST_PIECES = 700_000
+#: Bytes of text pieces and their ids that a worker process remembers.
+MOST_BYTES = 96 << 20
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, -1))
-        self.memory = Memory(self._learn, MOST_PIECES)
+        self.memory = Memory(self._learn, len, MOST_BYTES)
 
     def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """The pieces are encoded together, a special token between them."""

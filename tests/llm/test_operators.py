@@ -215,7 +215,7 @@ def brute_hits(text, items):
                 if words[a : a + len(window)] == window:
                     hit.update(range(a, a + len(window)))
                     found.add(item)
-    return len(words), len(hit), sorted(found)
+    return len(words), len(hit), sorted(map(str, found))
 
 
 @pytest.mark.parametrize("most_bytes", [150, 1 << 20])
