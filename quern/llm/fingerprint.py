@@ -1,15 +1,17 @@
 """Document fingerprints from prefix polynomial hashes (operator 7).
 
-Over a text's code points, prefix arrays hold the polynomial hash of every prefix modulo two primes. The hash of any span
-is a difference of two entries, so that any two spans are compared in one step and the longest common extension of two
-places is found by binary search. The fingerprint of a text is its length, the hash of the whole span and a bottom sketch
-for each of three widths: of the hashes of its spans of 24, 6 and 2 code points the SKETCH least, and all below BELOW, so
-that it grows with the text by an eighth of its spans. Its likeness to another is 1 for equal texts, else the Dice
-coefficient of their sets of spans, as estimated from the values below which both sketches have all. The
-shorter of the two texts chooses the width for both: 24 from 96 code points on, 6 from 16 on, else 2.
-
-Null texts count as empty; the empty text is like itself only. A text shorter than a span has no span of that width.
-Equal texts have equal fingerprints.
+Over a text's code points, prefix arrays hold the polynomial hash of every prefix modulo two primes. They are the text's
+fingerprint: the hash of any span is a difference of two entries, so that any two spans are compared in one step and the
+longest common extension of two places is found by binary search. The fingerprint column names them by length and both
+whole hashes.
+
+The likeness of two fingerprints is the share of both texts' code points that lie in common spans of a width or more. The
+longest common extensions of the two beginnings and of the two ends come by binary search; all spans of the width between
+them are looked up among the other text's. The shorter of the two texts chooses the width for both: 24 from 96 code points
+on, 6 from 16 on, 2 from 4 on, else 1. It is 1 for equal texts.
+
+Null texts count as empty; the empty text is like itself only. Equal texts have equal fingerprints. Rows that share a doc_id
+stand in the order of their texts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_bounds, id_text, in_batches, shuffle_partitions, tidy
+from quern.llm.common import id_bounds, id_text, in_batches, shuffle_partitions, slices, tidy
 
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911_382_323, 972_663_749)
 #: Widths of spans, and the length from which the shorter of two texts is compared by them.
-SPANS = ((24, 96), (6, 16), (2, 0))
-SKETCH = 48
-BELOW = 1 << 29
+SPANS = ((24, 96), (6, 16), (2, 4), (1, 1))
 
 
 @lru_cache(2)
@@ -51,97 +51,112 @@ def powers(which: int, n: int) -> np.ndarray:
 class Prefixes:
     """Prefix arrays of a text."""
 
-    def __init__(self, text: str, kinds: int = 2):
+    def __init__(self, text: str):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
-        self.n, self.sums = len(code), []
-        for k in range(kinds):
-            terms = code * powers(k, self.n)[: self.n] % PRIMES[k]
-            self.sums.append(np.concatenate([[0], np.cumsum(terms)]) % PRIMES[k])
+        self.n, self.sums, self.kept = len(code), [], {}
+        for k, p in enumerate(PRIMES):
+            terms = code * powers(k, self.n)[: self.n] % p
+            self.sums.append(np.concatenate([[0], np.cumsum(terms)]) % p)
 
-    def _raised(self, which: int, a, z) -> int:
-        """Hash of the span [a, z) times base ** a."""
-        return (self.sums[which][z] - self.sums[which][a]) % PRIMES[which]
+    @property
+    def name(self) -> str:
+        """Hex: length (16 digits) and both whole hashes (8 and 8)."""
+        return f"{self.n:016x}" + "".join(f"{int(s[-1]):08x}" for s in self.sums)
 
     def equal(self, a: int, other: Prefixes, b: int, length: int) -> bool:
         """Whether the spans of that length at a here and at b there are equal, up to collisions modulo both primes."""
         if a + length > self.n or b + length > other.n:
             return False
         low = min(a, b)
-        return all(
-            int(self._raised(k, a, a + length)) * int(powers(k, self.n + other.n)[b - low]) % PRIMES[k] == int(other._raised(k, b, b + length)) * int(powers(k, self.n + other.n)[a - low]) % PRIMES[k]
-            for k in range(len(self.sums))
-        )
-
-    def extension(self, a: int, other: Prefixes, b: int) -> int:
-        """Length of the longest common extension of the two places, by binary search."""
-        low, high = 0, min(self.n - a, other.n - b)
+        for k, p in enumerate(PRIMES):
+            here = int(self.sums[k][a + length]) - int(self.sums[k][a])
+            there = int(other.sums[k][b + length]) - int(other.sums[k][b])
+            if a != b:
+                raised = powers(k, max(a, b))
+                here, there = here * int(raised[b - low]), there * int(raised[a - low])
+            if (here - there) % p:
+                return False
+        return True
+
+    def _longest(self, most: int, same) -> int:
+        """The greatest length for which same holds, which holds for all lesser ones too."""
+        low, high = 0, most
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.equal(a, other, b, mid) else (low, mid - 1)
+            low, high = (mid, high) if same(mid) else (low, mid - 1)
         return low
 
-    def spans(self, length: int) -> np.ndarray:
-        """Hashes, modulo the first prime, of all spans of that length, the same wherever they stand."""
-        raised = (self.sums[0][length:] - self.sums[0][:-length]) % PRIMES[0]
-        back = powers(0, self.n)[self.n - length :: -1][: len(raised)]
-        return raised * back % PRIMES[0] * int(pow(BASES[0], _TOP - self.n, PRIMES[0])) % PRIMES[0]
+    def extension(self, a: int, other: Prefixes, b: int) -> int:
+        """Length of the longest common extension of the two places, by binary search."""
+        return self._longest(min(self.n - a, other.n - b), lambda k: self.equal(a, other, b, k))
 
+    def ending(self, other: Prefixes) -> int:
+        """Length of the longest common end."""
+        return self._longest(min(self.n, other.n), lambda k: self.equal(self.n - k, other, other.n - k, k))
 
-#: All spans are raised to this power in the end, above any text's length.
-_TOP = 1 << 40
+    def spans(self, width: int) -> np.ndarray:
+        """Hashes, modulo both primes, of all spans of that width, the same wherever they stand."""
+        if width not in self.kept:
+            out = np.zeros(self.n - width + 1, np.int64)
+            for k, p in enumerate(PRIMES):
+                raised = (self.sums[k][width:] - self.sums[k][:-width]) % p
+                back = powers(k, self.n)[self.n - width :: -1][: len(raised)]
+                out = out << 32 | raised * back % p * int(pow(BASES[k], _TOP - self.n, p)) % p
+            self.kept[width] = out
+        return self.kept[width]
 
 
-def _least(values: np.ndarray) -> np.ndarray:
-    """The distinct values after spreading that are below BELOW, the SKETCH least at any rate, ascending."""
-    x = values.astype(np.uint32)
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
-    x ^= x >> np.uint32(16)
-    few = np.unique(x[x < np.uint32(BELOW)])
-    return few if len(few) >= SKETCH else np.unique(x)[:SKETCH]
+#: All spans are raised to this power in the end, above any text's length.
+_TOP = 1 << 40
 
 
-def _complete(sketch: np.ndarray) -> int:
-    """The sketch has all values of its text below this."""
-    if len(sketch) < SKETCH:
-        return 1 << 32
-    return max(BELOW, int(sketch[-1]) + 1)
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where x has values of y. A table of marks sorts out most of both before they are compared."""
+    if not len(x) or not len(y):
+        return np.zeros(0, np.int64)
+    mask = (1 << int(8 * max(len(x), len(y))).bit_length()) - 1
+    marks = np.zeros(mask + 1, bool)
+    slot = x & mask
+    other = y & mask
+    marks[other] = True
+    some = np.flatnonzero(marks[slot])
+    if not len(some):
+        return some
+    marks[:] = False
+    marks[slot[some]] = True
+    left = np.sort(y[marks[other]])
+    return some[left[np.minimum(np.searchsorted(left, x[some]), len(left) - 1)] == x[some]]
+
+
+def _covered(this: Prefixes, other: Prefixes, width: int, begin: int, end: int) -> int:
+    """Code points of this in spans of the width that the other has. begin, end: the longest common beginning and end."""
+    change = np.zeros(this.n + 1, np.int32)
+    for a, z in ((0, begin), (this.n - end, this.n)):
+        if z - a >= width:
+            change[a] += 1
+            change[z] -= 1
+    low = begin - width + 1 if begin >= width else 0
+    high = this.n - end if end >= width else this.n - width + 1
+    if low < high:
+        at = _among(this.spans(width)[low:high], other.spans(width)) + low
+        change[at] += 1
+        change[at + width] -= 1
+    return int(np.count_nonzero(np.cumsum(change[:-1])))
+
+
+def likeness(a: Prefixes, b: Prefixes) -> float:
+    if a.n == b.n and a.equal(0, b, 0, a.n):
+        return 1.0
+    if not a.n or not b.n:
+        return 0.0
+    width = next(w for w, least in SPANS if min(a.n, b.n) >= least)
+    begin = a.extension(0, b, 0) if a.equal(0, b, 0, width) else 0
+    end = a.ending(b) if a.equal(a.n - width, b, b.n - width, width) else 0
+    return (_covered(a, b, width, begin, end) + _covered(b, a, width, begin, end)) / (a.n + b.n)
 
 
 def fingerprint(text: str) -> str:
-    """Hex: length (16 digits), whole hash (8 + 8), then for each width how many values, and these, 8 digits each."""
-    p = Prefixes(text)
-    head = f"{p.n:016x}{int(p.sums[0][-1]):08x}{int(p.sums[1][-1]):08x}"
-    if not p.n:
-        return head
-    kept = [_least(p.spans(w)) if p.n >= w else np.zeros(0, np.uint32) for w, _ in SPANS]
-    return head + "".join(f"{len(k):08x}{k.astype('>u4').tobytes().hex()}" for k in kept)
-
-
-def _sketch(mark: str, which: int) -> np.ndarray:
-    values = np.frombuffer(bytes.fromhex(mark[32:]), ">u4")
-    for _ in range(which):
-        values = values[1 + int(values[0]) :]
-    return values[1 : 1 + int(values[0])].astype(np.uint32)
-
-
-def likeness(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    shorter = min(int(a[:16], 16), int(b[:16], 16))
-    if not shorter:
-        return 0.0
-    which = next(k for k, (_, least) in enumerate(SPANS) if shorter >= least)
-    x, y = _sketch(a, which), _sketch(b, which)
-    if not len(x) or not len(y):
-        return 0.0
-    below = min(_complete(x), _complete(y))
-    both = np.union1d(x, y)
-    both = both[both < below]
-    if not len(both):
-        return 0.0
-    jaccard = np.isin(both, x).astype(int) @ np.isin(both, y).astype(int) / len(both)
-    return float(2 * jaccard / (1 + jaccard))
+    return Prefixes(text).name
 
 
 def edited(text: str, following: str) -> str:
@@ -159,10 +174,10 @@ def _walk(batches) -> Iterator[pa.RecordBatch]:
 
     def rows():
         held = None
-        for batch in batches:
+        for batch in slices(batches):
             for part, ahead, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
-                now = (part, ahead, doc_id, text, fingerprint(text))
+                now = (part, ahead, doc_id, text, Prefixes(text))
                 if held is not None and not held[1] and held[0] == part:
                     yield _row(held, now)
                 held = now
@@ -171,10 +186,10 @@ def _walk(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _row(this, following):
-    _, _, doc_id, text, mark = this
+    _, _, doc_id, text, prefixes = this
     changed = edited(text, following[3])
-    changed_mark = mark if changed == text else fingerprint(changed)
-    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mark, changed_mark, likeness(mark, changed_mark), likeness(mark, following[4])
+    other = prefixes if changed == text else Prefixes(changed)
+    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), prefixes.name, other.name, likeness(prefixes, other), likeness(prefixes, following[4])
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -184,7 +199,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     the range before it, that of the first range to the end of the last one. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    parts = parts or 4 * shuffle_partitions(spark)
+    parts = parts or shuffle_partitions(spark)
     docs = id_text(docs, id_col, text_col)
     bounds = id_bounds(docs, "doc_id", parts)
     least = docs.agg(F.min("doc_id")).first()[0]
@@ -202,7 +217,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     before = F.when(F.col("part") == 0, last).otherwise(F.col("part") - 1)
     copies = F.when(first, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(before.alias("part"), F.lit(True).alias("ahead")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))))
     rows = placed.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.part", "c.ahead", "doc_id", "text")
-    return rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.repartitionById(max(1, len(firsts)), F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

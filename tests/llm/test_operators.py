@@ -250,14 +250,44 @@ def test_fingerprint(docs, empty):
         changed = fingerprint.edited(t, following)
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
         assert (got[i].fingerprint, got[i].edited_fingerprint) == (fingerprint.fingerprint(t), fingerprint.fingerprint(changed))
-        assert got[i].near_next == fingerprint.likeness(fingerprint.fingerprint(t), fingerprint.fingerprint(following))
+        assert got[i].near_next == pytest.approx(brute_likeness(t, following)) and got[i].near_edited == pytest.approx(brute_likeness(t, changed))
     assert got[1].fingerprint == got[IDS[30]].fingerprint != got[IDS[1]].fingerprint
-    assert fingerprint.likeness("", "") == 1 and fingerprint.fingerprints(empty).count() == 0
+    assert likeness("", "") == 1 and likeness("", "a") == 0 and fingerprint.fingerprints(empty).count() == 0
+
+
+def likeness(a, b):
+    return fingerprint.likeness(fingerprint.Prefixes(a), fingerprint.Prefixes(b))
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    shorter, inside = min(len(a), len(b)), 0
+    width = 24 if shorter >= 96 else 6 if shorter >= 16 else 2 if shorter >= 4 else 1
+    for x, y in ((a, b), (b, a)):
+        spans, hit = {y[k : k + width] for k in range(len(y) - width + 1)}, set()
+        for k in range(len(x) - width + 1):
+            if x[k : k + width] in spans:
+                hit.update(range(k, k + width))
+        inside += len(hit)
+    return inside / (len(a) + len(b))
+
+
+def test_likeness_of_random_texts():
+    rng = random.Random(12)
+    for _ in range(400):
+        say = lambda n: "".join(rng.choice("ab c👍") for _ in range(n))
+        a, shared = say(rng.randint(0, 150)), say(rng.randint(0, 60))
+        b = rng.choice([a[: len(a) * 3 // 4] + say(30), say(20) + a, shared + say(5) + a[10:], say(rng.randint(0, 150)), a])
+        assert likeness(a + shared, b) == pytest.approx(brute_likeness(a + shared, b)), (a, b)
 
 
 def test_fingerprint_spans():
     a, b = fingerprint.Prefixes("hello world, abc"), fingerprint.Prefixes("yellow hello world, abd")
-    assert (a.extension(0, b, 7), a.extension(1, b, 1), a.extension(0, b, 0)) == (15, 4, 0)
+    assert (a.extension(0, b, 7), a.extension(1, b, 1), a.extension(0, b, 0), a.ending(b)) == (15, 4, 0, 0)
+    assert a.ending(fingerprint.Prefixes("llo world, abc")) == 14
     assert a.equal(4, b, 11, 3) and not a.equal(4, b, 12, 3) and not a.equal(14, b, 0, 9)
 
 
@@ -292,7 +322,7 @@ def test_substring_dedup(docs, empty, size):
 
 
 def test_substring_index_in_batches(spark, docs, tmp_path):
-    index = substring_dedup.WindowIndex(spark, str(tmp_path), 50, 4)
+    index = substring_dedup.WindowIndex(spark, str(tmp_path), 50)
     got = {}
     for low, high in ((0, 60), (60, 110), (110, 10_000)):
         batch = docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
@@ -309,7 +339,7 @@ def test_simple8b():
     for k in range(60):
         ids = rng.integers(0, 1 << int(rng.integers(1, 63)), int(rng.integers(0, 400))).astype(np.uint64)
         words, offsets, escapes = token_files.pack(ids)
-        assert (token_files.unpack(words, len(ids), escapes) == ids).all() and len(offsets) == -(-len(ids) // token_files.EVERY)
+        assert (token_files.unpack(words, len(ids), offsets, escapes) == ids).all() and len(offsets) == -(-len(ids) // token_files.EVERY)
     ids = np.arange(20_000).astype(np.uint64)
     words, offsets, escapes = token_files.pack(ids)
     assert int((words[offsets[1] : offsets[1] + 1] & np.uint64(15))[0]) == 10
