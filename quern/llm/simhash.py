@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, id_text, in_batches, tidy
+from quern.llm.common import cut, id_text, in_batches, slices, tidy
 from quern.llm.components import components
 
 WORD_BYTES = bytes([0x20, *range(9, 14)])
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield from in_batches(((i, signed(fingerprint(t, words))) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)), schema)
 
     return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
@@ -135,8 +135,8 @@ def _short_lists(bits: int):
     return run
 
 
-def _midpoints(bits: int):
-    """For an entry of a long list: the values at up to bits / 2 flips outside the list's three bytes, which stay equal."""
+def _midpoints(flips: int):
+    """For an entry of a long list: the values at up to so many flips outside the list's three bytes, which stay equal."""
     schema = pa.schema([("key", pa.int64()), ("mid", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
@@ -146,7 +146,7 @@ def _midpoints(bits: int):
                 which = key >> 24
                 if which not in masks:
                     free = [np.uint64(1) << np.uint64(8 * p + b) for p in range(8) if p not in KEYS[which] for b in range(8)]
-                    ways = [np.bitwise_or.reduce(np.array(c, np.uint64)) for k in range(1, (bits + 1) // 2 + 1) for c in combinations(free, k)]
+                    ways = [np.bitwise_or.reduce(np.array(c, np.uint64)) for k in range(1, flips + 1) for c in combinations(free, k)]
                     masks[which] = np.array([0, *ways], np.uint64)
                 mids = (masks[which] ^ np.uint64(fp & (2**64 - 1))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mids), key)), pa.array(mids), pa.array(np.full(len(mids), fp))], schema=schema)
@@ -154,6 +154,22 @@ def _midpoints(bits: int):
     return run
 
 
+def _meeting(lists: DataFrame, bits: int) -> DataFrame:
+    """Links of long lists: those flip half the bits each and meet in the middle; for odd bounds one side flips one more."""
+
+    def around(flips: int) -> DataFrame:
+        return lists.mapInArrow(tidy(_midpoints(flips)), "key long, mid long, fp long")
+
+    near, far = around(bits // 2), around((bits + 1) // 2)
+    # whoever stands in a value within the lesser reach is linked to the least that does so within the greater, and so back
+    least_far = far.groupBy("key", "mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    links = near.join(least_far, ["key", "mid"])
+    if bits % 2:
+        least_near = near.groupBy("key", "mid").agg(F.min("fp").alias("v"))
+        links = links.unionByName(far.join(least_near, ["key", "mid"]))
+    return links.where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
+
+
 def links(fps: DataFrame, bits: int = 4, long: int = LONG) -> DataFrame:
     """(u, v) links that join the same fingerprints as all pairs at up to bits differing bits do. fps: distinct fp."""
     if not 0 <= bits <= 4:
@@ -166,12 +182,7 @@ def links(fps: DataFrame, bits: int = 4, long: int = LONG) -> DataFrame:
     edges = None
     if lengths.limit(1).count():
         short = lists.join(lengths, "key", "left_anti")
-        meet = lists.join(lengths.select("key"), "key", "left_semi").select("key", "fp").mapInArrow(tidy(_midpoints(bits)), "key long, mid long, fp long")
-        # an even number of flips meets in the middle; for odd bounds the ends are checked
-        least = meet.groupBy("key", "mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        edges = meet.join(least, ["key", "mid"]).where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
-        if bits % 2:
-            raise ValueError("long lists need an even bound")
+        edges = _meeting(lists.join(lengths.select("key"), "key", "left_semi").select("key", "fp"), bits)
     near = short.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(tidy(_short_lists(bits)), "u long, v long").distinct()
     return near if edges is None else near.unionByName(edges).distinct()
 
