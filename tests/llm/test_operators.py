@@ -98,14 +98,14 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("long", [3, 4096])
-def test_simhash_links_join_what_all_pairs_join(spark, long):
+@pytest.mark.parametrize(("long", "bits"), [(3, 4), (4096, 4), (3, 3), (4096, 3), (2, 1), (3, 0)])
+def test_simhash_links_join_what_all_pairs_join(spark, long, bits):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(6)]
     values = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(25)} | {rng.getrandbits(64) for _ in range(100)} | {0, 2**64 - 1}, key=signed)
-    want = roots(len(values), [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 4])
+    want = roots(len(values), [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= bits])
     frame = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    got = {r.node: r.root for r in components.components(simhash.links(frame, long=long)).collect()}
+    got = {r.node: r.root for r in components.components(simhash.links(frame, bits, long)).collect()}
     for k, v in enumerate(values):
         assert got.get(signed(v), signed(v)) == signed(values[want[k]])
 
