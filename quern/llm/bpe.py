@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import Memory, batch_rows, id_text, in_batches, pieces, settle, slices, spread, tidy
 
 #: Bytes of text pieces and their tokens that a worker process remembers.
-MOST_BYTES = 40 << 20
+MOST_BYTES = 72 << 20
 _FOREVER = 1 << 60
 _SPACE = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
 
@@ -246,14 +246,14 @@ class Bpe:
         self.labels, self.label_at = b"".join(parts), np.cumsum([0, *map(len, parts)]).astype(np.int32)
         self.to_byte = np.zeros(max(map(ord, self.spell)) + 1, np.uint8)
         self.to_byte[[ord(c) for c in self.spell]] = list(self.spell.values())
-        self.memory = Memory(self.learn, lambda v: len(v[0]) + len(v[1]), MOST_BYTES)
+        self.memory = Memory(self.learn, lambda v: 130 + len(v[0]) + len(v[1]), MOST_BYTES)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "memory"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.memory = Memory(self.learn, lambda v: len(v[0]) + len(v[1]), MOST_BYTES)
+        self.memory = Memory(self.learn, lambda v: 130 + len(v[0]) + len(v[1]), MOST_BYTES)
 
     def _words(self, text: str) -> list[tuple[str, tuple[int, int]]]:
         norm = self.normalizer.normalize_str(text) if self.normalizer else text

@@ -186,7 +186,7 @@ class Memory:
     """What a function gives for pieces of text, remembered up to a number of bytes; beyond it the memory starts afresh."""
 
     #: Bytes that an entry takes in Python besides its texts.
-    ENTRY = 250
+    ENTRY = 190
 
     def __init__(self, learn, weight, most_bytes: int, longest: int = 48):
         """weight: bytes of what learn gives for a piece; pieces over longest bytes are not remembered."""
@@ -194,15 +194,22 @@ class Memory:
 
     def of(self, different: list[bytes], joined) -> list:
         """For each piece what learn gives, or what joined makes of its halves'."""
-        parts = [halves(b) for b in different]
-        asked = dict.fromkeys(x for b, p in zip(different, parts, strict=True) for x in (p or (b,)))
         if self.size > self.most_bytes:
             self.seen, self.size = {}, 0
         seen = self.seen
+        out = list(map(seen.get, different))
+        missing = [k for k, v in enumerate(out) if v is None]
+        parts = {k: p for k in missing if (p := halves(different[k]))}
+        asked = dict.fromkeys(x for k in missing for x in parts.get(k, (different[k],)))
         new = [b for b in asked if b not in seen]
         for k in range(0, len(new), 16_000):
             seen.update(self.learn(new[k : k + 16_000]))
-        out = [seen[b] if p is None else joined(seen[p[0]], seen[p[1]]) for b, p in zip(different, parts, strict=True)]
+        for k in missing:
+            p = parts.get(k)
+            out[k] = seen[different[k]] if p is None else joined(seen[p[0]], seen[p[1]])
+        for k in parts:
+            seen[different[k]] = out[k]
+            new.append(different[k])
         for b in new:
             if len(b) > self.longest:
                 del seen[b]
