@@ -38,6 +38,7 @@ FUNCTIONS = {
     "float_text": (_float_text, "string"),
     "entity_decode": (_over(entity_decode), "string"),
     "percent_decode": (_over(percent_decode), "string"),
+    "href_escape": (_over(events.address), "string"),
     "markdown_to_html": (_over(lambda t: events.write_html(events.read_markdown(t))), "string"),
     "html_to_markdown": (_over(lambda t: events.write_markdown(events.read_html(t))), "string"),
     "html_to_text": (_over(lambda t: events.write_text(events.read_html(t))), "string"),

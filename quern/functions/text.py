@@ -137,3 +137,66 @@ def luma(red: Column, green: Column, blue: Column) -> Column:
 def over_white(value: Column, alpha: Column) -> Column:
     """A channel flattened over white."""
     return F.floor((value * alpha + 255 * (255 - alpha) + 127) / 255)
+
+
+def double_quoted(text: Column) -> Column:
+    """A double-quoted string of TOML or YAML: named escapes, and upper-case hex for other control characters."""
+    named = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
+    others = [(chr(c), f"\\u{c:04X}") for c in (*range(32), 127) if chr(c) not in "\n\r\t\b\f"]
+    escaped = F.when(text.rlike(r"[\x00-\x07\x0B\x0E-\x1F\x7F]"), _replaced(_replaced(text, named), others)).otherwise(_replaced(text, named))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
+def heading_number(style: Column) -> Column:
+    """The level of a heading style by its name, 1 to 9, else null."""
+    return F.regexp_extract(F.lower(F.trim(style)), r"^heading\s*\+?0*([1-9])\z", 1).try_cast("int")
+
+
+def date_serial(text: Column) -> Column:
+    """Days since 1899-12-30 of an ISO date or date and time, seconds with fractions; a zone is left out."""
+    whole = F.regexp_replace(F.trim(text), r"(Z|\+[0-9:]+)\z", "")
+    good = whole.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{1,2}(:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]+)?)?)?)?\z")
+    part = lambda n: F.coalesce(F.regexp_extract(whole, r"T([0-9]+)(?::([0-9]+))?(?::([0-9.]+))?", n).try_cast("double"), F.lit(0.0))
+    days = F.datediff(F.substring(whole, 1, 10).try_cast("date"), F.lit("1899-12-30").cast("date"))
+    return F.when(good, days + (part(1) * 3600 + part(2) * 60 + part(3)) / 86400)
+
+
+def duration_days(text: Column) -> Column:
+    """Days of an ISO duration of days, hours, minutes and seconds; null with years, months or weeks."""
+    form = r"^(-?)P(?:([0-9.]+)D)?(?:T(?:([0-9.]+)H)?(?:([0-9.]+)M)?(?:([0-9.]+)S)?)?\z"
+    whole = F.trim(text)
+    part = lambda n: F.coalesce(F.regexp_extract(whole, form, n).try_cast("double"), F.lit(0.0))
+    days = (part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)) / 86400
+    return F.when(whole.rlike(form), F.when(F.regexp_extract(whole, form, 1) == "-", -days).otherwise(days))
+
+
+def duration_text(days: Column) -> Column:
+    """HH:MM:SS of a number of days, hours past a day kept."""
+    total = F.round(F.abs(days) * 86400).cast("long")
+    two = lambda n: F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    sign = F.when((days < 0) & (total > 0), "-").otherwise("")
+    return F.concat(sign, two(F.floor(total / 3600)), F.lit(":"), two(F.floor(total / 60) % 60), F.lit(":"), two(total % 60))
+
+
+def hyphen_break(before: Column, line: Column) -> Column:
+    """Whether a line goes on with a word that the one before it broke."""
+    return before.rlike(r"\p{L}-\z") & line.rlike(r"^\p{Ll}")
+
+
+def is_cjk(text: Column) -> Column:
+    """Whether all that is no white space belongs to scripts written without blanks, full-width forms included."""
+    return text.rlike(r"^\s*(?:[　-ヿ㐀-䶿一-鿿豈-﫿︐-︟︰-﹏＀-￯\x{20000}-\x{3134F}]\s*)+\z")
+
+
+def radicals() -> dict[str, str]:
+    """The ideographs that radicals stand for, by Unicode's compatibility mappings."""
+    import unicodedata
+
+    found = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0x2E80, 0x2FE0), *range(0x31C0, 0x31F0))}
+    return {a: b for a, b in found.items() if a != b and len(b) == 1}
+
+
+def unify_radicals(text: Column) -> Column:
+    """Radicals as the ideographs that they stand for."""
+    table = radicals()
+    return F.translate(text, "".join(table), "".join(table.values()))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.plans import planner
 from quern.plans.catalogue import ONE_PART, listed_edges
-from quern.sources import events, images, jpeg, office, pdf, rows, trees, workbooks
+from quern.sources import events, images, jpeg, office, pdf, rows, trees, webp, workbooks
 from quern.sources.rows import Malformed, Report, Unsupported
 
 Part = tuple[str, bytes]
@@ -41,7 +41,10 @@ def _out(kind: str, options: dict) -> str:
 
 
 def _array(objects) -> bytes:
-    lines = [rows.dump_json(o) for o in objects]
+    return _array_of([rows.dump_json(o) for o in objects])
+
+
+def _array_of(lines: list[str]) -> bytes:
     return ("[\n  " + ",\n  ".join(lines) + "\n]\n" if lines else "[]\n").encode()
 
 
@@ -117,8 +120,8 @@ for _s in ("csv", "tsv", "json", "jsonl", "xlsx", "ods", "markdown"):
 
 
 def _objects(source: str, target: str, content: bytes, options: dict, report: Report) -> bytes:
-    objects = rows.objects_of(iter(_records(source, content, options)), report)
-    return _array(objects) if target == "json" else _lines(objects)
+    texts = list(rows.object_texts(_records(source, content, options), report))
+    return _array_of(texts) if target == "json" else "".join([t + "\n" for t in texts]).encode()
 
 
 for _s in ("csv", "tsv"):
@@ -166,8 +169,8 @@ for _, _s, _t, _ in listed_edges():
     if _s in _DOCUMENTS and _t in _DOCUMENTS:
         CONVERTERS[_s, _t] = one(partial(_document, _s, _t))
 
-_IMAGE_READERS = images.READERS | {"jpeg": jpeg.read, "pdf": pdf.read_image}
-_IMAGE_WRITERS = images.WRITERS | {"jpeg": jpeg.write, "pdf": pdf.write_image}
+_IMAGE_READERS = images.READERS | {"jpeg": jpeg.read, "webp": webp.read, "pdf": pdf.read_image}
+_IMAGE_WRITERS = images.WRITERS | {"jpeg": jpeg.write, "webp": webp.write, "pdf": pdf.write_image}
 
 
 def _raster(source: str, target: str, content: bytes, options: dict, report: Report) -> bytes:
@@ -219,35 +222,63 @@ def convert_bytes(content: bytes, hops: list[tuple[str, str]], options: dict, re
     return parts
 
 
+def attempt(content: bytes | None, hops: list[tuple[str, str]], options: dict, strict: bool = False) -> tuple[list[Part], Report, tuple | None]:
+    """Parts, report and error (kind, line, column, message) of one file. Whatever the file holds, nothing is raised."""
+    report = Report()
+    try:
+        if content is None:
+            raise Malformed("the file has no content")
+        parts = convert_bytes(bytes(content), hops, options, report)
+    except Malformed as e:
+        return [], report, ("malformed", e.line, e.column, str(e))
+    except Unsupported as e:
+        return [], report, ("unsupported", None, None, str(e))
+    except RecursionError:
+        return [], report, ("malformed", None, None, "the values are nested too deeply")
+    except Exception as e:  # no file may end the job that converts the others
+        return [], report, ("malformed", None, None, f"{type(e).__name__}: {e}"[:500])
+    if strict and report.losses:
+        return [], report, ("loss", None, None, report.losses[0][2])
+    return parts, report, None
+
+
+#: Bytes of results that are held back before they leave a task.
+MOST_BYTES = 16 << 20
 RESULT = "path string, source string, target string, part_index int, part_name string, content binary, losses array<struct<line int, column int, description string>>, warnings array<string>, error struct<kind string, line int, column int, message string>"
 
 
 def convert(files: DataFrame, source: str, target: str, via: str | None = None, strict: bool = False, path_col: str = "path", content_col: str = "content", **options) -> DataFrame:
     """One row for each part of each file, one with an error for each file that is refused. Files never leave their task."""
-    plan = planner.plan(source, target, via, strict)
-    hops = [(h[1], h[2]) for h in plan.hops]
+    hops = [(h[1], h[2]) for h in planner.plan(source, target, via, strict).hops]
+    return convert_along(files, hops, strict, path_col, content_col, **options)
+
+
+def convert_along(files: DataFrame, hops: list[tuple[str, str]], strict: bool = False, path_col: str = "path", content_col: str = "content", **options) -> DataFrame:
+    """convert by the given hops, whatever the planner would choose."""
+    source, target = hops[0][0], hops[-1][1]
 
     def one_file(path, content) -> list[tuple]:
-        report, error, parts = Report(), None, []
-        try:
-            if content is None:
-                raise Malformed("the file has no content")
-            parts = convert_bytes(bytes(content), hops, options, report)
-        except Malformed as e:
-            error = ("malformed", e.line, e.column, str(e))
-        except Unsupported as e:
-            error = ("unsupported", None, None, str(e))
-        if strict and report.losses and error is None:
-            error, parts = ("loss", None, None, report.losses[0][2]), []
+        parts, report, error = attempt(content, hops, options, strict)
         head = (path, source, target)
         if error:
             return [(*head, None, None, None, report.losses, report.warnings, error)]
         return [(*head, k, name, body, report.losses, report.warnings, None) for k, (name, body) in enumerate(parts)]
 
+    def frame(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(held, columns=["path", "source", "target", "part_index", "part_name", "content", "losses", "warnings", "error"]).astype({"part_index": "Int32"})
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            out = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in one_file(p, c)]
-            yield pd.DataFrame(out, columns=["path", "source", "target", "part_index", "part_name", "content", "losses", "warnings", "error"]).astype({"part_index": "Int32"})
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                for row in one_file(path, content):
+                    held.append(row)
+                    size += len(row[5] or b"") + 200
+                    if size >= MOST_BYTES:
+                        yield frame(held)
+                        held, size = [], 0
+        if held:
+            yield frame(held)
 
     return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content")).mapInPandas(run, RESULT)
 

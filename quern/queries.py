@@ -61,7 +61,7 @@ def plan_via(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = planner.closure(spark)
     first = every.where("target = 'markdown'").select("source", F.col("hops").alias("h"), F.col("cost").alias("c"))
     then = every.where("source = 'markdown'").select(F.col("target"), F.col("hops").alias("h2"), F.col("cost").alias("c2"))
-    return first.join(F.broadcast(then)).where("source != target").select("source", "target", (F.col("h") + F.col("h2")).alias("hops"), (F.col("c") + F.col("c2")).alias("cost"))
+    return first.withColumn("middle", F.lit("markdown")).join(F.broadcast(then.withColumn("middle", F.lit("markdown"))), "middle").where("source != target").select("source", "target", (F.col("h") + F.col("h2")).alias("hops"), (F.col("c") + F.col("c2")).alias("cost"))
 
 
 @query(f"with {_EDGES_CTE}, {_STEPS.format(edges='edges')} select worst, hops, count(*) as pairs from (select hops, {_WORST} as worst from best) group by all")
@@ -269,44 +269,53 @@ def text_markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("path", F.col("content").cast("string").alias("content"))
 
 
-_SEGMENT = "c_mktsegment"
+#: Customers a file: files are ranges of keys, so that neither a file nor a group grows with the table.
+_ROWS = 100
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One CSV file for each market segment, its rows by key; a segment's rows fit one file."""
+def _customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files of up to _ROWS customers, by key."""
     c = table(spark, sf_dir, "customer")
-    lines = c.select(_SEGMENT, "c_custkey", T.csv_record([c.c_custkey, c.c_name, c.c_nationkey]).alias("line"))
-    return lines.groupBy(F.col(_SEGMENT).alias("path")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))).alias("l")).select(
+    lines = c.select((F.col("c_custkey") / _ROWS).cast("long").alias("f"), "c_custkey", T.csv_record([c.c_custkey, c.c_name, c.c_nationkey]).alias("line"))
+    return lines.groupBy(F.col("f").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))).alias("l")).select(
         "path", F.concat(F.lit("custkey,name,nationkey\n"), F.array_join("l.line", "\n"), F.lit("\n")).cast("binary").alias("content")
     )
 
 
-@query("""select c_mktsegment as path, string_agg('{"custkey":"' || c_custkey || '","name":' || to_json(c_name) || ',"nationkey":"' || c_nationkey || '"}' || chr(10), '' order by c_custkey) as content from customer group by all""")
+_BY_FILE = f"from customer group by c_custkey // {_ROWS}"
+_FILE = f"cast(c_custkey // {_ROWS} as varchar) as path"
+CUSTOMER_CSV = f"select {_FILE}, 'custkey,name,nationkey' || chr(10) || string_agg(c_custkey || ',' || c_name || ',' || c_nationkey || chr(10), '' order by c_custkey) as content {_BY_FILE}"
+
+
+@query(f"""select {_FILE}, string_agg('{{"custkey":"' || c_custkey || '","name":' || to_json(c_name) || ',"nationkey":"' || c_nationkey || '"}}' || chr(10), '' order by c_custkey) as content {_BY_FILE}""")
 def csv_to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert(_segments(spark, sf_dir), "csv", "jsonl").select("path", F.col("content").cast("string").alias("content"))
+    return convert(_customer_files(spark, sf_dir), "csv", "jsonl").select("path", F.col("content").cast("string").alias("content"))
+
 
+@query(f"""select {_FILE}, '[' || chr(10) || '  ' || string_agg('{{"custkey":"' || c_custkey || '","name":' || to_json(c_name) || ',"nationkey":"' || c_nationkey || '"}}', ',' || chr(10) || '  ' order by c_custkey) || chr(10) || ']' || chr(10) as content {_BY_FILE}""")
+def csv_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert(_customer_files(spark, sf_dir), "csv", "json").select("path", F.col("content").cast("string").alias("content"))
 
-@query("""select c_mktsegment as path, 'custkey' || chr(9) || 'name' || chr(9) || 'nationkey' || chr(10) || string_agg(c_custkey || chr(9) || c_name || chr(9) || c_nationkey || chr(10), '' order by c_custkey) as content from customer group by all""")
+
+@query(f"""select {_FILE}, 'custkey' || chr(9) || 'name' || chr(9) || 'nationkey' || chr(10) || string_agg(c_custkey || chr(9) || c_name || chr(9) || c_nationkey || chr(10), '' order by c_custkey) as content {_BY_FILE}""")
 def csv_to_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert(_segments(spark, sf_dir), "csv", "tsv").select("path", F.col("content").cast("string").alias("content"))
+    return convert(_customer_files(spark, sf_dir), "csv", "tsv").select("path", F.col("content").cast("string").alias("content"))
 
 
-@query("""select c_mktsegment as path, '| custkey | name | nationkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' |' || chr(10), '' order by c_custkey) as content from customer group by all""")
+@query(f"""select {_FILE}, '| custkey | name | nationkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' |' || chr(10), '' order by c_custkey) as content {_BY_FILE}""")
 def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert(_segments(spark, sf_dir), "csv", "markdown").select("path", F.col("content").cast("string").alias("content"))
+    return convert(_customer_files(spark, sf_dir), "csv", "markdown").select("path", F.col("content").cast("string").alias("content"))
 
 
 def _there_and_back(name: str, *formats: str):
-    sql = "select c_mktsegment as path, 'custkey,name,nationkey' || chr(10) || string_agg(c_custkey || ',' || c_name || ',' || c_nationkey || chr(10), '' order by c_custkey) as content from customer group by all"
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = _segments(spark, sf_dir)
+        files = _customer_files(spark, sf_dir)
         for source, target in zip(formats, formats[1:], strict=False):
             files = convert(files, source, target).select("path", "content")
         return files.select("path", F.col("content").cast("string").alias("content"))
 
     run.__name__ = name
-    return query(sql)(run)
+    return query(CUSTOMER_CSV)(run)
 
 
 _there_and_back("xlsx_roundtrip", "csv", "xlsx", "csv")

@@ -10,7 +10,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from html.parser import HTMLParser
 from urllib.parse import quote
 
 # text
@@ -446,14 +445,46 @@ _BREAKING = {"p", "div", "section", "article", "header", "footer", "main", "nav"
 _FORMATS = {"b": "strong", "strong": "strong", "i": "em", "em": "em", "cite": "em", "var": "em", "dfn": "em", "del": "del", "s": "del", "strike": "del"}
 
 
-class _Html(HTMLParser):
+#: A tag, a comment, a declaration or a processing instruction. A < that begins none of them is text.
+_MARKUP = re.compile(r"""<(?:(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|!--(?:-?>|[\s\S]*?(?:--!?>|\Z))|[!?/][^>]*>)""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Tags whose attributes matter, and those whose content is not markup.
+_WITH_ATTRIBUTES = {"a", "img", "ol", "td", "th"}
+_RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+_BLANKS = re.compile(r"[ \t\r\n\f]+")
+
+
+class _Html:
     """Tag soup to blocks. A frame is [tag, kind, content, data]."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.frames: list[list] = [["", "blocks", [], None]]
         self.skipping = ""
 
+    def feed(self, text: str) -> None:
+        at, find = 0, _MARKUP.search
+        while m := find(text, at):
+            if m.start() > at and not self.skipping:
+                self.handle_data(_entities(text[at : m.start()]))
+            at, tag = m.end(), m[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[1]:
+                self.handle_endtag(tag)
+            elif self.skipping:
+                continue
+            elif m[3].endswith("/"):
+                self.handle_startendtag(tag, _attributes(m[3]) if tag in _WITH_ATTRIBUTES else {})
+            else:
+                self.handle_starttag(tag, _attributes(m[3]) if tag in _WITH_ATTRIBUTES else {})
+                if tag in _RAW:  # what it holds ends with its end tag only
+                    end = _RAW_ENDS[tag].search(text, at)
+                    at = end.start() if end else len(text)
+        if at < len(text) and not self.skipping:
+            self.handle_data(_entities(text[at:]))
+
     # text of the innermost open paragraph
     def _inline(self) -> list:
         top = self.frames[-1]
@@ -518,12 +549,11 @@ class _Html(HTMLParser):
     def _in(self, *kinds: str) -> bool:
         return any(f[1] in kinds for f in self.frames)
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag, a):
         if self.skipping:
             return
         if self.frames[-1][1] == "pre":
             return
-        a = {k: v or "" for k, v in attrs}
         if tag in _SKIP:
             self.skipping = tag
         elif tag in _HEADINGS:
@@ -593,8 +623,8 @@ class _Html(HTMLParser):
         while self.frames[-1][1] != kind:
             self._pop()
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+    def handle_startendtag(self, tag, a):
+        self.handle_starttag(tag, a)
         if self.skipping == tag:
             self.skipping = ""
         elif tag not in ("br", "hr", "img"):
@@ -634,7 +664,7 @@ class _Html(HTMLParser):
         if top[1] != "inline" and not data.strip() or top[1] in ("list", "table", "rows"):
             return
         inline = self._inline()
-        text = re.sub(r"[ \t\r\n\f]+", " ", data)
+        text = _BLANKS.sub(" ", data)
         if text.startswith(" ") and self._at_blank():
             text = text[1:]
         if text:
@@ -653,12 +683,23 @@ class _Html(HTMLParser):
         return True
 
     def result(self) -> list[tuple]:
-        self.close()
         while len(self.frames) > 1:
             self._pop()
         return self.frames[0][2]
 
 
+def _entities(text: str) -> str:
+    return entities.unescape(text) if "&" in text else text
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), _entities(m[2] or m[3] or m[4] or ""))
+    return out
+
+
 def _spanned(rows: list[list]) -> list[list]:
     """Cells laid out by their spans; the places that spans cover are empty."""
     out: list[list] = []

@@ -67,6 +67,35 @@ def downscale(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.floor(shrink(x) + 0.5).astype(np.uint8)
 
 
+def orientation(exif: bytes) -> int:
+    """The orientation, 1 to 8, in Exif data that begin with a TIFF header; 1 if there is none."""
+    order = {b"II": "<", b"MM": ">"}.get(exif[:2])
+    if order is None or len(exif) < 10:
+        return 1
+    at = struct.unpack_from(order + "I", exif, 4)[0]
+    if at + 2 > len(exif):
+        return 1
+    for k in range(struct.unpack_from(order + "H", exif, at)[0]):
+        if at + 14 + 12 * k > len(exif):
+            break
+        number, kind = struct.unpack_from(order + "HH", exif, at + 2 + 12 * k)
+        if number == 0x112 and kind == 3:
+            value = struct.unpack_from(order + "H", exif, at + 10 + 12 * k)[0]
+            return value if 1 <= value <= 8 else 1
+    return 1
+
+
+def oriented(image: np.ndarray, how: int) -> np.ndarray:
+    """The picture upright: 5 to 8 are stored on their side, even numbers below and odd ones above mirrored."""
+    if how >= 5:
+        image = image.transpose(1, 0, 2)
+    if how in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    if how in (3, 4, 7, 8):
+        image = image[::-1]
+    return np.ascontiguousarray(image)
+
+
 def read_bmp(b: bytes, report: Report) -> np.ndarray:
     if b[:2] != b"BM" or len(b) < 30:
         raise Malformed("no BMP header")
@@ -433,35 +462,114 @@ def write_tiff(image: np.ndarray, report: Report) -> bytes:
     return b"II*\0" + struct.pack("<I", after) + struct.pack("<H", len(entries)) + fields + b"\0" * 4 + extra + body
 
 
+def _unpackbits(b: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(b):
+        n, at = b[at], at + 1
+        if n < 128:
+            out += b[at : at + n + 1]
+            at += n + 1
+        elif n > 128:
+            out += b[at : at + 1] * (257 - n)
+            at += 1
+    return bytes(out)
+
+
+def _unlzw(b: bytes) -> bytes:
+    """LZW with codes from the high bit on, of which each width ends one code early."""
+    start = [bytes([k]) for k in range(256)] + [b"", b""]
+    words, out, held, n, width, before = list(start), [], 0, 0, 9, b""
+    for byte in b:
+        held, n = held << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            words, width, before = list(start), 9, b""
+            continue
+        if code < len(words):
+            word = words[code]
+        elif code == len(words) and before:
+            word = before + before[:1]
+        else:
+            raise Malformed("a damaged LZW stream")
+        out.append(word)
+        if before and len(words) < 4096:
+            words.append(before + word[:1])
+        before = word
+        width = 9 if len(words) < 511 else 10 if len(words) < 1023 else 11 if len(words) < 2047 else 12
+    return b"".join(out)
+
+
+_TIFF_PACKINGS = {1: bytes, 5: _unlzw, 8: zlib.decompress, 32773: _unpackbits, 32946: zlib.decompress}
+
+
 def read_tiff(b: bytes, report: Report) -> np.ndarray:
+    """The first picture: strips or tiles of 1, 8 or 16 bits a sample, 16 bits made 8."""
     order = {b"II": "<", b"MM": ">"}.get(b[:2])
     if order is None or len(b) < 8:
         raise Malformed("no TIFF header")
-    at = struct.unpack_from(order + "I", b, 4)[0]
     tags = {}
-    for k in range(struct.unpack_from(order + "H", b, at)[0]):
-        number, kind, count = struct.unpack_from(order + "HHI", b, at + 2 + 12 * k)
-        size = {1: 1, 3: 2, 4: 4}.get(kind)
-        if size:
-            where = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", b, at + 10 + 12 * k)[0]
-            tags[number] = struct.unpack_from(f"{order}{count}{ {1: 'B', 2: 'H', 4: 'I'}[size] }", b, where)
-    w, h, n = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+    try:
+        at = struct.unpack_from(order + "I", b, 4)[0]
+        for k in range(struct.unpack_from(order + "H", b, at)[0]):
+            number, kind, count = struct.unpack_from(order + "HHI", b, at + 2 + 12 * k)
+            size = {1: 1, 3: 2, 4: 4}.get(kind)
+            if size:
+                where = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", b, at + 10 + 12 * k)[0]
+                if where + size * count > len(b):
+                    raise Malformed("the TIFF is cut short")
+                tags[number] = struct.unpack_from(f"{order}{count}{ {1: 'B', 2: 'H', 4: 'I'}[size] }", b, where)
+        w, h, n = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+    except (struct.error, KeyError):
+        raise Malformed("the TIFF is cut short") from None
     _guard(w, h, n)
-    packing = tags.get(259, (1,))[0]
-    if set(tags.get(258, (8,))) != {8} or packing not in (1, 8, 32946) or tags.get(284, (1,))[0] != 1 or 273 not in tags:
+    packing, depth = tags.get(259, (1,))[0], tags.get(258, (1,))
+    starts, sizes = (tags.get(324), tags.get(325)) if 324 in tags else (tags.get(273), tags.get(279))
+    if len(set(depth)) > 1 or depth[0] not in (1, 8, 16) or depth[0] == 1 and n > 1 or packing not in _TIFF_PACKINGS or tags.get(284, (1,))[0] != 1 or not starts or not sizes:
         raise Unsupported("a TIFF of this kind")
-    parts = [b[s : s + c] for s, c in zip(tags[273], tags[279], strict=True)]
-    raw = b"".join(parts if packing == 1 else map(zlib.decompress, parts))
-    if len(raw) < w * h * n:
+    tile_w, tile_h = (tags[322][0], tags[323][0]) if 324 in tags and 322 in tags and 323 in tags else (w, min(h, tags.get(278, (h,))[0]))
+    if not tile_w or not tile_h or 324 not in tags and len(starts) < -(-h // tile_h):
         raise Malformed("the TIFF is cut short")
-    x = np.frombuffer(raw, np.uint8, w * h * n).reshape(h, w, n).copy()
-    if tags.get(317, (1,))[0] == 2:
-        x = np.cumsum(x, axis=1, dtype=np.uint8)
-    kind = tags.get(262, (1,))[0]
+    _guard(tile_w, tile_h, n)
+    stride, across = -(-tile_w * n * depth[0] // 8), -(-w // tile_w)
+    x = np.zeros((-(-h // tile_h) * tile_h, across * tile_w, n), np.uint8)
+    for k, (s, c) in enumerate(zip(starts, sizes, strict=False)):
+        top, left = k // across * tile_h, k % across * tile_w
+        if top >= x.shape[0]:
+            break
+        rows = tile_h if 324 in tags else min(tile_h, h - top)
+        try:
+            raw = _TIFF_PACKINGS[packing](b[s : s + c])
+        except zlib.error:
+            raise Malformed("a damaged TIFF strip") from None
+        if len(raw) < rows * stride:
+            raise Malformed("the TIFF is cut short")
+        part = np.frombuffer(raw, np.uint8, rows * stride).reshape(rows, stride)
+        if depth[0] == 1:
+            part = np.unpackbits(part, axis=1)[:, :tile_w, None] * np.uint8(255 if tags.get(262, (1,))[0] != 3 else 1)
+        elif depth[0] == 16:
+            wide = part.reshape(rows, -1).view(order + "u2").reshape(rows, tile_w, n)
+            part = ((np.cumsum(wide, axis=1, dtype=np.uint16) if tags.get(317, (1,))[0] == 2 else wide) >> 8).astype(np.uint8)
+        else:
+            part = part.reshape(rows, tile_w, n)
+            part = np.cumsum(part, axis=1, dtype=np.uint8) if tags.get(317, (1,))[0] == 2 else part
+        x[top : top + rows, left : left + tile_w] = part
+    if depth[0] == 16:
+        report.loss("16-bit samples become 8-bit")
+    x, kind = x[:h, :w], tags.get(262, (1,))[0]
     if kind == 3:
-        palette = (np.array(tags[320]).reshape(3, -1).T >> 8).astype(np.uint8)
-        return palette[x[..., 0]]
-    return 255 - x if kind == 0 else x
+        if 320 not in tags or len(tags[320]) % 3 or x[..., 0].max(initial=0) >= len(tags[320]) // 3:
+            raise Malformed("a pixel is outside the palette")
+        x = (np.array(tags[320]).reshape(3, -1).T >> 8).astype(np.uint8)[x[..., 0]]
+    elif kind == 0:
+        x = 255 - x
+    elif kind not in (1, 2):
+        raise Unsupported("a TIFF of this colour space")
+    return oriented(x, tags.get(274, (1,))[0])
 
 
 def read_ico(b: bytes, report: Report) -> np.ndarray:

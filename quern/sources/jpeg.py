@@ -1,4 +1,4 @@
-"""Baseline JPEG: sequential DCT with Huffman codes, gray or YCbCr. Progressive and arithmetic files are refused."""
+"""JPEG: baseline and progressive DCT with Huffman codes, gray or YCbCr; files are written baseline. Arithmetic ones are refused."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 
+from quern.sources.images import _guard, orientation, oriented
 from quern.sources.rows import Malformed, Report, Unsupported
 
 #: The standard's quantisation tables at quality 50, rows of the block.
@@ -68,9 +69,10 @@ def _lookup(counts: bytes, values: bytes) -> list[tuple[int, int]]:
 
 
 def read(b: bytes, report: Report) -> np.ndarray:
+    """The picture the way up that its Exif data say."""
     if b[:2] != b"\xff\xd8":
         raise Malformed("no JPEG header")
-    at, tables, codes, frame, restart, adobe = 2, {}, {}, None, 0, None
+    at, tables, codes, frame, restart, adobe, turned, scans = 2, {}, {}, None, 0, None, 1, 0
     while at + 4 <= len(b):
         if b[at] != 0xFF:
             at += 1
@@ -79,6 +81,8 @@ def read(b: bytes, report: Report) -> np.ndarray:
         if kind in (0xFF, 0x00) or 0xD0 <= kind <= 0xD8:
             at += 1 if kind == 0xFF else 2
             continue
+        if kind == 0xD9:
+            break
         size = struct.unpack_from(">H", b, at + 2)[0]
         body = b[at + 4 : at + 2 + size]
         at += 2 + size
@@ -92,106 +96,187 @@ def read(b: bytes, report: Report) -> np.ndarray:
                 n = sum(body[1:17])
                 codes[body[0]] = _lookup(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
-        elif kind in (0xC0, 0xC1):
+        elif kind in (0xC0, 0xC1, 0xC2):
             if body[0] != 8:
                 raise Unsupported("a JPEG of more than 8 bits")
             h, w, n = struct.unpack_from(">HHB", body, 1)
-            frame = (h, w, [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)])
             if not h or not w:
                 raise Malformed("the JPEG has no pixels")
+            _guard(w, h, n)
+            frame = _Frame(w, h, [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)], kind == 0xC2)
         elif 0xC0 < kind < 0xD0 and kind not in (0xC8, 0xCC):
-            raise Unsupported("a JPEG that is not baseline")
+            raise Unsupported("a JPEG of another kind than baseline or progressive")
         elif kind == 0xDD:
             restart = struct.unpack(">H", body[:2])[0]
         elif kind == 0xEE and body[:5] == b"Adobe":
             adobe = body[11]
+        elif kind == 0xE1 and body[:6] == b"Exif\0\0":
+            turned = orientation(body[6:])
         elif kind == 0xDA:
             if frame is None:
                 raise Malformed("a JPEG scan without a frame")
-            break
-        elif kind == 0xD9:
-            break
-    else:
-        raise Malformed("the JPEG has no scan")
+            pieces, at = _entropy(b, at)
+            try:
+                frame.scan(body, pieces, codes, restart)
+            except KeyError:
+                raise Malformed("a JPEG scan names a table that is missing") from None
+            scans += 1
     if frame is None:
         raise Malformed("the JPEG has no frame")
-    h, w, parts = frame
-    if len(parts) not in (1, 3):
-        raise Unsupported("a JPEG with four colours")
-    chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
-    if len(chosen) != len(parts):
-        raise Unsupported("a JPEG with a scan for each colour")
-    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
-    if len(parts) == 1:
-        parts = [(parts[0][0], 1, 1, parts[0][3])]
-        across = down = 1
-    columns, lines = -(-w // (8 * across)), -(-h // (8 * down))
-    data = b[at:]
-    pieces, start, end = [], 0, 0
-    while (end := data.find(b"\xff", end)) >= 0 and end + 1 < len(data):
-        mark = data[end + 1]
+    if not scans:
+        raise Malformed("the JPEG has no scan")
+    planes = frame.planes(tables)
+    if len(planes) == 1:
+        image = np.clip(np.rint(planes[0]), 0, 255).astype(np.uint8)[..., None]
+    else:
+        if adobe != 0:
+            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+            planes = [y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb]
+        image = np.clip(np.rint(np.dstack(planes)), 0, 255).astype(np.uint8)
+    return oriented(image, turned)
+
+
+def _entropy(b: bytes, at: int) -> tuple[list[bytes], int]:
+    """A scan's data between restart marks, and where the next segment begins."""
+    pieces, start, end = [], at, at
+    while (end := b.find(b"\xff", end)) >= 0 and end + 1 < len(b):
+        mark = b[end + 1]
         if mark == 0:
             end += 2
         elif 0xD0 <= mark <= 0xD7:
-            pieces.append(data[start:end])
+            pieces.append(b[start:end])
             start = end = end + 2
         elif mark == 0xFF:
             end += 1
         else:
             break
-    pieces.append(data[start : end if end >= 0 else len(data)])
-    try:
-        blocks = _scan([p.replace(b"\xff\x00", b"\xff") for p in pieces], parts, chosen, codes, columns, lines, restart)
-    except KeyError:
-        raise Malformed("a JPEG scan names a table that is missing") from None
-    planes = []
-    for (name, x, y, quant), held in zip(parts, blocks, strict=True):
-        c = np.zeros(held.shape)
-        c[:, ZIGZAG] = held * tables[quant]
-        pixels = np.einsum("ji,njk,kl->nil", DCT, c.reshape(-1, 8, 8), DCT, optimize=True) + 128
-        plane = pixels.reshape(lines * y, columns * x, 8, 8).transpose(0, 2, 1, 3).reshape(lines * y * 8, -1)
-        planes.append(np.repeat(np.repeat(plane, down // y, 0), across // x, 1)[:h, :w])
-    if len(planes) == 1:
-        return np.clip(np.rint(planes[0]), 0, 255).astype(np.uint8)[..., None]
-    if adobe != 0:
-        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-        planes = [y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb]
-    return np.clip(np.rint(np.dstack(planes)), 0, 255).astype(np.uint8)
-
-
-def _scan(pieces, parts, chosen, codes, columns, lines, restart):
-    out = [np.zeros((lines * y, columns * x, 64), np.int32) for _, x, y, _ in parts]
-    bits, last, turn = _Bits(pieces[0]), [0] * len(parts), 0
-    todo = [(codes[chosen[p[0]] >> 4], codes[0x10 | chosen[p[0]] & 15]) for p in parts]
-    for mcu in range(columns * lines):
-        if restart and mcu and mcu % restart == 0:
-            turn += 1
-            if turn >= len(pieces):
-                raise Malformed("the JPEG is cut short")
-            bits, last = _Bits(pieces[turn]), [0] * len(parts)
-        row, column = divmod(mcu, columns)
-        for k, (_, x, y, _) in enumerate(parts):
-            dc, ac = todo[k]
-            for j in range(y):
-                for i in range(x):
-                    block = out[k][row * y + j, column * x + i]
-                    last[k] += bits.signed(bits.symbol(dc))
-                    block[0] = last[k]
-                    n = 1
-                    while n < 64:
-                        s = bits.symbol(ac)
-                        run, size = s >> 4, s & 15
-                        if not size:
-                            if run < 15:
-                                break
-                            n += 16
-                            continue
-                        n += run
-                        if n > 63:
-                            raise Malformed("a JPEG block is too long")
-                        block[n] = bits.signed(size)
-                        n += 1
-    return [o.reshape(-1, 64) for o in out]
+    end = end if end >= 0 else len(b)
+    pieces.append(b[start:end])
+    return [p.replace(b"\xff\x00", b"\xff") for p in pieces], end
+
+
+class _Frame:
+    """The coefficients of all components, filled in scan by scan."""
+
+    def __init__(self, w: int, h: int, parts: list[tuple[int, int, int, int]], progressive: bool):
+        if len(parts) not in (1, 3):
+            raise Unsupported("a JPEG with four colours")
+        if len(parts) == 1:
+            parts = [(parts[0][0], 1, 1, parts[0][3])]
+        if any(not 1 <= v <= 4 for p in parts for v in p[1:3]):
+            raise Malformed("a JPEG component has no size")
+        self.w, self.h, self.parts, self.progressive = w, h, parts, progressive
+        self.across, self.down = max(p[1] for p in parts), max(p[2] for p in parts)
+        self.columns, self.lines = -(-w // (8 * self.across)), -(-h // (8 * self.down))
+        self.blocks = [np.zeros((self.lines * y, self.columns * x, 64), np.int32) for _, x, y, _ in parts]
+
+    def _order(self, some: list[int]):
+        """The blocks of each unit: one if a component comes alone, else a rectangle of each component."""
+        if len(some) == 1:
+            k = some[0]
+            _, x, y, _ = self.parts[k]
+            rows, columns = -(-(-(-self.h * y // self.down)) // 8), -(-(-(-self.w * x // self.across)) // 8)
+            return [[(k, j, i)] for j in range(rows) for i in range(columns)]
+        return [[(k, r * self.parts[k][2] + j, c * self.parts[k][1] + i) for k in some for j in range(self.parts[k][2]) for i in range(self.parts[k][1])] for r in range(self.lines) for c in range(self.columns)]
+
+    def scan(self, body: bytes, pieces: list[bytes], codes: dict, restart: int) -> None:
+        names = [p[0] for p in self.parts]
+        some = [names.index(body[1 + 2 * k]) if body[1 + 2 * k] in names else -1 for k in range(body[0])]
+        if -1 in some or not some:
+            raise Malformed("a JPEG scan of a component that is missing")
+        words = {k: body[2 + 2 * n] for n, k in enumerate(some)}
+        first, last, bits_at = body[1 + 2 * body[0] : 4 + 2 * body[0]]
+        high, low = bits_at >> 4, bits_at & 15
+        if not self.progressive:
+            first, last, high, low = 0, 63, 0, 0
+        if last > 63 or first > last or self.progressive and first and len(some) > 1:
+            raise Malformed("a JPEG scan of coefficients that are missing")
+        dc = {k: codes[words[k] >> 4] for k in some} if not first and not high else {}
+        ac = {k: codes[0x10 | words[k] & 15] for k in some} if last and (first or not self.progressive) else {}
+        bits, before, turn, run = _Bits(pieces[0]), dict.fromkeys(some, 0), 0, 0
+        for number, unit in enumerate(self._order(some)):
+            if restart and number and number % restart == 0:
+                turn += 1
+                if turn >= len(pieces):
+                    raise Malformed("the JPEG is cut short")
+                bits, before, run = _Bits(pieces[turn]), dict.fromkeys(some, 0), 0
+            for k, j, i in unit:
+                block = self.blocks[k][j, i]
+                if not first:
+                    if high:
+                        block[0] |= bits.take(1) << low
+                    else:
+                        before[k] += bits.signed(bits.symbol(dc[k]))
+                        block[0] = before[k] << low
+                if not ac:
+                    continue
+                run = (_refine if high else _first)(block, bits, ac[k], max(1, first), last, low, run)
+
+    def planes(self, tables: dict) -> list[np.ndarray]:
+        out = []
+        for (_, x, y, quant), held in zip(self.parts, self.blocks, strict=True):
+            if quant not in tables:
+                raise Malformed("a JPEG component names a table that is missing")
+            c = np.zeros((held.shape[0] * held.shape[1], 64))
+            c[:, ZIGZAG] = held.reshape(-1, 64) * tables[quant]
+            pixels = np.einsum("ji,njk,kl->nil", DCT, c.reshape(-1, 8, 8), DCT, optimize=True) + 128
+            plane = pixels.reshape(self.lines * y, self.columns * x, 8, 8).transpose(0, 2, 1, 3).reshape(self.lines * y * 8, -1)
+            out.append(np.repeat(np.repeat(plane, -(-self.down // y), 0), -(-self.across // x), 1)[: self.h, : self.w])
+        return out
+
+
+def _first(block: np.ndarray, bits: _Bits, ac: list, n: int, last: int, low: int, run: int) -> int:
+    """Coefficients for the first time; run: blocks that end here and now."""
+    if run:
+        return run - 1
+    while n <= last:
+        s = bits.symbol(ac)
+        zeros, size = s >> 4, s & 15
+        if not size:
+            if zeros < 15:
+                return (1 << zeros) - 1 + bits.take(zeros)
+            n += 16
+            continue
+        n += zeros
+        if n > last:
+            raise Malformed("a JPEG block is too long")
+        block[n] = bits.signed(size) << low
+        n += 1
+    return 0
+
+
+def _refine(block: np.ndarray, bits: _Bits, ac: list, n: int, last: int, low: int, run: int) -> int:
+    """One more bit of the coefficients seen so far, and new ones of that size."""
+    one = 1 << low
+
+    def sharpen(k: int) -> None:
+        if bits.take(1):
+            block[k] += one if block[k] > 0 else -one
+
+    if not run:
+        while n <= last:
+            s = bits.symbol(ac)
+            zeros, size = s >> 4, s & 15
+            if not size and zeros < 15:
+                run = (1 << zeros) + bits.take(zeros)
+                break
+            value = 0 if not size else one if bits.take(1) else -one
+            while n <= last:
+                if block[n]:
+                    sharpen(n)
+                elif zeros:
+                    zeros -= 1
+                else:
+                    block[n] = value
+                    n += 1
+                    break
+                n += 1
+    if run:
+        for k in range(n, last + 1):
+            if block[k]:
+                sharpen(k)
+        return run - 1
+    return 0
 
 
 def _code_lengths(counts: dict[int, int]) -> dict[int, int]:

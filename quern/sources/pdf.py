@@ -173,8 +173,9 @@ class Pdf:
             else:
                 out.append(inherited | node)
 
-        if roots:
-            walk(roots[-1].get("Pages"), {}, 0)
+        if not roots:
+            raise Malformed("the PDF has no catalogue of pages")
+        walk(roots[-1].get("Pages"), {}, 0)
         return out
 
     def _maps(self, page: dict) -> dict[str, dict[int, str] | None]:
@@ -266,33 +267,54 @@ def _chosen(pdf: Pdf, page: str | None) -> list[dict]:
     return [pages[int(page) - 1]]
 
 
+_BROKEN = re.compile(r"[^\W\d_]-$")
+
+
+def _goes_on(before: str, line: str) -> bool:
+    """Whether a line begins with the rest of a word that the one before it broke."""
+    return bool(_BROKEN.search(before)) and line[:1].islower()
+
+
+def _paragraphs(lines: list[tuple[float, float, float, str]]) -> list[list[tuple[float, str]]]:
+    """(size, text) of lines that stand close to each other, broken words made whole."""
+    out: list[list[tuple[float, str]]] = []
+    last = None
+    for y, _, s, t in lines:
+        t = t.strip()
+        if last is None or last[0] - y >= 1.6 * s or abs(last[1] - s) > 0.1 * s:
+            out.append([(s, t)])
+        elif _goes_on(out[-1][-1][1], t):
+            out[-1][-1] = (s, out[-1][-1][1][:-1] + t)
+        else:
+            out[-1].append((s, t))
+        last = (y, s)
+    return out
+
+
 def read_text(content: bytes, report: Report, page: str | None = None) -> str:
+    """A line a line, a blank one after each block, a form feed after each page."""
     pdf = Pdf(content)
-    return "\n".join("".join(line[3].rstrip() + "\n" for line in pdf.lines(p)) for p in _chosen(pdf, page))
+    pages = [_paragraphs(pdf.lines(p)) for p in _chosen(pdf, page)]
+    return "".join("".join("\n".join(t for _, t in block) + "\n\n" for block in blocks) + "\f" for blocks in pages)
 
 
 def read_blocks(content: bytes, report: Report, page: str | None = None) -> list[tuple]:
     """Paragraphs by the gaps between lines; lines in a larger size than most are headings."""
     pdf = Pdf(content)
-    pages = [pdf.lines(p) for p in _chosen(pdf, page)]
+    pages = [_paragraphs(pdf.lines(p)) for p in _chosen(pdf, page)]
     weight: dict[float, int] = {}
-    for lines in pages:
-        for _, _, s, t in lines:
-            weight[round(s, 1)] = weight.get(round(s, 1), 0) + len(t)
+    for s, t in (line for blocks in pages for block in blocks for line in block):
+        weight[round(s, 1)] = weight.get(round(s, 1), 0) + len(t)
     usual = max(weight, key=weight.get, default=12.0)
     larger = sorted((s for s in weight if s > usual * 1.1), reverse=True)[:6]
     out: list[tuple] = []
-    for lines in pages:
-        last = None
-        for y, x, s, t in lines:
-            level = larger.index(round(s, 1)) + 1 if round(s, 1) in larger else 0
-            if level:
-                out.append(("h", level, [("text", t.strip())]))
-            elif last is not None and not last[1] and last[0] - y < 1.6 * s and out and out[-1][0] == "p":
-                out[-1] = ("p", [*out[-1][1], ("soft",), ("text", t.strip())])
-            else:
-                out.append(("p", [("text", t.strip())]))
-            last = (y, level)
+    for block in (b for blocks in pages for b in blocks):
+        size = round(block[0][0], 1)
+        inlines = [x for k, (_, t) in enumerate(block) for x in [("soft",)] * (k > 0) + [("text", t)]]
+        if size in larger:
+            out += [("h", larger.index(size) + 1, [("text", t)]) for _, t in block]
+        else:
+            out.append(("p", inlines))
     return out
 
 

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
+from json.encoder import encode_basestring
 
 csv.field_size_limit(1 << 31)
 
@@ -118,10 +119,15 @@ def _joined(text: str, end: str) -> Iterator[str]:
 
 
 def write_delimited(records, delimiter: str = ",") -> str:
-    def quoted(cell: str) -> str:
-        return '"' + cell.replace('"', '""') + '"' if any(c in cell for c in (delimiter, '"', "\n", "\r")) else cell
+    odd = re.compile(rf'["\n\r{re.escape(delimiter)}]').search
 
-    return "".join(delimiter.join(map(quoted, r)) + "\n" for r in records)
+    def line(record: list[str]) -> str:
+        text = delimiter.join(record)
+        if text.count(delimiter) != len(record) - 1 or odd(text.replace(delimiter, "")):
+            text = delimiter.join(['"' + cell.replace('"', '""') + '"' if odd(cell) else cell for cell in record])
+        return text + "\n"
+
+    return "".join(map(line, records))
 
 
 class Number(str):
@@ -174,11 +180,8 @@ def parse_jsonl(text: str) -> list:
         out.append(value)
 
 
-_ESCAPES = {c: f"\\u{c:04x}" for c in range(32)} | {ord('"'): '\\"', 92: "\\\\", 10: "\\n", 13: "\\r", 9: "\\t", 8: "\\b", 12: "\\f"}
-
-
 def json_text(s: str) -> str:
-    return '"' + _checked(s).translate(_ESCAPES) + '"'
+    return encode_basestring(s if s.isascii() else _checked(s))
 
 
 def dump_json(value) -> str:
@@ -227,6 +230,25 @@ def objects_of(records: Iterator[tuple[int, list[str]]], report: Report) -> Iter
         yield dict(zip(header, cells, strict=False))
 
 
+def object_texts(records: Iterator[tuple[int, list[str]]], report: Report) -> Iterator[str]:
+    """objects_of as JSON texts."""
+    records = iter(records)
+    first = next(records, None)
+    if first is None:
+        return
+    header = first[1]
+    if len(set(header)) < len(header):
+        yield from map(dump_json, objects_of(iter([first, *records]), report))
+        return
+    whole = "{" + ",".join(json_text(k).replace("%", "%%") + ":%s" for k in header) + "}"
+    width = len(header)
+    for line, cells in records:
+        if len(cells) == width:
+            yield whole % tuple(map(json_text, cells))
+        else:
+            yield from map(dump_json, objects_of(iter([first, (line, cells)]), report))
+
+
 def table_of(values: list, report: Report) -> tuple[list[str], Iterator[list[str]]]:
     """Header and records of objects: their keys in the order in which they first come up."""
     header: dict[str, int] = {}

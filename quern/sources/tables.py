@@ -1,15 +1,20 @@
-"""Python data sources: `quern-rows` reads delimited and JSON Lines files, `quern-workbook` XLSX and ODS sheets, a row each.
+"""Rows of delimited, JSON Lines and workbook files: path STRING, part STRING, line BIGINT, fields ARRAY<STRING>, every cell
+as written.
 
-Options: path (a local or mounted file, folder or glob), delimiter, sheet. A file is one partition. Columns: path STRING,
-part STRING, line BIGINT, fields ARRAY<STRING>, which keeps every cell as written.
+read_rows and read_workbooks go through Spark's own readers, hence any file system that Spark knows. read_lines splits large
+files whose records are lines, so that a file of any size is read by many tasks. `quern-rows` and `quern-workbook` are the
+same as Python data sources, for folders that are mounted on every machine.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.sources import rows, workbooks
@@ -91,3 +96,51 @@ class WorkbookSource(RowsSource):
 def register(spark: SparkSession) -> None:
     for source in (RowsSource, WorkbookSource):
         spark.dataSource.register(source)
+
+
+def _frames(rows_: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for row in rows_:
+        held.append(row)
+        size += 60 + sum(map(len, row[3]))
+        if size > 4 << 20:
+            yield pd.DataFrame(held, columns=["path", "part", "line", "fields"])
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=["path", "part", "line", "fields"])
+
+
+def _read(spark: SparkSession, path: str, kinds: tuple[str, ...], reader: _Reader) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(kinds)}}}").load(path)
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                yield from _frames((name, part, line, fields) for part, line, fields in reader.records(name, bytes(content)))
+
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_rows(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """Records of delimited and JSON Lines files, line breaks in quotes included. A file is read by one task."""
+    return _read(spark, path, RowsSource.kinds, _RowsReader({"delimiter": delimiter}, RowsSource.kinds))
+
+
+def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Rows of XLSX and ODS sheets; all sheets, or one by name or number."""
+    return _read(spark, path, WorkbookSource.kinds, _WorkbookReader({"sheet": sheet}, WorkbookSource.kinds))
+
+
+def read_lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """Records of UTF-8 delimited files whose fields hold no line breaks. Large files are split; line is null."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where("trim(value) != ''")
+
+    def run(batches):
+        for batch in batches:
+            text = "\n".join(batch["value"])
+            records = [fields for _, fields in rows.parse_delimited(text, delimiter)]
+            if len(records) != len(batch):
+                raise ValueError("a record goes over several lines; read_rows takes those")
+            yield pd.DataFrame({"path": batch["path"], "part": "", "line": pd.array([None] * len(records), "Int64"), "fields": records})
+
+    return lines.mapInPandas(run, SCHEMA)

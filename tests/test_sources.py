@@ -236,7 +236,7 @@ def test_pdf():
     blocks = events.read_markdown("# Title\n\nOne two (three) \\\\ é\n\n" + "word " * 400 + "\n\n- item\n")
     made = pdf.write_text(blocks, Report())
     text = pdf.read_text(made, Report())
-    assert text.startswith("Title\nOne two (three) \\ é\nword word") and text.rstrip().endswith("• item") and text.count("word") == 400
+    assert text.startswith("Title\n\nOne two (three) \\ é\n\nword word") and text.rstrip().endswith("• item") and text.count("word") == 400
     again = pdf.read_blocks(made, Report())
     assert again[0] == ("h", 1, [("text", "Title")]) and again[1] == ("p", [("text", "One two (three) \\ é")])
     with pytest.raises(Malformed):
