@@ -359,3 +359,45 @@ def unified_radicals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def href_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", S.function("href_escape")(F.concat("url", F.lit(' é"&'))).alias("escaped"))
+
+
+@query(f"select name, fidelity <> 'lossless' as told from (values {_values(catalogue.edges())}) e(name, source, target, fidelity)")
+def loss_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(e[0], planner.Plan((e,)).loss_descriptions) for e in catalogue.edges()]
+    return spark.createDataFrame(rows, "name string, said array<string>").select("name", (F.size("said") == 1).alias("told"))
+
+
+@query("""select cast(c_custkey as varchar) as path, 0 as number, case c_custkey % 2 when 0 then '{"event":"done","path":"' || c_custkey || '","parts":1,"bytes":' || length('a: ' || c_custkey || chr(10)) || '}'
+          else '{"event":"error","path":"' || c_custkey || '","kind":"malformed","message":"Expecting value"}' end as line from customer""")
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    content = F.concat(F.lit('{"a":'), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise(""), F.lit("}"))
+    return batch.events(convert(_files(c, c.c_custkey, content), "json", "yaml")).select("path", "number", "line")
+
+
+@query("select case when n_nationkey % 5 = 0 then 'in/' || n_nationkey || '.txt' else 'in/r' || n_regionkey || '.pages' end as path, count(*) as members from nation group by all")
+def package_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a package folder become one archive."""
+    n = table(spark, sf_dir, "nation")
+    path = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("in/"), "n_nationkey", F.lit(".txt"))).otherwise(F.concat(F.lit("in/r"), "n_regionkey", F.lit(".pages/Index/"), "n_nationkey", F.lit(".iwa")))
+    packed = batch.package_folders(n.select(path.alias("path"), F.col("n_name").cast("binary").alias("content")))
+    # a member has one entry in the archive's directory
+    count = F.when(F.col("path").endswith(".pages"), (F.length(F.hex("content")) - F.length(F.replace(F.hex("content"), F.lit("504B0102"), F.lit("")))) / 8).otherwise(1)
+    return packed.select("path", count.cast("long").alias("members"))
+
+
+NOTES = [("markdown", t) for t in ("docx", "odt", "rtf")] + [(s, "markdown") for s in ("docx", "odt", "rtf")]
+
+
+@query(_expected(NOTES, "select cast(s_suppkey as varchar) as path, s_name || '[^1] and *more*[^2].' || chr(10) || chr(10) || '[^1]: Nation ' || s_nationkey || chr(10) || chr(10) || '    Second.' || chr(10) || chr(10) || '[^2]: **Last**' || chr(10) as content from supplier"))
+def note_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footnotes stay footnotes."""
+    p = table(spark, sf_dir, "supplier")
+    content = F.concat("s_name", F.lit("[^a] and *more*[^b].\n\n[^a]: Nation "), "s_nationkey", F.lit("\n\n    Second.\n\n[^b]: **Last**\n"))
+    out = None
+    for s, t in NOTES:
+        kind = t if s == "markdown" else s
+        got = convert_along(_files(p, p.s_suppkey, content), [("markdown", kind), (kind, "markdown")])
+        got = got.select(F.lit(f"{s} {t}").alias("edge"), "path", F.replace("content", F.lit("\\#"), F.lit("#")).cast("string").alias("content"), F.col("error.message").alias("error"))
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,3 +79,33 @@ def merge_images(files: DataFrame, group_col: str, order_col: str, path_col: str
         return pd.DataFrame([(str(group["g"].iloc[0]), None if error else pdf.write_images(pages), len(pages), error)], columns=["group", "content", "pages", "error"])
 
     return known.groupBy("g").applyInPandas(merge, "group string, content binary, pages int, error string")
+
+
+_PACKAGE = r"^(.*/[^/]+\.(?:pages|numbers|key))/(.+)$"
+
+
+def package_folders(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """files with those inside a package folder (x.pages/Index/...) as one ZIP a folder; a folder is one task's, as a file is."""
+    path = F.col(path_col)
+    inside = path.rlike("(?i)" + _PACKAGE)
+    parts = files.where(inside).select(F.regexp_extract(path, "(?i)" + _PACKAGE, 1).alias("path"), F.regexp_extract(path, "(?i)" + _PACKAGE, 2).alias("name"), F.col(content_col).alias("content"))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, content in sorted(zip(group["name"], group["content"], strict=True)):
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), bytes(content))
+        return pd.DataFrame([(group["path"].iloc[0], out.getvalue())], columns=["path", "content"])
+
+    packed = parts.groupBy("path").applyInPandas(pack, "path string, content binary")
+    return files.where(~inside).select(path.alias("path"), F.col(content_col).alias("content")).unionByName(packed)
+
+
+def events(results: DataFrame) -> DataFrame:
+    """(path, number, line): what happened to each file as JSON lines, in order: losses, warnings, then parts or an error."""
+    file = results.groupBy("path").agg(F.first("losses").alias("losses"), F.first("warnings").alias("warnings"), F.first("error").alias("error"), F.count("part_index").alias("parts"), F.sum(F.octet_length("content")).alias("bytes"))
+    line = lambda kind, *columns: F.to_json(F.struct(F.lit(kind).alias("event"), "path", *columns))
+    losses = F.transform("losses", lambda x: F.to_json(F.struct(F.lit("loss").alias("event"), F.col("path"), x["line"].alias("line"), x["column"].alias("column"), x["description"].alias("message"))))
+    warnings = F.transform("warnings", lambda x: F.to_json(F.struct(F.lit("warning").alias("event"), F.col("path"), x.alias("message"))))
+    last = F.when(F.col("error").isNull(), line("done", "parts", "bytes")).otherwise(line("error", F.col("error.kind").alias("kind"), F.col("error.message").alias("message")))
+    return file.select("path", F.posexplode(F.concat(losses, warnings, F.array(last))).alias("number", "line"))

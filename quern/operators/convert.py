@@ -93,18 +93,17 @@ def _from_grid(target: str, sheets: list[tuple[str, list[list[str]]]], options:
     if target == "jsonl":
         return [(n, _lines(rows.objects_of(iter(list(enumerate(r, 1))), report))) for n, r in sheets]
     if target == "markdown":
-        blocks: list[tuple] = []
+        blocks: list[str] = []
         for name, r in sheets:
             if name and len(sheets) > 1:
-                blocks.append(("h", 1, [("text", name)]))
+                blocks.append(events.markdown_heading(name))
             if r:
                 width = len(r[0])
-                cell = lambda s: [("text", " ".join(s.split("\n")).replace("\r", "").strip())] if s else []
                 if any(len(x) != width for x in r):
                     report.warn("rows are padded or cut to the header's width")
-                body = [[cell(s) for s in (x + [""] * width)[:width]] for x in r]
-                blocks.append(("table", [""] * width, body[0], body[1:]))
-        return [("", events.write_markdown(blocks).encode())]
+                    r = [(x + [""] * width)[:width] for x in r]
+                blocks.append(events.markdown_rows(r[0], r[1:]))
+        return [("", "".join(["\n\n".join(blocks), "\n"] if blocks else []).encode())]
     named = [(n or f"Sheet{k + 1}", r) for k, (n, r) in enumerate(sheets)] or [("Sheet1", [])]
     return [("", (workbooks.write_xlsx if target == "xlsx" else workbooks.write_ods)(named, report))]
 
@@ -159,7 +158,7 @@ def _document(source: str, target: str, content: bytes, options: dict, report: R
         if target == "text" and source != "text":
             report.loss("formatting is dropped")
         return _TEXT_WRITERS[target](blocks).encode()
-    if any(b[0] == "note" for b in blocks):
+    if target == "pdf" and any(b[0] == "note" for b in blocks):
         report.loss("notes become paragraphs at the end")
         blocks = events.flat_notes(blocks)
     return pdf.write_text(blocks, report) if target == "pdf" else office.WRITERS[target](blocks, report)

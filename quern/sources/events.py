@@ -452,7 +452,8 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)
 _WITH_ATTRIBUTES = {"a", "img", "ol", "td", "th"}
 _RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
-_BLANKS = re.compile(r"[ \t\r\n\f]+")
+#: Runs of white space other than one blank.
+_BLANKS = re.compile(r" *[\t\r\n\f][ \t\r\n\f]*| {2,}")
 
 
 class _Html:
@@ -830,8 +831,26 @@ def write_html(blocks: list[tuple], tight: bool = False, notes: _Notes | None =
     return "".join(out)
 
 
+_MARKS = re.compile(r"[\\`*_\[\]<>~|]|&(?=#?\w+;)")
+_LAST_HASHES = re.compile(r"(#+)$")
+
+
 def _md_text(s: str) -> str:
-    return re.sub(r"([\\`*_\[\]<>~|])|&(?=#?\w+;)", lambda m: "\\" + m[0], s)
+    return _MARKS.sub(lambda m: "\\" + m[0], s)
+
+
+def markdown_rows(header: list[str], rows: list[list[str]]) -> str:
+    """A table of plain cells, without a line end."""
+
+    def line(cells: list[str]) -> str:
+        text = " | ".join([c if c.isalnum() else _md_text(" ".join(c.split("\n")).replace("\r", "").strip()) for c in cells])
+        return f"| {text} |"
+
+    return "\n".join([line(header), "| " + " | ".join(["---"] * len(header)) + " |", *map(line, rows)])
+
+
+def markdown_heading(name: str) -> str:
+    return write_markdown([("h", 1, [("text", name)])]).rstrip("\n")
 
 
 def _md_inline(inlines: list[tuple], cell: bool = False) -> str:
@@ -877,7 +896,7 @@ def write_markdown(blocks: list[tuple]) -> str:
             return _guarded(_md_inline(b[1]))
         if kind == "h":
             text = _md_inline(b[2]).replace("\\\n", " ").replace("\n", " ")
-            return ("#" * b[1] + " " + re.sub(r"(#+)$", r"\\\1", text)).rstrip()
+            return ("#" * b[1] + " " + _LAST_HASHES.sub(r"\\\1", text)).rstrip()
         if kind == "code":
             fence = "`" * max(3, max(map(len, re.findall("`+", b[2])), default=0) + 1)
             return f"{fence}{b[1]}\n{b[2]}{fence}"

@@ -1,7 +1,9 @@
 """Word, OpenDocument text, EPUB and RTF documents to the blocks of `events` and back.
 
-What the blocks hold is kept: headings, paragraphs, lists, tables, quotes, code, links and character formatting. Page layout,
-pictures' bytes, comments and fields are not; the readers take the text as it stands after insertions.
+What the blocks hold is kept: headings, paragraphs, lists, tables, quotes, code, links, notes and character formatting, as
+styles and those that they build on give it. Text boxes follow their paragraph, formulas are their text, endnotes are
+footnotes. Page layout, headers and footers, pictures' bytes and comments are reported and dropped; the readers take the text
+as it stands after insertions and moves.
 """
 
 from __future__ import annotations
@@ -85,101 +87,225 @@ class _Lists:
 # Word
 
 
-def read_docx(content: bytes, report: Report) -> list[tuple]:
-    z = _open(content)
-    root = _xml(z, "word/document.xml")
-    if root is None:
-        raise Malformed("the package has no document")
-    names = z.namelist()
-    links = {r.get("Id"): r.get("Target", "") for r in (_xml(z, "word/_rels/document.xml.rels") if "word/_rels/document.xml.rels" in names else [])}
-    styles = {}
-    for s in _xml(z, "word/styles.xml").iter(_W + "style") if "word/styles.xml" in names else ():
-        name, outline = s.find(_W + "name"), s.find(f"{_W}pPr/{_W}outlineLvl")
-        styles[s.get(_W + "styleId")] = ((name.get(_W + "val") if name is not None else "") or "", None if outline is None else int(outline.get(_W + "val")))
-    bullets: dict[str, dict[str, bool]] = {}
-    if "word/numbering.xml" in names:
-        numbering = _xml(z, "word/numbering.xml")
-        shapes = {a.get(_W + "abstractNumId"): {v.get(_W + "ilvl"): v.find(_W + "numFmt").get(_W + "val") not in ("bullet", "none") for v in a.iter(_W + "lvl") if v.find(_W + "numFmt") is not None} for a in numbering.iter(_W + "abstractNum")}
-        bullets = {n.get(_W + "numId"): shapes.get(n.find(_W + "abstractNumId").get(_W + "val"), {}) for n in numbering.iter(_W + "num") if n.find(_W + "abstractNumId") is not None}
-
-    def on(p, tag: str) -> bool:
-        e = p.find(_W + tag) if p is not None else None
-        return e is not None and e.get(_W + "val", "1") not in ("0", "false", "none")
-
-    def runs(e) -> list[tuple]:
+_MATH = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
+#: Elements of a Word paragraph that only hold others.
+_HOLDERS = {"ins", "moveTo", "smartTag", "sdt", "sdtContent", "bdo", "dir", "customXml"}
+
+
+def _link_of(instruction: str) -> str | None:
+    """The address of a HYPERLINK field, with # before a place in the document."""
+    m = re.match(r'\s*HYPERLINK\s+(?:(\\l)\s+)?"([^"]*)"', instruction)
+    return None if not m else ("#" if m[1] else "") + m[2]
+
+
+class _Word:
+    """A Word package: its parts, styles, lists and notes."""
+
+    def __init__(self, z, report: Report):
+        self.z, self.report, self.names = z, report, set(z.namelist())
+        self.links = self._links("word/_rels/document.xml.rels")
+        self.styles: dict[str, tuple[str, int | None]] = {}
+        self.own: dict[str, dict[str, bool]] = {}
+        self.parent: dict[str, str] = {}
+        for e in self._part("word/styles.xml").iter(_W + "style") if "word/styles.xml" in self.names else ():
+            i, name, outline, base = e.get(_W + "styleId"), e.find(_W + "name"), e.find(f"{_W}pPr/{_W}outlineLvl"), e.find(_W + "basedOn")
+            self.styles[i] = ((name.get(_W + "val") if name is not None else "") or "", None if outline is None else int(outline.get(_W + "val")))
+            self.own[i] = self._marks(e.find(_W + "rPr"))
+            if base is not None:
+                self.parent[i] = base.get(_W + "val", "")
+        self.lists: dict[str, dict[str, bool]] = {}
+        if "word/numbering.xml" in self.names:
+            numbering = self._part("word/numbering.xml")
+            shapes = {a.get(_W + "abstractNumId"): {v.get(_W + "ilvl"): v.find(_W + "numFmt").get(_W + "val") not in ("bullet", "none") for v in a.iter(_W + "lvl") if v.find(_W + "numFmt") is not None} for a in numbering.iter(_W + "abstractNum")}
+            self.lists = {n.get(_W + "numId"): shapes.get(n.find(_W + "abstractNumId").get(_W + "val"), {}) for n in numbering.iter(_W + "num") if n.find(_W + "abstractNumId") is not None}
+        self.texts = {kind: {e.get(_W + "id"): e for e in self._part(f"word/{kind}s.xml").iter(_W + kind)} if f"word/{kind}s.xml" in self.names else {} for kind in ("footnote", "endnote")}
+        self.notes: dict[tuple[str, str], tuple[str, object]] = {}
+
+    def _part(self, name: str):
+        root = _xml(self.z, name)
+        if root is None:
+            raise Malformed(f"{name} is missing")
+        return root
+
+    def _links(self, name: str) -> dict[str, str]:
+        return {r.get("Id"): r.get("Target", "") for r in self._part(name)} if name in self.names else {}
+
+    @staticmethod
+    def _marks(p) -> dict[str, bool]:
+        """What run properties switch on or off."""
+        out = {}
+        for kind, tag in (("del", "strike"), ("em", "i"), ("strong", "b")):
+            e = p.find(_W + tag) if p is not None else None
+            if e is not None:
+                out[kind] = e.get(_W + "val", "1") not in ("0", "false", "none")
+        return out
+
+    def inherited(self, style: str) -> dict[str, bool]:
+        """What a style and those that it builds on switch on or off; the nearest counts."""
+        out: dict[str, bool] = {}
+        for _ in range(20):
+            out = self.own.get(style, {}) | out
+            if style not in self.parent:
+                break
+            style = self.parent[style]
+        return out
+
+    def _note(self, kind: str, i: str) -> list[tuple]:
+        if i not in self.texts[kind]:
+            return []
+        label = self.notes.setdefault((kind, i), (str(len(self.notes) + 1), self.texts[kind][i]))[0]
+        return [("ref", label)]
+
+    def _run(self, x, base: dict[str, bool], boxes: list) -> list[tuple]:
+        p, inner = x.find(_W + "rPr"), []
+        for t in x:
+            if t.tag == _W + "t":
+                inner.append(("text", t.text or ""))
+            elif t.tag in (_W + "br", _W + "cr"):
+                inner.append(("br",))
+            elif t.tag == _W + "tab":
+                inner.append(("text", "\t"))
+            elif t.tag == _W + "noBreakHyphen":
+                inner.append(("text", "\u2011"))
+            elif t.tag in (_W + "footnoteReference", _W + "endnoteReference"):
+                inner += self._note("footnote" if "foot" in t.tag else "endnote", t.get(_W + "id"))
+            elif t.tag == _W + "commentReference":
+                self.report.loss("comments are dropped")
+            elif t.tag in (_W + "drawing", _W + "pict", _W + "object") or t.tag.endswith("}AlternateContent"):
+                found = next(t.iter(_W + "txbxContent"), None)
+                if found is not None:
+                    boxes.append(found)
+                    continue
+                name = next((d.get("descr") or "" for d in t.iter() if d.tag.endswith("}docPr")), "")
+                self.report.loss("pictures are dropped")
+                inner += [("text", name)] if name else []
+        style = p.find(_W + "rStyle").get(_W + "val", "") if p is not None and p.find(_W + "rStyle") is not None else ""
+        if inner and ("code" in self.styles.get(style, (style, None))[0].lower() or style == "Code"):
+            return [("code", "".join(n[1] for n in inner if n[0] == "text"))]
+        on = base | self.inherited(style) | self._marks(p)
+        return _wrapped(inner, [k for k in ("del", "em", "strong") if on.get(k)])
+
+    def inlines(self, e, base: dict[str, bool], boxes: list) -> list[tuple]:
         out: list[tuple] = []
+        #: open fields: instruction, whether its result has begun, and what stands before it
+        fields: list[list] = []
         for x in e:
-            if x.tag == _W + "r":
-                p, inner = x.find(_W + "rPr"), []
-                for t in x:
-                    if t.tag == _W + "t":
-                        inner.append(("text", t.text or ""))
-                    elif t.tag in (_W + "br", _W + "cr"):
-                        inner.append(("br",))
-                    elif t.tag == _W + "tab":
-                        inner.append(("text", "\t"))
-                    elif t.tag == _W + "drawing":
-                        name = next((d.get("descr") or "" for d in t.iter() if d.tag.endswith("}docPr")), "")
-                        report.loss("pictures are dropped")
-                        inner += [("text", name)] if name else []
-                style = p.find(_W + "rStyle").get(_W + "val", "") if p is not None and p.find(_W + "rStyle") is not None else ""
-                if "code" in styles.get(style, (style, None))[0].lower() or style == "Code":
-                    inner = [("code", "".join(n[1] for n in inner if n[0] == "text"))] if inner else []
-                out += _wrapped(inner, [k for k, tag in (("del", "strike"), ("em", "i"), ("strong", "b")) if on(p, tag)])
-            elif x.tag == _W + "hyperlink":
-                address = links.get(x.get(_R + "id"), "") or ("#" + x.get(_W + "anchor") if x.get(_W + "anchor") else "")
-                out.append(("link", address, "", _merged(runs(x))))
-            elif x.tag in (_W + "ins", _W + "smartTag", _W + "sdt", _W + "sdtContent"):
-                out += runs(x)
-            elif x.tag == _W + "del":
-                report.loss("deleted text is dropped")
+            tag = x.tag.removeprefix(_W)
+            if tag == "r":
+                mark = x.find(_W + "fldChar")
+                if mark is not None:
+                    kind = mark.get(_W + "fldCharType")
+                    if kind == "begin":
+                        fields.append(["", False, out])
+                        out = []
+                    elif fields and kind == "separate":
+                        fields[-1][1], out = True, []
+                    elif fields and kind == "end":
+                        instruction, begun, before = fields.pop()
+                        address, inner = _link_of(instruction), out if begun else []
+                        out = before + ([("link", address, "", _merged(inner))] if address is not None and inner else inner)
+                    continue
+                if fields and not fields[-1][1]:
+                    fields[-1][0] += "".join(t.text or "" for t in x.iter(_W + "instrText"))
+                    continue
+                out += self._run(x, base, boxes)
+            elif tag == "hyperlink":
+                address = self.links.get(x.get(_R + "id"), "") or ("#" + x.get(_W + "anchor") if x.get(_W + "anchor") else "")
+                out.append(("link", address, "", _merged(self.inlines(x, base, boxes))))
+            elif tag == "fldSimple":
+                address, inner = _link_of(x.get(_W + "instr", "")), self.inlines(x, base, boxes)
+                out += [("link", address, "", _merged(inner))] if address is not None and inner else inner
+            elif tag in _HOLDERS:
+                out += self.inlines(x, base, boxes)
+            elif tag in ("del", "moveFrom"):
+                self.report.loss("deleted text is dropped")
+            elif x.tag.startswith(_MATH):
+                text = "".join(t.text or "" for t in x.iter(_MATH + "t"))
+                if text:
+                    self.report.loss("formulas become their text")
+                    out.append(("text", text))
+        for _, _, before in reversed(fields):  # fields that never end
+            out = before + out
         return out
 
-    def body(e) -> list[tuple]:
+    def _paragraph(self, x, lists: _Lists) -> None:
+        p, boxes = x.find(_W + "pPr"), []
+        style = p.find(_W + "pStyle").get(_W + "val", "") if p is not None and p.find(_W + "pStyle") is not None else ""
+        name, outline = self.styles.get(style, (style, None))
+        m = re.fullmatch(r"(?:heading|Heading)\s*([1-9])", name)
+        heading = m or outline is not None and outline < 9 or name.lower() == "title"
+        # a heading's own look is no emphasis
+        inlines = _merged(self.inlines(x, {} if heading else self.inherited(style), boxes))
+        number = p.find(_W + "numPr") if p is not None else None
+        if p is not None and p.find(_W + "sectPr") is not None:
+            self._section(p.find(_W + "sectPr"))
+        if not inlines:
+            if p is not None and p.find(_W + "pBdr") is not None:
+                lists.put(("hr",))
+        elif heading:
+            lists.put(("h", min(6, int(m[1]) if m else outline + 1 if outline is not None else 1), inlines))
+        elif number is not None and number.find(_W + "numId") is not None and number.find(_W + "numId").get(_W + "val") != "0":
+            level = number.find(_W + "ilvl")
+            level = level.get(_W + "val", "0") if level is not None else "0"
+            lists.add(int(level), self.lists.get(number.find(_W + "numId").get(_W + "val"), {}).get(level, False), ("p", inlines))
+        elif "code" in name.lower():
+            lists.put(("code", "", events._plain(inlines) + "\n"))
+        elif "quote" in name.lower():
+            lists.put(("quote", [("p", inlines)]))
+        else:
+            lists.put(("p", inlines))
+        for box in boxes:
+            for b in self.blocks(box):
+                lists.put(b)
+
+    def _section(self, e) -> None:
+        if e.find(_W + "headerReference") is not None or e.find(_W + "footerReference") is not None:
+            self.report.loss("headers and footers are dropped")
+
+    def _table(self, x) -> tuple | None:
+        table = []
+        for tr in x.findall(_W + "tr"):
+            row = []
+            for tc in tr.findall(_W + "tc"):
+                span, merge = tc.find(f"{_W}tcPr/{_W}gridSpan"), tc.find(f"{_W}tcPr/{_W}vMerge")
+                inner = self.blocks(tc) if merge is None or merge.get(_W + "val") == "restart" else []
+                cell = [n for k, b in enumerate(inner) for n in ([("text", " ")] * (k > 0) + (b[-1] if b[0] in ("p", "h") else [("text", events.write_text([b]).replace("\n", " ").strip())]))]
+                row += [events._joined(cell)] + [[]] * (min(1000, int(span.get(_W + "val", "1"))) - 1 if span is not None else 0)
+            table.append(row)
+        if not table or not (width := max(map(len, table))):
+            return None
+        table = [r + [[]] * (width - len(r)) for r in table]
+        return ("table", [""] * width, table[0], table[1:])
+
+    def blocks(self, e) -> list[tuple]:
         lists = _Lists()
         for x in e:
-            if x.tag in (_W + "sdt",):
-                inner = x.find(_W + "sdtContent")
-                for b in body(inner) if inner is not None else ():
+            if x.tag in (_W + "sdt", _W + "customXml", _W + "ins"):
+                inner = x.find(_W + "sdtContent") if x.tag == _W + "sdt" else x
+                for b in self.blocks(inner) if inner is not None else ():
                     lists.put(b)
             elif x.tag == _W + "p":
-                p, inlines = x.find(_W + "pPr"), _merged(runs(x))
-                style = p.find(_W + "pStyle").get(_W + "val", "") if p is not None and p.find(_W + "pStyle") is not None else ""
-                name, outline = styles.get(style, (style, None))
-                number = p.find(_W + "numPr") if p is not None else None
-                m = re.fullmatch(r"(?:heading|Heading)\s*([1-9])", name)
-                if not inlines:
-                    if p is not None and p.find(_W + "pBdr") is not None:
-                        lists.put(("hr",))
-                elif m or outline is not None and outline < 9 or name.lower() == "title":
-                    lists.put(("h", min(6, int(m[1]) if m else outline + 1 if outline is not None else 1), inlines))
-                elif number is not None and number.find(_W + "numId") is not None and number.find(_W + "numId").get(_W + "val") != "0":
-                    level = number.find(_W + "ilvl")
-                    level = level.get(_W + "val", "0") if level is not None else "0"
-                    lists.add(int(level), bullets.get(number.find(_W + "numId").get(_W + "val"), {}).get(level, False), ("p", inlines))
-                elif "code" in name.lower():
-                    lists.put(("code", "", events._plain(inlines) + "\n"))
-                elif "quote" in name.lower():
-                    lists.put(("quote", [("p", inlines)]))
-                else:
-                    lists.put(("p", inlines))
+                self._paragraph(x, lists)
             elif x.tag == _W + "tbl":
-                table = []
-                for tr in x.iter(_W + "tr"):
-                    row = []
-                    for tc in tr.findall(_W + "tc"):
-                        span = tc.find(f"{_W}tcPr/{_W}gridSpan")
-                        inner = body(tc)
-                        cell = [n for k, b in enumerate(inner) for n in ([("text", " ")] * (k > 0) + (b[-1] if b[0] in ("p", "h") else [("text", events.write_text([b]).replace("\n", " ").strip())]))]
-                        row += [events._joined(cell)] + [[]] * (int(span.get(_W + "val", "1")) - 1 if span is not None else 0)
-                    table.append(row)
-                if table and (width := max(map(len, table))):
-                    table = [r + [[]] * (width - len(r)) for r in table]
-                    lists.put(("table", [""] * width, table[0], table[1:]))
+                if table := self._table(x):
+                    lists.put(table)
+            elif x.tag == _W + "sectPr":
+                self._section(x)
         return _quotes(lists.result())
 
-    e = root.find(_W + "body")
-    return body(e) if e is not None else []
+
+def read_docx(content: bytes, report: Report) -> list[tuple]:
+    z = _open(content)
+    root = _xml(z, "word/document.xml")
+    if root is None:
+        raise Malformed("the package has no document")
+    word, e = _Word(z, report), root.find(_W + "body")
+    out = word.blocks(e) if e is not None else []
+    done: list[tuple] = []
+    while len(done) < len(word.notes):  # notes may refer to notes
+        label, note = list(word.notes.values())[len(done)]
+        done.append(("note", label, word.blocks(note)))
+    return out + done
 
 
 def _quotes(blocks: list[tuple]) -> list[tuple]:
@@ -196,6 +322,7 @@ def _quotes(blocks: list[tuple]) -> list[tuple]:
 
 def write_docx(blocks: list[tuple], report: Report) -> bytes:
     out, links = [], []
+    numbered = {b[1]: k for k, b in enumerate((b for b in blocks if b[0] == "note"), 1)}
 
     def run(text: str, marks: tuple = ()) -> str:
         pieces = re.split(r"([\t\n])", _clean(text))
@@ -222,6 +349,8 @@ def write_docx(blocks: list[tuple], report: Report) -> bytes:
                 s += "<w:r><w:br/></w:r>"
             elif n[0] == "soft":
                 s += run(" ", marks)
+            elif n[0] == "ref":
+                s += f'<w:r><w:rPr><w:vertAlign w:val="superscript"/></w:rPr><w:footnoteReference w:id="{numbered[n[1]]}"/></w:r>' if n[1] in numbered else run(f"[{n[1]}]", marks)
             else:
                 report.loss("raw HTML is dropped")
         return s
@@ -262,18 +391,26 @@ def write_docx(blocks: list[tuple], report: Report) -> bytes:
                 rows = "".join("<w:tr>" + "".join(f"<w:tc><w:p>{inline(c)}</w:p></w:tc>" for c in r) + "</w:tr>" for r in [b[2], *b[3]])
                 out.append('<w:tbl><w:tblPr><w:tblW w:w="0" w:type="auto"/></w:tblPr><w:tblGrid>' + "<w:gridCol/>" * len(b[2]) + f"</w:tblGrid>{rows}</w:tbl>")
 
-    walk(blocks)
+    walk([b for b in blocks if b[0] != "note"])
+    document, notes = "".join(out), []
+    for _, label, inner in (b for b in blocks if b[0] == "note"):
+        out.clear()
+        walk(inner or [("p", [])])
+        notes.append(f'<w:footnote w:id="{numbered[label]}">{"".join(out)}</w:footnote>')
     spaces = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     style = lambda i, name, extra="", kind="paragraph": f'<w:style w:type="{kind}" w:styleId="{i}"><w:name w:val="{name}"/>{extra}</w:style>'
     levels = lambda fmt: "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{"•" if fmt == "bullet" else f"%{k + 1}."}"/><w:pPr><w:ind w:left="{720 * (k + 1)}" w:hanging="360"/></w:pPr></w:lvl>' for k in range(9))
     base = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     types = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+    linked = "".join(f'<Relationship Id="rId{k + 11}" Type="{base}/hyperlink" Target={quoteattr(_clean(a))} TargetMode="External"/>' for k, a in enumerate(links))
     return _zip(
         [
-            ("[Content_Types].xml", _HEAD + f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{types}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{types}.styles+xml"/><Override PartName="/word/numbering.xml" ContentType="{types}.numbering+xml"/></Types>'),
+            ("[Content_Types].xml", _HEAD + f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{types}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{types}.styles+xml"/><Override PartName="/word/numbering.xml" ContentType="{types}.numbering+xml"/><Override PartName="/word/footnotes.xml" ContentType="{types}.footnotes+xml"/></Types>'),
             ("_rels/.rels", _HEAD + f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{base}/officeDocument" Target="word/document.xml"/></Relationships>'),
-            ("word/document.xml", _HEAD + f"<w:document {spaces}><w:body>{''.join(out)}<w:sectPr/></w:body></w:document>"),
-            ("word/_rels/document.xml.rels", _HEAD + f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{base}/styles" Target="styles.xml"/><Relationship Id="rId2" Type="{base}/numbering" Target="numbering.xml"/>' + "".join(f'<Relationship Id="rId{k + 11}" Type="{base}/hyperlink" Target={quoteattr(_clean(a))} TargetMode="External"/>' for k, a in enumerate(links)) + "</Relationships>"),
+            ("word/document.xml", _HEAD + f"<w:document {spaces}><w:body>{document}<w:sectPr/></w:body></w:document>"),
+            ("word/footnotes.xml", _HEAD + f"<w:footnotes {spaces}>{''.join(notes)}</w:footnotes>"),
+            ("word/_rels/footnotes.xml.rels", _HEAD + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + linked + "</Relationships>"),
+            ("word/_rels/document.xml.rels", _HEAD + f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{base}/styles" Target="styles.xml"/><Relationship Id="rId2" Type="{base}/numbering" Target="numbering.xml"/><Relationship Id="rId3" Type="{base}/footnotes" Target="footnotes.xml"/>' + linked + "</Relationships>"),
             ("word/styles.xml", _HEAD + f"<w:styles {spaces}>" + style("Normal", "Normal") + "".join(style(f"Heading{k}", f"heading {k}", f'<w:pPr><w:outlineLvl w:val="{k - 1}"/></w:pPr><w:rPr><w:b/><w:sz w:val="{40 - 4 * k}"/></w:rPr>') for k in range(1, 7)) + style("CodeBlock", "Code Block", '<w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr>') + style("Quote", "Quote", '<w:pPr><w:ind w:left="720"/></w:pPr>') + style("Code", "Code", '<w:rPr><w:rFonts w:ascii="Courier New"/></w:rPr>', "character") + "</w:styles>"),
             ("word/numbering.xml", _HEAD + f'<w:numbering {spaces}><w:abstractNum w:abstractNumId="0">{levels("bullet")}</w:abstractNum><w:abstractNum w:abstractNumId="1">{levels("decimal")}</w:abstractNum>' + "".join(f'<w:num w:numId="{k + 1}"><w:abstractNumId w:val="{int(o)}"/></w:num>' for k, o in enumerate(numbers)) + "</w:numbering>"),
         ]
@@ -300,6 +437,8 @@ def read_odt(content: bytes, report: Report) -> list[tuple]:
         for s in part.iter(_T + "list-style") if part is not None else ():
             ordered[s.get(_STYLE + "name")] = any(x.tag == _T + "list-level-style-number" for x in s)
 
+    notes: list[tuple] = []
+
     def inline(e) -> list[tuple]:
         out = [("text", re.sub(r"\s+", " ", e.text))] if e.text else []
         for x in e:
@@ -316,7 +455,11 @@ def read_odt(content: bytes, report: Report) -> list[tuple]:
             elif x.tag == _T + "line-break":
                 out.append(("br",))
             elif x.tag == _T + "note":
-                report.loss("notes are dropped")
+                inside = x.find(_T + "note-body")
+                notes.append(("note", str(len(notes) + 1), []))
+                k = len(notes) - 1
+                notes[k] = ("note", notes[k][1], body(inside) if inside is not None else [])
+                out.append(("ref", notes[k][1]))
             elif not x.tag.endswith(("}annotation", "}frame", "}tracked-changes")):
                 out += inline(x)
             if x.tail:
@@ -360,11 +503,22 @@ def read_odt(content: bytes, report: Report) -> list[tuple]:
         return _quotes(out)
 
     text = next((x for x in root.iter() if x.tag == "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}text"), None)
-    return body(text) if text is not None else []
+    out = body(text) if text is not None else []
+    return out + notes
 
 
 def write_odt(blocks: list[tuple], report: Report) -> bytes:
     combos: dict[tuple, str] = {}
+    texts = {b[1]: (k, b[2]) for k, b in enumerate((b for b in blocks if b[0] == "note"), 1)}
+    cited: set[str] = set()
+
+    def note(label: str) -> str:
+        """The first reference holds the note; others repeat its number."""
+        if label not in texts or label in cited:
+            return escape(f"[{texts[label][0] if label in texts else label}]")
+        cited.add(label)
+        k, inner = texts[label]
+        return f'<text:note text:id="ftn{k}" text:note-class="footnote"><text:note-citation>{k}</text:note-citation><text:note-body>{walk(inner) or "<text:p/>"}</text:note-body></text:note>'
 
     def spaced(s: str) -> str:
         s = re.sub(r" {2,}|^ ", lambda m: f'<text:s text:c="{len(m[0])}"/>', escape(_clean(s)))
@@ -392,6 +546,8 @@ def write_odt(blocks: list[tuple], report: Report) -> bytes:
                 s += "<text:line-break/>"
             elif n[0] == "soft":
                 s += " "
+            elif n[0] == "ref":
+                s += note(n[1])
             else:
                 report.loss("raw HTML is dropped")
         return s
@@ -483,7 +639,7 @@ def write_epub(blocks: list[tuple], report: Report) -> bytes:
 
 _RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.I)
 #: Destinations whose text is not the document's.
-_SKIPPED = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "header", "footer", "headerl", "headerr", "headerf", "footerl", "footerr", "footerf", "listtable", "listoverridetable", "generator", "themedata", "datastore", "latentstyles", "xmlnstbl", "rsidtbl", "footnote", "annotation", "fldinst", "listtext", "pntext", "bkmkstart", "bkmkend", "nonshppict", "shpinst", "mmathPr"}
+_SKIPPED = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "header", "footer", "headerl", "headerr", "headerf", "footerl", "footerr", "footerf", "listtable", "listoverridetable", "generator", "themedata", "datastore", "latentstyles", "xmlnstbl", "rsidtbl", "annotation", "atnid", "atnauthor", "ftnsep", "ftnsepc", "aftnsep", "aftnsepc", "listtext", "pntext", "bkmkstart", "bkmkend", "nonshppict", "shpinst", "mmathPr"}
 _SYMBOLS = {"tab": "\t", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "emspace": " ", "enspace": " "}
 
 
@@ -499,13 +655,28 @@ def read_rtf(content: bytes, report: Report) -> list[tuple]:
     para = {"level": None, "list": None, "ordered": False, "table": False}
     lists, inlines, row, table = _Lists(), [], [], []
     fresh, hop, raw = False, 0, bytearray()
-    link: list[tuple[int, str]] = []
+    notes: list[tuple] = []
+    outer: list[tuple] = []  # what stands around the notes that are open
+    instruction, results = "", []  # of the last field, and the results that are open: depth, place, address
+
+    def end_note() -> None:
+        nonlocal lists, inlines, row, table, para
+        end_paragraph()
+        end_table()
+        k, inner = outer[-1][1], lists.result()
+        _, _, lists, inlines, row, table, para = outer.pop()
+        notes[k] = ("note", notes[k][1], inner)
+        inlines.append(("ref", notes[k][1]))
 
     def put(s: str) -> None:
         if s and not now["skip"]:
             inlines.extend(_wrapped([("text", s)], [k for k, m in (("del", "strike"), ("em", "i"), ("strong", "b")) if now[m]]))
 
     def flush() -> None:
+        nonlocal instruction
+        if raw and now.get("field"):
+            instruction += raw.decode(codec, "replace")
+            raw.clear()
         if raw:
             try:
                 put(raw.decode(codec, "replace"))
@@ -546,13 +717,27 @@ def read_rtf(content: bytes, report: Report) -> list[tuple]:
                 saved, _ = stack.pop()
                 now.clear()
                 now.update(saved)
-            if link and len(stack) < link[-1][0]:
-                _, address = link.pop()
+            if results and len(stack) < results[-1][0]:
+                _, at, address = results.pop()
+                if at < len(inlines):
+                    inlines[at:] = [("link", address, "", _merged(inlines[at:]))]
+            if outer and len(stack) < outer[-1][0]:
+                end_note()
             fresh = False
             continue
         if word:
             if word in _SKIPPED:
                 now["skip"] = True
+            elif word == "fldinst":
+                now["skip"], now["field"], instruction = True, True, ""
+            elif word == "fldrslt":
+                if (address := _link_of(instruction)) is not None and not now["skip"]:
+                    results.append((len(stack), len(inlines), address))
+            elif word == "footnote" and not now["skip"]:
+                notes.append(("note", str(len(notes) + 1), []))
+                outer.append((len(stack), len(notes) - 1, lists, inlines, row, table, para))
+                lists, inlines, row, table = _Lists(), [], [], []
+                para = {"level": None, "list": None, "ordered": False, "table": False}
             elif word == "u" and number:
                 put(chr(int(number) & 0xFFFF) if not 0xD800 <= (int(number) & 0xFFFF) < 0xE000 else "\ufffd")
                 hop = now["uc"]
@@ -590,11 +775,13 @@ def read_rtf(content: bytes, report: Report) -> list[tuple]:
         elif byte:
             if hop:
                 hop -= 1
-            elif not now["skip"]:
+            elif not now["skip"] or now.get("field"):
                 raw.append(int(byte, 16))
         elif symbol:
             if symbol == "*" and fresh:
                 now["skip"] = True
+            elif now.get("field"):
+                instruction += symbol if symbol in "\\{}" else ""
             elif symbol in "\\{}":
                 put(symbol)
             elif symbol == "~":
@@ -604,15 +791,21 @@ def read_rtf(content: bytes, report: Report) -> list[tuple]:
         elif plain:
             if hop:
                 plain, hop = plain[hop:], max(0, hop - len(plain))
+            if now.get("field"):
+                instruction += plain
             put(plain)
         fresh = False
     flush()
+    while outer:
+        end_note()
     end_paragraph()
     end_table()
-    return lists.result()
+    return lists.result() + notes
 
 
 def write_rtf(blocks: list[tuple], report: Report) -> bytes:
+    texts = {b[1]: b[2] for b in blocks if b[0] == "note"}
+
     def text(s: str) -> str:
         out = []
         for c in _clean(s):
@@ -649,6 +842,8 @@ def write_rtf(blocks: list[tuple], report: Report) -> bytes:
                 s += "\\line "
             elif n[0] == "soft":
                 s += " "
+            elif n[0] == "ref":
+                s += "{\\super\\chftn}{\\footnote " + walk(texts.pop(n[1])) + "}" if n[1] in texts else text(f"[{n[1]}]")
             else:
                 report.loss("raw HTML is dropped")
         return s
@@ -683,7 +878,7 @@ def write_rtf(blocks: list[tuple], report: Report) -> bytes:
         return s
 
     styles = "{\\stylesheet{\\s0 Normal;}" + "".join(f"{{\\s{k}\\b heading {k};}}" for k in range(1, 7)) + "}"
-    return ("{\\rtf1\\ansi\\ansicpg1252\\uc1\\deff0{\\fonttbl{\\f0 Times New Roman;}{\\f1\\fmodern Courier New;}}\n" + styles + "\n" + walk(blocks) + "}\n").encode("ascii")
+    return ("{\\rtf1\\ansi\\ansicpg1252\\uc1\\deff0{\\fonttbl{\\f0 Times New Roman;}{\\f1\\fmodern Courier New;}}\n" + styles + "\n" + walk([b for b in blocks if b[0] != "note"]) + "}\n").encode("ascii")
 
 
 READERS = {"docx": read_docx, "odt": read_odt, "epub": read_epub, "rtf": read_rtf}

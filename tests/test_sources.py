@@ -190,7 +190,10 @@ def test_footnotes():
     assert events.write_text(blocks) == "a[1] b[2] c[1] d[^none]\n\n[1] one\n\n[2] two\n\n    more\n"
     html = events.write_html(blocks)
     assert 'id="fnref-n-2" data-footnote-ref>1</a>' in html and html.endswith("</li>\n</ol>\n</section>\n") and html.count("↩") == 3
-    assert b"[2] two" in convert_bytes(b"a[^m]\n\n[^m]: two\n", [("markdown", "rtf")], {}, Report())[0][1].replace(b"[1]", b"[2]")
+    assert b"[1] two" in convert_bytes(b"a[^m]\n\n[^m]: two\n", [("markdown", "pdf"), ("pdf", "text")], {}, Report())[0][1]
+    for kind in ("docx", "odt", "rtf"):
+        there = convert_bytes(b"a[^m] *b*[^n]\n\n[^m]: two\n\n    more\n\n[^n]: three\n", [("markdown", kind), (kind, "markdown")], {}, Report())[0][1]
+        assert there == b"a[^1] *b*[^2]\n\n[^1]: two\n\n    more\n\n[^2]: three\n", kind
 
 
 def test_table_after_paragraph():
