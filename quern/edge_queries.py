@@ -401,3 +401,37 @@ def note_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = got.select(F.lit(f"{s} {t}").alias("edge"), "path", F.replace("content", F.lit("\\#"), F.lit("#")).cast("string").alias("content"), F.col("error.message").alias("error"))
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def _roman(n: int) -> str:
+    out = ""
+    for value, letters in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+        out, n = out + letters * (n // value), n % value
+    return out
+
+
+@query(f"select o_orderkey, roman, lpad('', cast((o_orderkey % 400) // 26 + 1 as int), chr(cast(97 + o_orderkey % 400 % 26 as int))) as letter from orders join (values {_values([(k, _roman(k + 1)) for k in range(400)])}) r(k, roman) on o_orderkey % 400 = k")
+def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey") % 400 + 1
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.list_number(n, "upperRoman").alias("roman"), T.list_number(n, "lowerLetter").alias("letter"))
+
+
+_LINES = "l_orderkey || ',' || l_linenumber || ',' || l_partkey || ',' || l_suppkey || ',' || l_returnflag || ',' || l_linestatus"
+_LINE_NAMES = ("order", "line", "part", "supplier", "returned", "status")
+
+
+def _lineitem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files of the lines of 2,000 orders each."""
+    li = table(spark, sf_dir, "lineitem")
+    lines = li.select((F.col("l_orderkey") / 2000).cast("long").cast("string").alias("path"), "l_orderkey", "l_linenumber", F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("line"))
+    files = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "line"))).alias("l"))
+    return files.select("path", F.concat(F.lit(",".join(_LINE_NAMES) + "\n"), F.array_join("l.line", "\n"), F.lit("\n")).cast("binary").alias("content"))
+
+
+@query(
+    """select cast(l_orderkey // 2000 as varchar) as path, count(*) as n_lines, sha256(string_agg('{"order":"' || l_orderkey || '","line":"' || l_linenumber || '","part":"' || l_partkey || '","supplier":"' || l_suppkey || '","returned":"' || l_returnflag
+    || '","status":"' || l_linestatus || '"}' || chr(10), '' order by l_orderkey, l_linenumber, l_orderkey || ',' || l_linenumber || ',' || l_partkey || ',' || l_suppkey || ',' || l_returnflag || ',' || l_linestatus)) as digest from lineitem group by all"""
+)
+def lineitem_csv_to_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = convert(_lineitem_files(spark, sf_dir), "csv", "jsonl")
+    return got.select("path", (F.size(F.split(F.col("content").cast("string"), "\n")) - 1).cast("long").alias("n_lines"), F.sha2("content", 256).alias("digest"))

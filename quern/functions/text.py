@@ -200,3 +200,15 @@ def unify_radicals(text: Column) -> Column:
     """Radicals as the ideographs that they stand for."""
     table = radicals()
     return F.translate(text, "".join(table), "".join(table.values()))
+
+
+def list_number(n: Column, kind: str) -> Column:
+    """A list item's number: decimal, lower or upper letters (z is followed by aa, bb), lower or upper Roman numerals."""
+    if kind.endswith("Letter"):
+        out = F.repeat(F.char(96 + F.pmod(n - 1, F.lit(26)) + 1), (F.floor((n - 1) / 26) + 1).cast("int"))
+    elif kind.endswith("Roman"):
+        place = lambda one, five, ten, k: F.element_at(F.array(*map(F.lit, ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten))), (F.floor(n / 10**k) % 10 + 1).cast("int"))
+        out = F.concat(F.repeat(F.lit("m"), F.floor(n / 1000).cast("int")), place("c", "d", "m", 2), place("x", "l", "c", 1), place("i", "v", "x", 0))
+    else:
+        out = n.cast("string")
+    return F.upper(out) if kind.startswith("upper") else out

@@ -228,13 +228,44 @@ def _converted(frame: DataFrame, path, content, source: str, target: str, **opti
     return got.select("path", "part_index", F.col("content").cast("string").alias("content"), F.size("losses").alias("n_losses"), F.col("error.kind").alias("error"))
 
 
-@query()
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n\f]+', ' ', 'g'))"""
+_MARKED = r"regexp_replace(regexp_replace({0}, '([\\`*_\[\]<>~|])', '\\\1', 'g'), '&(#?\w+;)', '\\&\1', 'g')"
+_PAGES = r"""with a as (select page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as article,
+      list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as links from pages),
+    parts as (select page_id, list_concat(
+        [array_to_string(list_transform(links, lambda x: '- ' || @link), chr(10)), @ad, '@heading' || @title],
+        list_transform(string_split_regex(regexp_extract(article, '(?s)</h1>(.*)$', 1), '</?p>'), lambda x: case when x like '<b>%' then '@bold' || @first || '@bold' else @other end),
+        [@footer]) as p from a)
+    select cast(page_id as varchar) as path, 0 as part_index, array_to_string(list_filter(p, lambda x: x <> ''), chr(10) || chr(10)) || chr(10) as content, @losses as n_losses, cast(null as varchar) as error from parts"""
+
+
+def _pages_sql(text: str, link: str, heading: str, title: str, bold: str, losses: int) -> str:
+    """The test pages as documents, by their few elements; text: what a writer makes of {0}."""
+    shown = lambda column: text.format(_PLAIN.format(column))
+    pieces = {
+        "link": link.format(shown("x[2]"), _PLAIN.format("x[1]")),
+        "ad": shown("""regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)"""),
+        "heading": heading,
+        "title": title.format(shown("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")),
+        "bold": bold,
+        "first": shown("replace(replace(x, '<b>', ''), '<br>', ' ')"),
+        "other": shown("replace(x, '<br>', ' ')"),
+        "footer": shown("regexp_extract(html, '(?s)<footer>(.*?)(</footer>|$)', 1)"),
+        "losses": str(losses),
+    }
+    out = _PAGES
+    for name, sql in pieces.items():
+        out = out.replace(f"@{name}", sql)
+    return out
+
+
+@query(_pages_sql(_MARKED, "'[' || {0} || '](' || {1} || ')'", "# ", r"regexp_replace({0}, '(#+)$', '\\\1')", "**", 0))
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return _converted(p, p.page_id, p.html, "html", "markdown")
 
 
-@query()
+@query(_pages_sql("{0}", "{0} || ' (' || {1} || ')'", "", "{0}", "", 1))
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return _converted(p, p.page_id, p.html, "html", "text")

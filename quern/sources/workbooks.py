@@ -269,7 +269,14 @@ def write_ods(sheets: list[tuple[str, list[list[str]]]], report: Report) -> byte
             for s in row:
                 text = re.sub(r" {2,}", lambda m: f' <text:s text:c="{len(m[0]) - 1}"/>', escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", s)))
                 text = "".join(f"<text:p>{p}</text:p>" for p in text.replace("\t", "<text:tab/>").split("\n")) if s else ""
-                kind = f' office:value-type="float" office:value="{s}"' if is_number(s) else ' office:value-type="string"' if s else ""
+                if is_number(s):
+                    kind = f' office:value-type="float" office:value="{s}"'
+                elif s in ("TRUE", "FALSE"):
+                    kind = f' office:value-type="boolean" office:boolean-value="{s.lower()}"'
+                elif (dated := iso_serial(s)) and dated[1] < 3:
+                    kind = f' office:value-type="date" office:date-value="{s}"'
+                else:
+                    kind = ' office:value-type="string"' if s else ""
                 cells.append(f"<table:table-cell{kind}>{text}</table:table-cell>" if s else "<table:table-cell/>")
             lines.append("<table:table-row>" + "".join(cells) + "</table:table-row>")
         body.append(f'<table:table table:name={quoteattr(name)}><table:table-column table:number-columns-repeated="{max(1, width)}"/>{"".join(lines) or "<table:table-row><table:table-cell/></table:table-row>"}</table:table>')
