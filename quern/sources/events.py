@@ -37,7 +37,7 @@ _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})[ \t]*(.*?)[ \t]*$")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?:( {1,4}(?! )| (?= {4}))|[ \t]*$)")
-_REFERENCE = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:[ \t]*\n?[ \t]+(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)")
+_REFERENCE = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)")
 _NOTE = re.compile(r" {0,3}\[\^([^\]\[\s]+)\]:[ \t]*")
 _IS_NOTE = "\0note"
 _HTML_BLOCK = re.compile(r" {0,3}<(?:(?:script|pre|style|textarea)(?:[\s>]|$)|!--|\?|![A-Za-z]|!\[CDATA\[|/?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?:\s|/?>|$))", re.I)
@@ -65,9 +65,13 @@ class _Blocks:
         self.notes: dict[str, tuple[str, list[tuple]]] = {}
 
     def parse(self, lines: list[str]) -> list[tuple]:
+        return self._parse(lines)[0]
+
+    def _parse(self, lines: list[str]) -> tuple[list[tuple], bool]:
+        """Blocks, and whether a blank line stands between any two of them."""
         out: list[tuple] = []
         paragraph: list[str] = []
-        k = 0
+        k, first, gapped = 0, next((k for k, s in enumerate(lines) if s.strip()), 0), False
 
         def close() -> None:
             if not paragraph:
@@ -84,6 +88,7 @@ class _Blocks:
         while k < len(lines):
             line = lines[k]
             blank = not line.strip()
+            gapped |= not blank and k > first and not lines[k - 1].strip()
             if blank:
                 close()
                 k += 1
@@ -133,14 +138,16 @@ class _Blocks:
                 k += 1
             elif re.match(r" {0,3}>", line):
                 close()
-                inner = []
+                inner, goes_on = [], None
                 while k < len(lines):
                     if m := re.match(r" {0,3}> ?", lines[k]):
                         inner.append(lines[k][m.end() :])
-                    elif not lines[k].strip() or self._starts(lines[k]) or not (inner and inner[-1].strip()):
+                        goes_on = None
+                    elif not lines[k].strip() or self._starts(lines[k]) or not (self._in_paragraph(inner) if goes_on is None else goes_on):
                         break
                     else:
-                        inner.append(lines[k])
+                        inner.append(self._lazy(lines[k]))
+                        goes_on = True
                     k += 1
                 out.append(("quote", self.parse(inner)))
             elif (m := _ITEM.match(line)) and (not paragraph or (line[m.end() :].strip() and (m[2] in "-+*" or m[2][:-1] == "1"))):
@@ -171,11 +178,38 @@ class _Blocks:
                 paragraph.append(line)
                 k += 1
         close()
-        return out
+        return out, gapped
+
+    @staticmethod
+    def _in_paragraph(lines: list[str]) -> bool:
+        """Whether the lines end inside a paragraph, which a line without marks may continue."""
+        fence, inside = None, False
+        for line in lines:
+            if fence:
+                if re.match(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}[ \t]*$", line):
+                    fence = None
+                continue
+            while m := re.match(r" {0,3}> ?", line) or (not inside or line[:1] != " ") and _ITEM.match(line):
+                line, inside = line[m.end() :], False
+            if m := _FENCE.match(line):
+                fence, inside = m[2], False
+            elif not line.strip() or _ATX.match(line) or _RULE.match(line):
+                inside = False
+            elif not inside:
+                inside = _indent(line) < 4
+        return inside and not fence
 
     def _starts(self, line: str) -> bool:
         return bool(_ATX.match(line) or _RULE.match(line) or _FENCE.match(line) or re.match(r" {0,3}>", line) or _ITEM.match(line) or _HTML_BLOCK.match(line))
 
+    @staticmethod
+    def _lazy(line: str) -> str:
+        """A line that only continues a paragraph, as it must stand to do no more than that."""
+        if _indent(line) >= 4:
+            return line
+        line = line.lstrip()
+        return "\\" + line if re.match(r"=+[ \t]*$", line) else line
+
     def _list(self, lines: list[str], k: int, out: list[tuple]) -> int:
         first = _ITEM.match(lines[k])
         kind = first[2] if first[2] in "-+*" else first[2][-1]
@@ -186,47 +220,38 @@ class _Blocks:
                 break
             width = len(m[1]) + len(m[2]) + (len(m[3]) if m[3] else 1)
             inner, k = [lines[k][width:]], k + 1
-            empty = not inner[0].strip()
+            empty, goes_on = not inner[0].strip(), None
             while k < len(lines):
                 if not lines[k].strip():
                     if empty and len(inner) == 1:
                         break
                     inner.append("")
+                    goes_on = None
                 elif _indent(lines[k]) >= width:
                     inner.append(lines[k][width:])
-                elif inner[-1].strip() and not self._starts(lines[k]):
-                    inner.append(lines[k].lstrip())
+                    goes_on = None
+                elif inner[-1].strip() and not self._starts(lines[k]) and (self._in_paragraph(inner) if goes_on is None else goes_on):
+                    inner.append(self._lazy(lines[k]))
+                    goes_on = True
                 else:
                     break
                 k += 1
             gap = 0
             while inner and not inner[-1].strip():
                 inner.pop()
-                gap += 1
+                gap += bool(inner)  # the mark's own line is no blank one
             while k < len(lines) and not lines[k].strip():
                 gap, k = gap + 1, k + 1
             task = re.match(r"\[([ xX])\][ \t]+(?=\S)", inner[0]) if inner else None
             if task:
                 inner[0] = inner[0][task.end() :]
-            blocks = self.parse(inner)
+            blocks, gapped = self._parse(inner)
             items.append((None if not task else task[1] != " ", blocks))
             again = k < len(lines) and (n := _ITEM.match(lines[k])) and (n[2] if n[2] in "-+*" else n[2][-1]) == kind and not _RULE.match(lines[k])
-            loose |= bool(gap and again) or self._gaps(inner, len(blocks))
+            loose |= bool(gap and again) or gapped
         out.append(("list", None if kind in "-+*" else int(first[2][:-1]), not loose, items))
         return k
 
-    @staticmethod
-    def _gaps(lines: list[str], blocks: int) -> bool:
-        """Whether blank lines part an item's own blocks."""
-        if blocks < 2:
-            return False
-        fence = False
-        for a, b in zip(lines, lines[1:], strict=False):
-            fence ^= bool(_FENCE.match(a))
-            if not fence and not a.strip() and b.strip() and _indent(b) < 2:
-                return True
-        return False
-
 
 def _label(s: str) -> str:
     return re.sub(r"\s+", " ", s.strip()).casefold()
@@ -240,11 +265,14 @@ def _unescape(s: str) -> str:
 
 _TOKEN = re.compile(
     r"""(?P<escape>\\[!-/:-@\[-`{-~])|(?P<hard>(?:\ {2,}|\\)\n\ *)|(?P<soft>\ ?\n\ *)|(?P<ticks>`+)|(?P<auto><(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+)>)
-    |(?P<tag><(?:[A-Za-z][\w-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?|/[A-Za-z][\w-]*\s*|!--[\s\S]*?--|\?[\s\S]*?\?|![A-Za-z][^>]*)>)
-    |(?P<entity>&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)|(?P<run>\*+|_+|~+)|(?P<open>!?\[)|(?P<close>\])|(?P<url>(?<![\w/])(?:https?://|ftp://|www\.)[^\s<]+)|(?P<mail>(?<![\w.+-])(?:mailto:|xmpp:)?[\w.+-]+@[\w-]+(?:\.[\w-]+)+)""",
+    |(?P<tag><(?:[A-Za-z][\w-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?|/[A-Za-z][\w-]*\s*|!--[\s\S]*?--|\?[\s\S]*?\?|![A-Za-z][^>]*|!\[CDATA\[[\s\S]*?\]\])>)
+    |(?P<entity>&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)|(?P<run>\*+|_+|~+)|(?P<open>!?\[)|(?P<close>\])|(?P<url>(?<![\w/])(?:https?://|ftp://|www\.)[^\s<]+)|(?P<mail>(?<![\w.+-])(?:mailto:|xmpp:)?[\w.+-]+@[\w-]+(?:\.[\w-]+)+(?:(?<=[\w])/[\w.@]*[\w@])?)""",
     re.X,
 )
-_TARGET = re.compile(r"""\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)""")
+_BARE = r"(?:[^\s()\\]|\\.)*"
+for _ in range(6):  # brackets in brackets
+    _BARE = rf"(?:[^\s()\\]|\\.|\({_BARE}\))*"
+_TARGET = re.compile(rf"""\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|({_BARE}))(?:\s+("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)""")
 
 
 def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
@@ -279,10 +307,15 @@ def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
         elif kind == "auto":
             nodes.append(("link", s[1:-1] if ":" in s.split("@")[0] else "mailto:" + s[1:-1], "", [("text", s[1:-1])]))
         elif kind == "url":
+            if any(isinstance(n, list) and n[0] in ("[", "![") for n in nodes):  # a text in brackets ends with them
+                s = s.split("]")[0]
             link = _bare(s)
             at = m.start() + len(link or s[:3])
             put(s[:3]) if not link else nodes.append(("link", ("http://" if link.startswith("www.") else "") + link, "", [("text", link)]))
         elif kind == "mail":
+            if "/" in s and not s.startswith("xmpp:"):  # only these have a part behind a slash
+                s = s[: s.index("/")]
+                at = m.start() + len(s)
             if s[-1] in "-_":
                 put(s)
             else:
@@ -397,9 +430,21 @@ def _joined(nodes: list[tuple]) -> list[tuple]:
     return out
 
 
+_MARGIN = re.compile(r"[ \t]*(?:(?:[-+*>]|\d{1,9}[.)])[ \t]+)*")
+
+
+def _untabbed(line: str) -> str:
+    """Tabs before a line's text, marks of lists and quotes included, as blanks up to the next fourth column."""
+    if "\t" not in line:
+        return line
+    margin = _MARGIN.match(line)[0]
+    return margin.expandtabs(4) + line[len(margin) :]
+
+
 def read_markdown(text: str) -> list[tuple]:
     parser = _Blocks()
-    blocks = parser.parse([s.expandtabs(4) if "\t" in s[:8] else s for s in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")])
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    blocks = parser.parse([_untabbed(line) for line in (lines[:-1] if not lines[-1] else lines)])
 
     def finish(block: tuple) -> tuple:
         kind = block[0]
@@ -789,12 +834,12 @@ def write_html(blocks: list[tuple], tight: bool = False, notes: _Notes | None =
     out = []
     notes = notes or _Notes(blocks)
     texts = [b for b in blocks if b[0] == "note"]
-    for b in blocks:
+    for k, b in enumerate(blocks):
         kind = b[0]
         if kind == "note":
             continue
         if kind == "p":
-            out.append(_html_inline(b[1], notes) + ("\n" if len(blocks) > 1 and tight else "") if tight else f"<p>{_html_inline(b[1], notes)}</p>\n")
+            out.append(_html_inline(b[1], notes) + ("\n" if k + 1 < len(blocks) else "") if tight else f"<p>{_html_inline(b[1], notes)}</p>\n")
         elif kind == "h":
             out.append(f"<h{b[1]}>{_html_inline(b[2], notes)}</h{b[1]}>\n")
         elif kind == "code":
