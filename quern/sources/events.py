@@ -277,6 +277,7 @@ _TARGET = re.compile(rf"""\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|({_BARE}))(?:\s+("(?:[^
 
 def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
     nodes: list = []  # finished inlines, or lists: delimiter runs and brackets
+    opened: list[int] = []  # places of the brackets that are open
     at = 0
 
     def put(s: str) -> None:
@@ -307,7 +308,7 @@ def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
         elif kind == "auto":
             nodes.append(("link", s[1:-1] if ":" in s.split("@")[0] else "mailto:" + s[1:-1], "", [("text", s[1:-1])]))
         elif kind == "url":
-            if any(isinstance(n, list) and n[0] in ("[", "![") for n in nodes):  # a text in brackets ends with them
+            if opened:  # a text in brackets ends with them
                 s = s.split("]")[0]
             link = _bare(s)
             at = m.start() + len(link or s[:3])
@@ -332,12 +333,13 @@ def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
                 left, right = left and (not right or _punctuation(before)), right and (not left or _punctuation(after))
             nodes.append([s[0], len(s), left, right, len(s)])
         elif kind == "open":
+            opened.append(len(nodes))
             nodes.append([s, at])
         else:
-            start = next((k for k in range(len(nodes) - 1, -1, -1) if isinstance(nodes[k], list) and nodes[k][0] in ("[", "![")), None)
-            if start is None:
+            if not opened:
                 put("]")
                 continue
+            start = opened.pop()
             mark, inside = nodes[start][0], text[nodes[start][1] : m.start()]
             if references.get(_label(inside), ("", ""))[1] == _IS_NOTE:
                 nodes[start:] = [("text", mark[:-1])] * (mark == "![") + [("ref", _label(inside[1:]))]
@@ -358,7 +360,10 @@ def _inlines(text: str, references: dict[str, tuple[str, str]]) -> list[tuple]:
                 inner = _joined([x for n in inner for x in (n[3] if n[0] == "link" else [n])])
             nodes[start:] = [("img" if mark == "![" else "link", *target, inner)]
             if mark == "[":
-                nodes = [("text", n[0]) if isinstance(n, list) and n[0] == "[" else n for n in nodes]
+                for k in opened:
+                    if nodes[k][0] == "[":
+                        nodes[k] = ("text", "[")
+                opened = [k for k in opened if isinstance(nodes[k], list)]
             at = end
     return _emphasis(nodes)
 
