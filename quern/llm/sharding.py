@@ -3,7 +3,8 @@
 Documents with equal texts are one group and stay together. Groups are laid out in the order of a hash of their text; the
 ATOMS leading values of that hash make the ordered atoms, whose sizes fit one row whatever the corpus holds. A binary
 search finds the least capacity with which filling shards greedily, in that order, takes no more shards than there are;
-the shards are cut there. An atom that alone outweighs an equal share of what is left, such as a very large group of
+the shards are cut there. As cuts lie between atoms, the capacity is over that of the best cuts between single groups by less
+than one atom's bytes, on average a 65,536th of all. An atom that alone outweighs an equal share of what is left, such as a very large group of
 copies, gets a shard of its own first, so that it doesn't set the capacity of the others.
 
 A null text has no bytes and counts as empty for its hash and checksum. Rows that share a doc_id are rows of their own. An

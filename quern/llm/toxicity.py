@@ -86,7 +86,7 @@ def letters_of(docs: DataFrame) -> Letters:
     schema = pa.schema([("t", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             yield arrow(schema, trigrams([t or "" for t in batch.column(0).to_pylist()]).items())
 
     counted = docs.select("text").mapInArrow(tidy(run), "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
