@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,6 +244,19 @@ def attempt(content: bytes | None, hops: list[tuple[str, str]], options: dict, s
 #: Bytes of results that are held back before they leave a task.
 MOST_BYTES = 16 << 20
 RESULT = "path string, source string, target string, part_index int, part_name string, content binary, losses array<struct<line int, column int, description string>>, warnings array<string>, error struct<kind string, line int, column int, message string>"
+_LOSS = pa.struct([("line", pa.int32()), ("column", pa.int32()), ("description", pa.string())])
+_ERROR = pa.struct([("kind", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("message", pa.string())])
+_SCHEMA = pa.schema([("path", pa.string()), ("source", pa.string()), ("target", pa.string()), ("part_index", pa.int32()), ("part_name", pa.string()), ("content", pa.binary()), ("losses", pa.list_(_LOSS)), ("warnings", pa.list_(pa.string())), ("error", _ERROR)])
+
+
+def _named(kind: pa.StructType, values: tuple | None) -> dict | None:
+    return None if values is None else dict(zip([f.name for f in kind], values, strict=True))
+
+
+def _batch(held: list[tuple]) -> pa.RecordBatch:
+    *columns, losses, warnings, errors = map(list, zip(*held, strict=True))
+    columns += [[[_named(_LOSS, x) for x in xs] for xs in losses], warnings, [_named(_ERROR, e) for e in errors]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def convert(files: DataFrame, source: str, target: str, via: str | None = None, strict: bool = False, path_col: str = "path", content_col: str = "content", **options) -> DataFrame:
@@ -263,23 +276,20 @@ def convert_along(files: DataFrame, hops: list[tuple[str, str]], strict: bool =
             return [(*head, None, None, None, report.losses, report.warnings, error)]
         return [(*head, k, name, body, report.losses, report.warnings, None) for k, (name, body) in enumerate(parts)]
 
-    def frame(held: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(held, columns=["path", "source", "target", "part_index", "part_name", "content", "losses", "warnings", "error"]).astype({"part_index": "Int32"})
-
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for row in one_file(path, content):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for row in one_file(path, content.as_py()):
                     held.append(row)
                     size += len(row[5] or b"") + 200
                     if size >= MOST_BYTES:
-                        yield frame(held)
+                        yield _batch(held)
                         held, size = [], 0
         if held:
-            yield frame(held)
+            yield _batch(held)
 
-    return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content")).mapInPandas(run, RESULT)
+    return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content")).mapInArrow(run, RESULT)
 
 
 def summary(results: DataFrame) -> DataFrame:
