@@ -429,23 +429,34 @@ def read_odt(content: bytes, report: Report) -> list[tuple]:
     for part in [_xml(z, "styles.xml") if "styles.xml" in z.namelist() else None, root]:
         for s in part.iter(_STYLE + "style") if part is not None else ():
             p = s.find(_STYLE + "text-properties")
-            got = []
-            if p is not None:
-                got = [k for k, yes in (("del", p.get(_STYLE + "text-line-through-style", "none") != "none"), ("em", p.get(_FO + "font-style") == "italic"), ("strong", p.get(_FO + "font-weight", "normal") in ("bold", "700", "800", "900"))) if yes]
-            marks[s.get(_STYLE + "name")] = got
+            own = {}
+            for kind, name, plain in (("del", _STYLE + "text-line-through-style", ("none",)), ("em", _FO + "font-style", ("normal",)), ("strong", _FO + "font-weight", ("normal", "100", "200", "300", "400", "500"))):
+                if p is not None and p.get(name) is not None:
+                    own[kind] = p.get(name) not in plain
+            marks[s.get(_STYLE + "name")] = own
             parents[s.get(_STYLE + "name")] = s.get(_STYLE + "parent-style-name", "")
         for s in part.iter(_T + "list-style") if part is not None else ():
             ordered[s.get(_STYLE + "name")] = any(x.tag == _T + "list-level-style-number" for x in s)
 
     notes: list[tuple] = []
 
+    def looks(name: str) -> list[str]:
+        """What a style and those that it builds on switch on; the nearest counts."""
+        on: dict[str, bool] = {}
+        for _ in range(20):
+            on = marks.get(name, {}) | on
+            if not parents.get(name):
+                break
+            name = parents[name]
+        return [k for k in ("del", "em", "strong") if on.get(k)]
+
     def inline(e) -> list[tuple]:
         out = [("text", re.sub(r"\s+", " ", e.text))] if e.text else []
         for x in e:
             if x.tag == _T + "span":
                 name = x.get(_T + "style-name", "")
                 inner = inline(x)
-                out += [("code", events._plain(inner))] if "code" in (name + parents.get(name, "")).lower() or "Source" in name + parents.get(name, "") else _wrapped(inner, marks.get(name, []))
+                out += [("code", events._plain(inner))] if "code" in (name + parents.get(name, "")).lower() or "Source" in name + parents.get(name, "") else _wrapped(inner, looks(name))
             elif x.tag == _T + "a":
                 out.append(("link", x.get(_XLINK + "href", ""), "", _merged(inline(x))))
             elif x.tag == _T + "s":
@@ -460,7 +471,18 @@ def read_odt(content: bytes, report: Report) -> list[tuple]:
                 k = len(notes) - 1
                 notes[k] = ("note", notes[k][1], body(inside) if inside is not None else [])
                 out.append(("ref", notes[k][1]))
-            elif not x.tag.endswith(("}annotation", "}frame", "}tracked-changes")):
+            elif x.tag.endswith("}annotation"):
+                report.loss("comments are dropped")
+            elif x.tag.endswith("}frame"):
+                boxes = [b for b in x if b.tag.endswith("}text-box")]
+                if boxes:
+                    inside = [b for box in boxes for b in body(box)]
+                    out.append(("text", " " + events.write_text(inside).strip().replace("\n", " ")))
+                else:
+                    report.loss("pictures are dropped")
+                    title = next((t.text for t in x if t.tag.endswith(("}title", "}desc")) and t.text), None)
+                    out += [("text", title)] if title else []
+            elif not x.tag.endswith(("}annotation-end", "}tracked-changes")):
                 out += inline(x)
             if x.tail:
                 out.append(("text", re.sub(r"\s+", " ", x.tail)))

@@ -298,8 +298,32 @@ def read_text(content: bytes, report: Report, page: str | None = None) -> str:
     return "".join("".join("\n".join(t for _, t in block) + "\n\n" for block in blocks) + "\f" for blocks in pages)
 
 
+_BULLET = re.compile(r"[•◦▪‣●○■]\s+")
+_NUMBER = re.compile(r"(\d{1,4})[.)]\s+")
+
+
+def _items(blocks: list[tuple]) -> list[tuple]:
+    """Paragraphs that begin with bullets, or with numbers that count up, as lists."""
+    out: list[tuple] = []
+    for b in blocks:
+        first = b[1][0][1] if b[0] == "p" and b[1] and b[1][0][0] == "text" else ""
+        m = _BULLET.match(first) or _NUMBER.match(first)
+        number = int(m[1]) if m and m.re is _NUMBER else None
+        before = out[-1] if out and out[-1][0] == "list" else None
+        goes_on = before is not None and m is not None and (before[1] is None if number is None else before[1] is not None and before[1] + len(before[3]) == number)
+        if m is None or number is not None and not goes_on and number != 1:
+            out.append(b)
+            continue
+        item = (None, [("p", [x for x in [("text", first[m.end() :]), *b[1][1:]] if x != ("text", "")])])
+        if goes_on:
+            before[3].append(item)
+        else:
+            out.append(("list", number, True, [item]))
+    return out
+
+
 def read_blocks(content: bytes, report: Report, page: str | None = None) -> list[tuple]:
-    """Paragraphs by the gaps between lines; lines in a larger size than most are headings."""
+    """Paragraphs by the gaps between lines; lines in a larger size than most are headings, marked ones lists."""
     pdf = Pdf(content)
     pages = [_paragraphs(pdf.lines(p)) for p in _chosen(pdf, page)]
     weight: dict[float, int] = {}
@@ -313,9 +337,13 @@ def read_blocks(content: bytes, report: Report, page: str | None = None) -> list
         inlines = [x for k, (_, t) in enumerate(block) for x in [("soft",)] * (k > 0) + [("text", t)]]
         if size in larger:
             out += [("h", larger.index(size) + 1, [("text", t)]) for _, t in block]
-        else:
-            out.append(("p", inlines))
-    return out
+            continue
+        start = 0
+        for k in range(1, len(inlines) + 1):  # a mark begins an item, wherever its line stands
+            if k == len(inlines) or inlines[k][0] == "soft" and (_BULLET.match(inlines[k + 1][1])):
+                out.append(("p", inlines[start:k]))
+                start = k + 1
+    return _items(out)
 
 
 def read_image(content: bytes, report: Report, page: str | None = None) -> np.ndarray:

@@ -71,3 +71,13 @@ def test_rtf_notes_and_fields():
     blocks = office.read_rtf(rb'{\rtf1\ansi a{\super\chftn}{\footnote\pard {\super\chftn} one\par two} b{\field{\*\fldinst HYPERLINK "http://x.y"}{\fldrslt link}} c{\annotation gone}\par d\par}', report)
     assert [b[0] for b in blocks] == ["p", "p", "note"] and events.write_text([blocks[2]]).split() == ["[1]", "one", "two"]
     assert events.write_markdown(blocks[:1]) == "a[^1] b[link](http://x.y) c\n"
+
+
+def test_open_document_styles_boxes_and_comments():
+    spaces = " ".join(f'xmlns:{k}="urn:oasis:names:tc:opendocument:xmlns:{v}:1.0"' for k, v in (("office", "office"), ("text", "text"), ("style", "style"), ("fo", "xsl-fo-compatible"), ("draw", "drawing"), ("svg", "svg-compatible")))
+    styles = '<style:style style:name="A"><style:text-properties fo:font-weight="bold"/></style:style><style:style style:name="B" style:parent-style-name="A"><style:text-properties fo:font-style="italic"/></style:style><style:style style:name="C" style:parent-style-name="B"><style:text-properties fo:font-weight="normal"/></style:style>'
+    body = '<text:p><text:span text:style-name="B">x</text:span> <text:span text:style-name="C">y</text:span><office:annotation><text:p>no</text:p></office:annotation><draw:frame><draw:text-box><text:p>box</text:p></draw:text-box></draw:frame><draw:frame><draw:image/><svg:title>pic</svg:title></draw:frame></text:p>'
+    report = Report()
+    blocks = office.read_odt(_zip([("content.xml", f"<office:document-content {spaces}><office:automatic-styles>{styles}</office:automatic-styles><office:body><office:text>{body}</office:text></office:body></office:document-content>")]), report)
+    assert events.write_markdown(blocks) == "***x*** *y* boxpic\n"
+    assert {x[2] for x in report.losses} == {"comments are dropped", "pictures are dropped"}
