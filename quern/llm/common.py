@@ -91,7 +91,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> None:
+    """Batches of texts that go to Python have so many bytes at most, unless the session has set a bound of its own.
+
+    Spark's default of 64 MB stands several times in an executor's memory at once.
+    """
+    if spark.conf.get(_BATCH).lower().rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(most_bytes))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, id_text, in_batches, slices, text_bytes, tidy
+from quern.llm.common import fresh, id_text, in_batches, settle, slices, text_bytes, tidy
 
 #: What separates words: ASCII apart from digits and letters.
 NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -34,7 +34,7 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_BYTES = 8 << 20
 SAMPLE = 16
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 
 
 def split(text: str | None) -> list[str]:
@@ -315,6 +315,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        settle()
         return pd.Series([remove(t, [list(x) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     rows = _keyed(docs, id_col, text_col)

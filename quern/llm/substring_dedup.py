@@ -8,7 +8,7 @@ hashes: a window goes if the history or a document with a smaller id has it. Wha
 runs are compacted into one that holds each fingerprint once.
 
 Before windows leave a task, equal ones of its documents meet: only those of the least doc_id go on, the others are known
-to go, so that a passage, however often it is copied, reaches its bucket once from each million words or so.
+to go, so that a passage, however often it is copied, reaches its bucket once from each 400,000 words or so.
 
 Null texts have no words; texts shorter than a window are left as they are. A null doc_id counts as the smallest. Rows that
 share a doc_id never remove each other's words. An empty table gives an empty result.
@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, cut, drop_files, fresh, id_bounds, id_text, in_batches, mix64, scratch, shuffle_partitions, slices, text_bytes, tidy
+from quern.llm.common import arrow, cut, drop_files, fresh, id_bounds, id_text, in_batches, mix64, scratch, settle, shuffle_partitions, slices, text_bytes, tidy
 
 LEAST_ID = -(1 << 63)
 #: Text for a bucket, which is gathered in memory, and for a task, which holds one bucket after the other.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 256 << 20
-PACK_WORDS = 600_000
+PACK_WORDS = 400_000
 #: Batches of a table that comes as a whole, and runs from which on they are compacted.
 BATCHES, MOST_RUNS = 3, 1
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -405,6 +405,7 @@ def dedup_texts(docs: DataFrame, size: int = 50, index: WindowIndex | None = Non
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        settle()
         out = []
         for text, s in zip(texts, spans, strict=True):
             out.append(b" ".join(kept_words(split(text), [{"first": x[0], "n": x[1]} for x in s], size)).decode("utf-8", "surrogatepass"))
