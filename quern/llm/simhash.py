@@ -198,5 +198,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     return rows.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id by a Jaccard similarity of 0.8 or more of the shingle sets.
+
+    Such pairs differ in ten of 64 bits on average, so that no byte of their fingerprints need be equal. Positional bytes of
+    min-hash values take the fingerprint's place: postings, shared bytes counted, the rest verified.
+    """
+    from quern.llm.jaccard import near_duplicates as by_sets
+
+    return by_sets(docs, words, id_col, text_col)
+
+
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
