@@ -7,7 +7,8 @@ and left the way v is, for as long as these parts lived, that is until rank r. A
 what stays open, every word has one path, and its labels are the tokens that applying the merges would give. Encoding
 runs a pre-split word through the transition table; decoding emits the labels of the arcs.
 
-Nulls count as empty texts; empty texts have no tokens. Equal texts get equal tokens; texts may be of any length.
+Nulls count as empty texts; empty texts have no tokens. Equal texts get equal tokens; texts may be of any length. Rows that
+share a doc_id are rows of their own; further columns are of no account. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ get tables of their own in the same way. A score is the sum of the looked-up val
 for whole batches at once.
 
 Null texts count as empty; empty texts have features like any other and so a score. Equal texts get equal scores. Without
-labelled rows of both classes the tables stay empty and every score is the training share of label 1, or one half.
+labelled rows of both classes the tables stay empty and every score is the training share of label 1, or one half. Rows that
+share a doc_id are rows of their own; of several labels of an id the least counts. Further columns, whatever their names, are
+of no account. An empty table gives an empty result.
 """
 
 from __future__ import annotations

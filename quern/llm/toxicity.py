@@ -6,7 +6,9 @@ The best path under a character trigram model of all texts' plain words, found b
 weigh in as in a noisy or, and a logistic curve turns the weights of the strongest three into a score.
 
 Null texts count as empty; empty texts have no signs and get the score of those. Equal texts get equal scores. Without
-labelled rows of both classes there are no signs, and every score is the same.
+labelled rows of both classes there are no signs, and every score is the same. Rows that share a doc_id are rows of their own;
+of several labels of an id the least counts. Further columns, whatever their names, are of no account. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
