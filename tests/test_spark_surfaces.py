@@ -17,6 +17,22 @@ def test_data_sources(spark, tmp_path):
     assert [r.fields for r in book.option("sheet", "B").load().collect()] == [["y"]]
 
 
+def test_readers_through_spark(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x;y\n1;"2\n3"\n')
+    (tmp_path / "b.tsv").write_text("p\tq\n\nr\ts\n")
+    (tmp_path / "c.jsonl").write_text('{"k":1}\n{"m":"v"}\n')
+    (tmp_path / "d.xlsx").write_bytes(workbooks.write_xlsx([("A", [["x"], ["1"]]), ("B", [["y"]])], Report()))
+    (tmp_path / "e.txt").write_text("no table")
+    got = tables.read_rows(spark, str(tmp_path))
+    assert sorted((r.path[-5:], r.line, r.fields) for r in got.collect()) == sorted([("a.csv", 1, ["x", "y"]), ("a.csv", 2, ["1", "2\n3"]), ("b.tsv", 1, ["p", "q"]), ("b.tsv", 3, ["r", "s"]), ("jsonl", 0, ["k", "m"]), ("jsonl", 1, ["1", ""]), ("jsonl", 2, ["", "v"])])
+    assert [(r.part, r.fields) for r in tables.read_workbooks(spark, str(tmp_path)).orderBy("part", "line").collect()] == [("A", ["x"]), ("A", ["1"]), ("B", ["y"])]
+    assert [r.fields for r in tables.read_workbooks(spark, str(tmp_path), "B").collect()] == [["y"]]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines/big.csv").write_text("a,b\n" + '1,"x,y"\n\n' * 5000)
+    lines = tables.read_lines(spark, str(tmp_path / "lines"))
+    assert lines.count() == 5001 and {tuple(r.fields) for r in lines.collect()} == {("a", "b"), ("1", "x,y")}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"a":[1,"x"]}')
