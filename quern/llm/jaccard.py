@@ -1,8 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word shingles, for the pipeline.
 
 Two texts are linked if the sets of their shingles of five words have a similarity of 0.8 or more, which is checked on the
-sets themselves (XXH64 of each shingle). Candidates come from min-hash bands: BANDS lists of ROWS least values each, of
-which a pair at exactly 0.8 shares none with probability (1 - 0.8 ** 5) ** 32, or 3 in a million, and a closer pair less.
+sets themselves (XXH64 of each shingle). The sets' SimHash fingerprints are linked first, as operator 2 does: postings of
+positional bytes, shared bytes counted, up to BITS differing bits; equal fingerprints are linked too. Links that the sets
+confirm join most near copies. At 0.8 some ten bits differ, so further candidates come from min-hash bands, for what is not
+joined yet: BANDS lists of ROWS least values each, of which a pair at exactly 0.8 shares none with probability
+(1 - 0.8 ** 5) ** 32, or 3 in a million, and a closer pair less.
 Pairs with under COMMON of all 160 least values' low bytes in common aren't checked in the rounds below; at 0.8, 128 are common
 on average, and under 99 with a probability below one in a million. Sets are made anew for the texts that share a list.
 
@@ -27,21 +30,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import simhash
 from quern.llm.common import cut, id_text, in_batches, mix64, settle, slices, tidy
 from quern.llm.components import components
-from quern.llm.simhash import LOWER, signed
+from quern.llm.simhash import LOWER, of_hashes, signed
 
 WORDS = 5
 #: A similarity of 4 / 5: the common shingles of both are 4 / 9 of the two sets' sizes or more.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 5
+#: Differing bits of SimHash fingerprints up to which operator 2's postings bring every pair together.
+BITS = 4
 COMMON = 99
 #: Rounds of one pair a text, and bytes of sets in a part of a list.
 ROUNDS, CHUNK_BYTES = 2, 16 << 20
 _RANDOM = np.random.default_rng(42)
 _FLIP, _TIMES = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(2))
-NODE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("low", pa.binary()), ("keys", pa.list_(pa.int64()))])
-NODE_SQL = "doc_id long, node long, n long, low binary, keys array<long>"
+NODE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("low", pa.binary()), ("keys", pa.list_(pa.int64()))])
+NODE_SQL = "doc_id long, node long, n long, fp long, low binary, keys array<long>"
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -82,7 +88,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Of each row its node, number of shingles, the low bytes of its least values, and its band keys; the empty set has none."""
+    """Of each row its node, number of shingles, fingerprint, the low bytes of its least values, and its band keys; the empty set has none."""
 
     def run(batches):
         for batch in slices(batches):
@@ -93,7 +99,7 @@ def nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 keys = [bands(x) if len(s) else np.zeros(0, np.int64) for x, s in zip(least, sets, strict=True)]
                 # values spread by one more step, as a product's low bits follow its factor's
                 low = [mix64(x).astype(np.uint8).tobytes() for x in least]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(low, pa.binary()), _lists(keys)], schema=NODE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([signed(of_hashes(s)) for s in sets], pa.int64()), pa.array(low, pa.binary()), _lists(keys)], schema=NODE)
 
     return docs.mapInArrow(tidy(run), NODE_SQL)
 
@@ -111,6 +117,16 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
+def fingerprint_links(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """(u, v) of nodes whose fingerprints are equal or linked by operator 2; the sets have yet to confirm them."""
+    entries = rows.where("n > 0").select("node", "fp").distinct()
+    classes = cut(entries.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = entries.join(classes, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    a, b = (classes.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "uv")
+    near = simhash.links(classes.select("fp"), bits).join(a, "u").join(b, "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    return equal.unionByName(near)
+
+
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     settle()
     x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BANDS * ROWS) for s in (a, b))
@@ -232,16 +248,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     """doc_id and component_id: the least doc_id that links reach, its own included."""
     docs = id_text(docs, id_col, text_col)
     rows = cut(nodes(docs, words))
+    near = cut(fingerprint_links(rows))
     lists = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.explode("keys").alias("key"))
     shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("key")
     mixed = cut(lists.join(shared, "key", "left_semi").select("key", "node", "n", F.col("node").alias("root")))
     # the sets of all that may be asked for, made anew from one row each
-    root = cut(mixed.select("node").distinct().withColumn("root", F.col("node")))
+    root = cut(mixed.select("node").union(near.select("u")).union(near.select("v")).distinct().withColumn("root", F.col("node")))
     asked = rows.join(root.select("node"), "node", "left_semi")
     lows = cut(asked.groupBy("node").agg(F.first("low").alias("low")))
     ids = asked.groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = cut(sets_of(texts, words).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    root = _joined(root, _alike(near, sets))
+    mixed = _mixed(mixed, root)
     for salt in range(ROUNDS):
         if not mixed.limit(1).count():
             break

@@ -54,6 +54,14 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already; none: zero."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -201,8 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
 def similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id by a Jaccard similarity of 0.8 or more of the shingle sets.
 
-    Such pairs differ in ten of 64 bits on average, so that no byte of their fingerprints need be equal. Positional bytes of
-    min-hash values take the fingerprint's place: postings, shared bytes counted, the rest verified.
+    The fingerprints of the sets go through links() first, and what it links is checked on the sets. Pairs at 0.8 differ in
+    ten of 64 bits on average, so that no byte need be equal; those that links() can't see are found by min-hash bands.
     """
     from quern.llm.jaccard import near_duplicates as by_sets
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quern.llm import jaccard
+from quern.llm import jaccard, simhash
 
 
 def grams(text):
@@ -64,3 +64,27 @@ def test_pairs_of_similarity_080_are_linked(spark, monkeypatch, texts, chunk, ro
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(root))
     kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
     assert kept == set(root)
+
+
+def test_fingerprints_are_linked_first(spark, monkeypatch):
+    """Near copies within four bits of each other are joined by their fingerprints alone, with no list of min-hash values."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("aeinrstlo") for _ in range(6))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(400)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            copy[rng.randrange(400)] = word()
+            texts.append(" ".join(copy))
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "_left", lambda mixed, sets: spark.createDataFrame([], "u long, v long"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    prints = [simhash.of_hashes(jaccard.shingles(t)) for t in texts]
+    pairs = [(a, b) for a in range(120) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert len(pairs) > 60 and all(a // 4 == b // 4 for a, b in pairs)
+    assert all(got[a] == got[b] for a, b in pairs)
+    assert all(i // 4 == c // 4 for i, c in got.items()) and len(set(got.values())) > 30
+    assert prints[0] == simhash.fingerprint(texts[0], 5) and simhash.of_hashes(jaccard.shingles("")) == 0
