@@ -11,9 +11,10 @@ on average, and under 99 with a probability below one in a million. Sets are mad
 
 Only links that join two components are looked for. In each of ROUNDS rounds a list that still has several components names
 one of its texts, the same one as others do where it can, and each text of another component is checked against one of those
-that its lists name: a pair a text at most. What is left is checked inside the lists, set by set, for the entries outside a list's
-largest component: long lists are cut into parts of CHUNK_BYTES of sets, each of which these entries visit, and only links
-come out. So a pair is left out only if it can't change the components.
+that its lists name: a pair a text at most. Rounds are left out once the sets of all such lists fit one part. What is left is
+checked inside the lists, set by set, for the entries outside a list's largest component: long lists are cut into parts of
+CHUNK_BYTES of sets, each of which these entries visit, and only links come out. So a pair is left out only if it can't change
+the components.
 
 Texts of equal sets are one node, named by a 64-bit digest. Texts of under five words have one shingle, null and empty ones
 none; these are one node.
@@ -22,6 +23,7 @@ none; these are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,8 @@ BITS = 4
 COMMON = 99
 #: Rounds of one pair a text, and bytes of sets in a part of a list.
 ROUNDS, CHUNK_BYTES = 2, 16 << 20
+#: Links, of 16 bytes each, up to which the driver joins them.
+IN_DRIVER = 1 << 16
 _RANDOM = np.random.default_rng(42)
 _FLIP, _TIMES = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(2))
 NODE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("low", pa.binary()), ("keys", pa.list_(pa.int64()))])
@@ -225,7 +229,7 @@ def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after the links; only their ends' roots go through the search for components."""
     ends = [root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"]
     between = links.join(ends[0], "u").join(ends[1], "v").where("root_u != root_v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-    step = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    step = components(between, in_driver=IN_DRIVER).select(F.col("node").alias("old"), F.col("root").alias("new"))
     return cut(root.join(step, root["root"] == step["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
@@ -244,6 +248,15 @@ def _named(mixed: DataFrame, salt: int) -> DataFrame:
     return others.select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
 
 
+def _set_bytes(mixed: DataFrame) -> int:
+    """Bytes of the sets of all entries."""
+    return 8 * (mixed.agg(F.sum("n")).first()[0] or 0)
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, links).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id: the least doc_id that links reach, its own included."""
     docs = id_text(docs, id_col, text_col)
@@ -259,15 +272,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     ids = asked.groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = cut(sets_of(texts, words).groupBy("node").agg(F.first("shingles").alias("shingles")))
-    root = _joined(root, _alike(near, sets))
-    mixed = _mixed(mixed, root)
+    waiting = [near]
     for salt in range(ROUNDS):
-        if not mixed.limit(1).count():
+        if _set_bytes(mixed) <= CHUNK_BYTES:
             break
-        root = _joined(root, _alike(_close(_named(mixed, salt), lows), sets))
-        mixed = _mixed(mixed, root)
-    if mixed.limit(1).count():
-        root = _joined(root, cut(_left(mixed, sets)))
+        root = _joined(root, _alike(_all([*waiting, _close(_named(mixed, salt), lows)]), sets))
+        mixed, waiting = _mixed(mixed, root), []
+    found = [_alike(near, sets) for near in waiting]
+    if _set_bytes(mixed):
+        found.append(cut(_left(mixed, sets)))
+    if found:
+        root = _joined(root, _all(found))
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = classes.join(least, "root").select("node", "component_id")

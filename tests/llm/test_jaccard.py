@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from quern.llm import jaccard, simhash
+from quern.llm.components import components
 
 
 def grams(text):
@@ -88,3 +89,27 @@ def test_fingerprints_are_linked_first(spark, monkeypatch):
     assert all(got[a] == got[b] for a, b in pairs)
     assert all(i // 4 == c // 4 for i, c in got.items()) and len(set(got.values())) > 30
     assert prints[0] == simhash.fingerprint(texts[0], 5) and simhash.of_hashes(jaccard.shingles("")) == 0
+
+
+def test_few_links_are_joined_in_the_driver(spark, monkeypatch):
+    rng = random.Random(14)
+    nodes = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    edges = [(a, b) for _ in range(300) for a, b in [rng.sample(nodes, 2)]] + [*zip(nodes[:60], nodes[1:61], strict=True), (5, 5), (None, 5)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    want = sorted(components(table).collect())
+    assert want and sorted(components(table, in_driver=1000).collect()) == want
+    assert components(table.where("false"), in_driver=1000).collect() == []
+
+    docs = spark.createDataFrame(list(enumerate(drifted()[:40])), "doc_id long, text string")
+
+    def run():
+        spark.sparkContext.setJobGroup(name := f"near-{rng.random()}", "")
+        rows = sorted(jaccard.near_duplicates(docs).collect())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    rows, few = run()
+    monkeypatch.setattr(jaccard, "IN_DRIVER", 0)
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 4000)
+    again, many = run()
+    assert rows == again and few < 0.5 * many
