@@ -284,3 +284,9 @@ def test_convert(spark):
     parts = convert(spark.createDataFrame([("t.md", bytearray(b"# A\n\n|x|\n|-|\n|1|\n\n# B\n\n|z|\n|-|\n|3|\n"))], "path string, content binary"), "markdown", "csv").orderBy("part_index").collect()
     assert [(p.part_name, p.content) for p in parts] == [("A", b"x\n1\n"), ("B", b"z\n3\n")]
     assert convert(files.limit(1), "csv", "numbers").first().error.kind == "unsupported"
+
+
+def test_html_references_without_semicolon_stay():
+    read = lambda h: events.write_markdown(events.read_html(h))
+    assert read("<p>a &amp;&amp;&amp</p>") == "a &&&amp\n"
+    assert read("<p>a &amp;&am &nope; &ampx; &eacute; &#233; &copy 1</p>") == "a &&am \\&nope; \\&ampx; é é &copy 1\n"
