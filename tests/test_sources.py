@@ -290,3 +290,7 @@ def test_html_references_without_semicolon_stay():
     read = lambda h: events.write_markdown(events.read_html(h))
     assert read("<p>a &amp;&amp;&amp</p>") == "a &&&amp\n"
     assert read("<p>a &amp;&am &nope; &ampx; &eacute; &#233; &copy 1</p>") == "a &&am \\&nope; \\&ampx; é é &copy 1\n"
+
+
+def test_html_to_text_keeps_cut_references():
+    assert events.write_text(events.read_html("<h1>x &amp;&amp</h1><p>&quot;y&quo &lt</p>")) == 'x &&amp\n\n"y&quo &lt\n'
