@@ -41,6 +41,7 @@ FUNCTIONS = {
     "href_escape": (_over(events.address), "string"),
     "markdown_to_html": (_over(lambda t: events.write_html(events.read_markdown(t))), "string"),
     "html_to_markdown": (_over(lambda t: events.write_markdown(events.read_html(t))), "string"),
+    "first_heading": (_over(lambda t: events.first_heading(events.from_json(t))), "string"),
     "html_to_text": (_over(lambda t: events.write_text(events.read_html(t))), "string"),
     "yaml_to_json": (_over(lambda t: rows.dump_json(trees.parse_yaml(t, rows.Report()))), "string"),
     "sniff_delimiter": (_over(rows.delimiter_of), "string"),

@@ -48,3 +48,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_headings_with_addresses_and_quotes(spark, tmp_path):
+    pages = [(1, '<article><h1>a &amp; x.42@mail8.example.com b</h1></article>'), (2, "<h1>token = &quot;7f\\ &amp;amp</h1>"), (3, "<p>none</p>")]
+    spark.createDataFrame(pages, "page_id int, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(base.ORACLE_SQL["html_headings"]).fetchall()
+    assert sorted(map(tuple, base.QUERIES["html_headings"](spark, str(tmp_path)).collect())) == sorted(want)
