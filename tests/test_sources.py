@@ -294,3 +294,8 @@ def test_html_references_without_semicolon_stay():
 
 def test_html_to_text_keeps_cut_references():
     assert events.write_text(events.read_html("<h1>x &amp;&amp</h1><p>&quot;y&quo &lt</p>")) == 'x &&amp\n\n"y&quo &lt\n'
+
+
+@pytest.mark.parametrize("text", ["a b ", " a\n\tb", "x\n y  \nz\t", "see http://x.y*** now", "http://x.y ", "www.a.b_", "--- -", "a\n:-", "a\rb", "\xa0a\xa0"])
+def test_text_survives_markdown(text):
+    assert events.write_text(events.read_markdown(events.write_markdown(events.read_text(text)))) == text + "\n"
