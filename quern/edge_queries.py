@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import sql as S
 from quern.functions import text as T
 from quern.operators import batch
-from quern.operators.convert import CONVERTERS, convert, convert_along
+from quern.operators.convert import CONVERTERS, convert, convert_along, convert_paths
 from quern.plans import catalogue, planner
 from quern.queries import CUSTOMER_CSV, _customer_files, _files, _values, query, table
 
@@ -18,13 +18,10 @@ def _edges(kinds: tuple[str, ...]) -> list[tuple[str, str]]:
 
 
 def _through(files: DataFrame, pairs: list[tuple[str, str]], home: str, **options) -> DataFrame:
-    """(edge, path, content): from home to an edge's source, along the edge, and home again."""
-    out = None
-    for s, t in pairs:
-        hops = [(home, s)] * (s != home) + [(s, t)] + [(t, home)] * (t != home)
-        got = convert_along(files, hops, **options).select(F.lit(f"{s} {t}").alias("edge"), "path", "content", F.col("error.message").alias("error"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """(edge, path, content): from home to an edge's source, along the edge, and home again. A file's edges are one task's, so
+    that they share steps; files are dealt out first, as a table may be stored in fewer pieces than there are cores."""
+    files = files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path")
+    return convert_paths(files, {f"{s} {t}": [(home, s)] * (s != home) + [(s, t)] + [(t, home)] * (t != home) for s, t in pairs}, **options)
 
 
 def _expected(pairs: list[tuple[str, str]], sql: str) -> str:

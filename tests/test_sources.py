@@ -299,3 +299,31 @@ def test_html_to_text_keeps_cut_references():
 @pytest.mark.parametrize("text", ["a b ", " a\n\tb", "x\n y  \nz\t", "see http://x.y*** now", "http://x.y ", "www.a.b_", "--- -", "a\n:-", "a\rb", "\xa0a\xa0"])
 def test_text_survives_markdown(text):
     assert events.write_text(events.read_markdown(events.write_markdown(events.read_text(text)))) == text + "\n"
+
+
+def test_simple_yaml_is_what_the_whole_parser_gives():
+    same = ['a:\n  b: [1, 2.5, ~, true]\n  c: "x\\n"\n', "- a\n- - 1\n  - b: 0x1F\n    c:\n- d:\n  - {}\n", "a b: -2\n\nc: 1e3 \n"]
+    for text in same:
+        assert repr(trees._simple_yaml(text)) == repr(trees._whole_yaml(text, Report()))
+    for text in ("a: b: c", "a: 1\na: 2", "a: x\n  y\n", "a: &x 1", "a: 'q'", "--- a", "a: .inf", "a: |\n  b", "a: [1, [2]]", "a:\tb", "", "- a\n b: c", 'a: "\\x41"'):
+        with pytest.raises(trees._Unusual):
+            trees._simple_yaml(text)
+
+
+def test_paths_of_a_file_share_steps(monkeypatch):
+    from quern.operators.convert import _TREE_READERS, attempt
+    from quern.edge_queries import TREES
+
+    calls = []
+    for kind, read in list(_TREE_READERS.items()):
+        monkeypatch.setitem(_TREE_READERS, kind, lambda t, r, kind=kind, read=read: calls.append(kind) or read(t, r))
+    paths = [[("json", s)] * (s != "json") + [(s, t)] + [(t, "json")] * (t != "json") for s, t in TREES]
+    for content in (b'{"e":{"k":"v","l":["a","b & <c>"]}}', b'{"a":null,"b":[1,2.50,{"c":[]}]}', b"[1]", b'{"k":"\\ud83d"}', b"{", None):
+        calls.clear()
+        seen: dict = {}
+        shared = [attempt(content, hops, {}, seen=seen) for hops in paths]
+        n = len(calls)
+        alone = [attempt(content, hops, {}) for hops in paths]
+        assert [(p, r.losses, r.warnings, e) for p, r, e in shared] == [(p, r.losses, r.warnings, e) for p, r, e in alone]
+        assert n < len(calls) - n or content is None
+    assert len(TREES) == 12
