@@ -15,7 +15,16 @@ from quern.sources import events, rows, trees
 
 def _over(f):
     def series(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or x != x else f(x) for x in s], dtype=object)
+        known: dict[str, object] = {}  # a batch's equal texts are worked out once
+
+        def value(x):
+            if type(x) is not str:
+                return None if x is None or x != x else f(x)
+            if x not in known:
+                known[x] = f(x)
+            return known[x]
+
+        return pd.Series([value(x) for x in s], dtype=object)
 
     return series
 

@@ -47,3 +47,14 @@ def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("select float_text(1e-7D) f, entity_decode('&copy; &amp &lt;') e, percent_decode('a%C3%A9+b') p, markdown_to_html('*x*') m, html_to_text('<p>a<p>b') t, sniff_delimiter('a;b\n') d, float_text(null) n").first()
     assert tuple(row) == ("1e-7", "© &amp <", "aé+b", "<p><em>x</em></p>\n", "a\n\nb\n", ";", None)
+
+
+def test_equal_texts_of_a_batch_are_worked_out_once():
+    import pandas as pd
+
+    from quern.functions.sql import FUNCTIONS, _over
+
+    calls = []
+    got = _over(lambda t: calls.append(t) or t.upper())(pd.Series(["a", None, "b", "a", float("nan")], dtype=object))
+    assert got.tolist() == ["A", None, "B", "A", None] and calls == ["a", "b"]
+    assert FUNCTIONS["float_text"][0](pd.Series([0.0, -0.0])).tolist() == ["0.0", "-0.0"]
