@@ -327,3 +327,9 @@ def test_paths_of_a_file_share_steps(monkeypatch):
         assert [(p, r.losses, r.warnings, e) for p, r, e in shared] == [(p, r.losses, r.warnings, e) for p, r, e in alone]
         assert n < len(calls) - n or content is None
     assert len(TREES) == 12
+
+
+def test_yaml_of_trees_needs_no_whole_parser(monkeypatch):
+    monkeypatch.setattr(trees, "_whole_yaml", None)
+    made = convert_bytes(b'{"e":{"k":12,"s":"b & <c>","l":[1,"x y"]}}', [("json", "yaml"), ("yaml", "json")], {}, Report())
+    assert made[0][1] == b'{"e":{"k":12,"s":"b & <c>","l":[1,"x y"]}}\n'
