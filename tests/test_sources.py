@@ -333,3 +333,17 @@ def test_yaml_of_trees_needs_no_whole_parser(monkeypatch):
     monkeypatch.setattr(trees, "_whole_yaml", None)
     made = convert_bytes(b'{"e":{"k":12,"s":"b & <c>","l":[1,"x y"]}}', [("json", "yaml"), ("yaml", "json")], {}, Report())
     assert made[0][1] == b'{"e":{"k":12,"s":"b & <c>","l":[1,"x y"]}}\n'
+
+
+def test_documents_share_steps(monkeypatch):
+    from quern.edge_queries import DOCUMENTS
+    from quern.operators import convert as C
+
+    calls = []
+    for pair, f in list(C.CONVERTERS.items()):
+        monkeypatch.setitem(C.CONVERTERS, pair, lambda c, o, r, pair=pair, f=f: calls.append(pair) or f(c, o, r))
+    seen: dict = {}
+    for s, t in DOCUMENTS:
+        hops = [("text", s)] * (s != "text") + [(s, t)] + [(t, "text")] * (t != "text")
+        assert C.attempt(b"a < b & c.\n\nTwo.\n", hops, {}, seen=seen)[0] == [("", b"a < b & c.\n\nTwo.\n")]
+    assert calls.count(("text", "markdown")) == 1 and len(calls) < 3 * len(DOCUMENTS)
